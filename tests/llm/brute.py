@@ -46,3 +46,27 @@ def components(rows, k=5):
     for s in keys:
         least[find(s)] = min(least.get(find(s), min(sets[s])), min(sets[s]))
     return {d: (len(s), least[find(s)] if s else d) for s, ds in sets.items() for d in ds}
+
+
+SYMBOL_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def symbol_words(text):
+    return SYMBOL_WORD.findall((text or "").translate(UPPER))
+
+
+def leaks(text, items, k=10):
+    """(n_words, n_hit, sorted item ids)"""
+    words, hit, found = symbol_words(text), set(), set()
+    at = {}
+    for i in range(len(words)):
+        at.setdefault(words[i], []).append(i)
+    for item, t in items:
+        own = symbol_words(t)
+        for i in range(max(1, len(own) - k + 1) if own else 0):
+            part = own[i : i + k]
+            for j in at.get(part[0], []):
+                if words[j : j + len(part)] == part:
+                    hit.update(range(j, j + len(part)))
+                    found.add(item)
+    return len(words), len(hit), sorted(found)
