@@ -37,7 +37,7 @@ m.casino-win.example/en/4033.html www.free-bets.example/fr/5462#top blog.cheap-p
 blog.viagra-shop.example/fr/2290.html poker-win.example/de/8181/ www.loans-fast.example/en/3017 m.adserver.example/es/655?ref=x xxx-dates.example/en/4110.html www.bonus-bets.example/fr/929
 m.pills-rx.example/en/7003/ click-ads.example/de/1450?utm_source=feed casino-bonus.example/en/66 blog.adult-pics.example/en/3307 adult-movies.example/fr/91.html adult-x.example/de/5340 m.adult-shop.example/en/7716/ adult-club.example/fr/3021 spam-farm.example/en/2218/ www.spam-offers.example/de/909 content-farm.example/es/4127 spam-links.example/en/4402 www.link-farm.example/de/18/ m.spam-mail.example/fr/731 seo-spam.example/es/6120.html cheap-links.example/en/2710 www.adult-dates.example/es/4006/ m.slots-jackpot.example/en/5120 www.track-pixel.example/en/2087 prize-winner.example/claim gift-card-free.example/survey download-crack.example/serial""".split()]
     + [(u, 0) for u in """news.example/en/2021/article journal.example/science/story www.library.example/catalog/book blog.example/posts/garden university.example/courses/history museum.example/exhibits/art
-www.weather.example/forecast/today cooking.example/recipes/bread m.travel.example/guides/city docs.software.example/manual/install forum.example/threads/4411 www.school.example/lessons/math
+www.weather.example/forecast/today cooking.example/recipes/bread recipe-book.example/dinner/soup www.recipes-daily.example/en/4120 m.travel.example/guides/city docs.software.example/manual/install forum.example/threads/4411 www.school.example/lessons/math
 health.example/articles/sleep city-council.example/minutes/2020 parks.example/trails/map www.theatre.example/season/plays gardening.example/tips/roses encyclopedia.example/wiki/river
 blog.photography.example/2019/light www.history.example/essays/rome science.example/physics/optics code.example/project/readme music.example/reviews/album m.sports.example/report/match
 www.bookshop.example/authors/novel economics.example/papers/trade language.example/grammar/verbs film.example/critics/drama www.nature.example/birds/owl philosophy.example/texts/ethics
