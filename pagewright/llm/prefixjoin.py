@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAD = 8
-NAMES = ["x", "y", "lead", "token", "size", "pos", "bits"]
+ROW = ("size", "pos", "bits", "more")
+NAMES = ["x", "y", "lead", "token", "size", "pos", "bits", "more"]
 LEVEL_SHIFT = np.uint64(56)
 
 
@@ -28,30 +29,31 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def parity(values: np.ndarray) -> int:
-    """64 bits, each the parity of the values that fall on it: two sets that differ in d values differ in at most d bits."""
-    with np.errstate(over="ignore"):
-        return int(np.bitwise_xor.reduce(np.uint64(1) << (values & np.uint64(63))).astype(np.int64)) if len(values) else 0
+def parity(values: np.ndarray) -> tuple[int, int]:
+    """128 bits, each the parity of the values that fall on it: two sets that differ in d values differ in at most d bits."""
+    bit = np.uint64(1) << (values & np.uint64(63))
+    high = (values & np.uint64(64)) > 0
+    return tuple(int(np.bitwise_xor.reduce(bit[side], initial=np.uint64(0)).astype(np.int64)) for side in (~high, high))
 
 
-def may_link(na, nb, i, j, sa, sb) -> Column:
-    """The length, positional and parity filters for sets of sizes na and nb that share the tokens at positions i and j."""
-    return F.expr(f"9 * least({na} - {i}, {nb} - {j}) >= 4 * ({na} + {nb}) and 9 * bit_count({sa} ^ {sb}) <= {na} + {nb}")
+def may_link(a: str, b: str) -> Column:
+    """The length, positional and parity filters for two rows of a bucket, as structs of size, pos, bits and more."""
+    return F.expr(f"9 * least({a}.size - {a}.pos, {b}.size - {b}.pos) >= 4 * ({a}.size + {b}.size) and 9 * (bit_count({a}.bits ^ {b}.bits) + bit_count({a}.more ^ {b}.more)) <= {a}.size + {b}.size")
 
 
 def compare(rows: DataFrame, whole: int) -> DataFrame:
-    """Candidate pairs and the rows of large buckets from ``rows(token, rank, node, size, pos, bits)``.
+    """Candidate pairs and the rows of large buckets from ``rows(token, rank, node, size, pos, bits, more)``.
 
     Rows are dealt by token and sorted by (token, rank). A bucket of at most ``whole`` rows gives all its pairs that pass
     the filters. In a larger one each row is compared with the first ``LEAD`` only, and all its rows come back too.
     Result: pairs have ``lead`` null and the nodes x < y; a row of a large bucket has its own node as x, its token, size,
-    pos and bits, and as ``lead`` the bucket's first node.
+    pos, bits and more, and as ``lead`` the bucket's first node.
     """
-    kept = ("token", "node", "size", "pos", "bits")
+    kept = ("token", "node", "size", "pos", "bits", "more")
 
     def pairs_of(rows, first, limit):
         """Pairs of each row with the first ``limit`` rows of its bucket, which starts at ``first``."""
-        size, pos, bits, node = rows["size"], rows["pos"], rows["bits"], rows["node"]
+        size, pos, bits, more, node = (rows[k] for k in ("size", "pos", "bits", "more", "node"))
         xs, ys, left, t = [], [], np.flatnonzero(limit > 0), 0
         while len(left):
             p = first[left] + t
@@ -59,7 +61,9 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
             ok = np.flatnonzero(9 * np.minimum(size[left] - pos[left], size[p] - pos[p]) >= need)
             if len(ok):
                 x, y = left[ok], p[ok]
-                ok = (9 * np.bitwise_count(bits[x] ^ bits[y]).astype(np.int64) <= size[x] + size[y]) & (node[x] != node[y])
+                # as unsigned: of a negative number the bits of its absolute value would be counted
+                apart = sum(np.bitwise_count((b[x] ^ b[y]).view(np.uint64)).astype(np.int64) for b in (bits, more))
+                ok = (9 * apart <= size[x] + size[y]) & (node[x] != node[y])
                 xs.append(node[x[ok]])
                 ys.append(node[y[ok]])
             t += 1
@@ -68,7 +72,7 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
             x, y = np.concatenate(xs), np.concatenate(ys)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             none, none32 = pa.nulls(pairs.shape[1], pa.int64()), pa.nulls(pairs.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none32, none32, none], NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none32, none32, none, none], NAMES)
 
     def run(batches):
         carry = {k: np.zeros(0, np.int64) for k in kept}
@@ -97,15 +101,15 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
                 rest[:old] = False
             if rest.any():
                 rest = np.flatnonzero(rest)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["node"][rest]), pa.nulls(len(rest), pa.int64()), pa.array(rows["node"][first[rest]]), pa.array(token[rest]), pa.array(rows["size"][rest], pa.int32()), pa.array(rows["pos"][rest], pa.int32()), pa.array(rows["bits"][rest])], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["node"][rest]), pa.nulls(len(rest), pa.int64()), pa.array(rows["node"][first[rest]]), pa.array(token[rest]), pa.array(rows["size"][rest], pa.int32()), pa.array(rows["pos"][rest], pa.int32()), pa.array(rows["bits"][rest]), pa.array(rows["more"][rest])], NAMES)
             large = kind[-1] == 1
             last = int(start[-1])
             carry = {k: v[last : last + LEAD if large else None].copy() for k, v in rows.items()}
         if not large and len(carry["token"]):
             yield from pairs_of(carry, np.zeros(len(carry["token"]), int), np.arange(len(carry["token"])))
 
-    dealt = rows.select("token", "rank", "node", "size", "pos", "bits").repartition("token").sortWithinPartitions("token", "rank")
-    return dealt.mapInArrow(run, "x long, y long, lead long, token long, size int, pos int, bits long")
+    dealt = rows.select("token", "rank", *kept[1:]).repartition("token").sortWithinPartitions("token", "rank")
+    return dealt.mapInArrow(run, "x long, y long, lead long, token long, size int, pos int, bits long, more long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

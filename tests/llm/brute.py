@@ -70,3 +70,26 @@ def leaks(text, items, k=10):
                     hit.update(range(j, j + len(part)))
                     found.add(item)
     return len(words), len(hit), sorted(found)
+
+
+def dedup_lines(rows, least=5):
+    """rows: (doc_id, text); gives the texts without later matches. Rows equal in both are one document."""
+    order = sorted({(d is None, d or 0, t) for d, t in rows if t is not None}, key=lambda r: r[:2])
+    lines = []
+    for none, d, t in order:
+        for n, line in enumerate(t.split("\n")):
+            words = set(SPACE_WORD.findall(line.translate(UPPER)))
+            if len(words) >= least:
+                lines.append(((none, d, n), (d, t, n), words))
+    lines.sort(key=lambda x: x[0])
+    index, gone = {}, set()
+    for k, (_, key, words) in enumerate(lines):
+        shared = {}
+        for w in words:
+            for m in index.get(w, ()):
+                shared[m] = shared.get(m, 0) + 1
+        if any(100 * i >= 80 * (len(words) + len(lines[m][2]) - i) for m, i in shared.items()):
+            gone.add(key)
+        for w in words:
+            index.setdefault(w, []).append(k)
+    return [(d, t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d or 0, t, n) not in gone)) for d, t in rows]
