@@ -83,20 +83,37 @@ def spans_of(text: str, ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(at[a][0], at[b - 1][1]) for a, b in ranges]
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The items, in so many blocks that each is small enough to broadcast."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    held = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    n = max(1, math.ceil(held / block_bytes))
+    return [items] if n == 1 else [items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block) for block in range(n)]
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, in whose text no window of the benchmark occurs."""
+    for items in _blocks(benchmark, block_bytes):
+        shared = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
+
+        def run(batches, shared=shared):
+            find = _scanner(windows_of(shared.value, window))
+            for batch in batches:
+                clean = [not find(text.as_py() or b"")[1] for text in batch["text"].cast(pa.large_binary())]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, the items found, the word ranges that are hit and their spans in the text."""
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
-    held = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    n_blocks = max(1, math.ceil(held / block_bytes))
-    if n_blocks == 1:
-        return _scan_block(docs, items, window)
+    blocks = _blocks(benchmark, block_bytes)
+    if len(blocks) == 1:
+        return _scan_block(docs, blocks[0], window)
     docs = docs.withColumn("row", F.monotonically_increasing_id())
-    parts = []
-    for block in range(n_blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == block)
-        parts.append(_scan_block(docs, part, window, "row"))
+    parts = [_scan_block(docs, part, window, "row") for part in blocks]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)

@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prefixjoin as P
+from .marks import marks_of, with_marks
 from .sketch import levels as sketch_levels
 from .storage import Workspace
-from .textnum import SPACE, hashed_words, mix, set_hash
+from .textnum import SPACE, hashed_words, set_hash
 
 LEAST_WORDS = 5
 #: counters for word frequencies: 4 MB of levels, whatever the input
 BITS = 22
-MARK_BITS = 22
 WHOLE = 512
 LAST = 2**63 - 1
 
@@ -68,31 +68,10 @@ def _described(docs: DataFrame, rarity) -> DataFrame:
     return docs.mapInArrow(run, "doc long, text_hash long, line int, node long, size int, bits long, more long, skip int, prefix array<long>")
 
 
-def _marks(rows: DataFrame, *keys: str) -> np.ndarray:
-    def hashes(batch):
-        yield mix(batch["key"].to_numpy(zero_copy_only=False).view(np.uint64))
-
-    return sketch_levels(rows.select(F.xxhash64(*keys).alias("key")), hashes, MARK_BITS) > 0
-
-
-def _marked(docs: DataFrame, marks: np.ndarray, *keys: str) -> DataFrame:
-    """``docs`` with a column ``marked``: true for every row whose keys were marked, and for few others."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
-    shift = np.uint64(64 - MARK_BITS)
-
-    @F.pandas_udf("boolean")
-    def found(key):
-        import pandas as pd
-
-        return pd.Series(np.unpackbits(shared.value).view(bool)[mix(key.to_numpy().view(np.uint64)) >> shift])
-
-    return docs.withColumn("marked", found(F.xxhash64(*keys)))
-
-
 def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity) -> DataFrame:
     """(node, tokens) of the given nodes, from the texts in which they come first."""
     where = firsts.join(nodes, "node").select("first.doc", "first.text_hash")
-    texts = _marked(docs.select("doc", "text_hash", "text"), _marks(where, "doc", "text_hash"), "doc", "text_hash").where("marked").select("text")
+    texts = with_marks(docs.select("doc", "text_hash", "text"), marks_of(where, "doc", "text_hash"), "doc", "text_hash").where("marked").select("text")
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches):
@@ -153,7 +132,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     keys = keyed.select("doc", "text_hash", F.col("text").cast("string").alias("text"))
     gone = removed_lines(keys, work)
     gone = work.keep(gone.groupBy("doc", "text_hash").agg(F.collect_set("line").alias("gone")), "removed")
-    both = _marked(keyed, _marks(gone, "doc", "text_hash"), "doc", "text_hash")
+    both = with_marks(keyed, marks_of(gone, "doc", "text_hash"), "doc", "text_hash")
     hit = both.where("marked").join(gone, ["doc", "text_hash"], "left")
     lines = F.split("text", "\n", -1)
     kept = F.expr("array_join(filter(transform(split(text, '\\n', -1), (x, i) -> struct(x, i)), p -> not array_contains(gone, p.i)).x, '\\n')")
