@@ -30,7 +30,7 @@ CAPACITY = 2048
 END = 1
 FAN_IN = 64
 #: entries of a worker's table from chunk to token ids
-CACHE = 400_000
+CACHE = 150_000
 #: a cut is worth so many tokens of padding
 CUT_COST = 12
 LEAST_CUT = 32
