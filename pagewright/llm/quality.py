@@ -126,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
     rules = sorted({r for tree in forest._java_obj.trees() for r in _paths(tree.rootNode(), {})}, key=lambda r: (len(r), r))[:MOST_RULES]
     stats = F.struct(*(F.col("x")[i].alias(k) for i, k in enumerate(STATISTICS)))
     data = rows.withColumn("stats", stats).select("label", array_to_vector(F.array(*(_met(r).cast("double") for r in rules))).alias("features"))
-    lasso = LogisticRegression(regParam=PENALTY, elasticNetParam=1.0, standardization=False, maxIter=200, tol=1e-8).fit(data)
+    lasso = LogisticRegression(regParam=PENALTY, elasticNetParam=1.0, standardization=False, maxIter=80, tol=1e-6).fit(data)
     rows.unpersist()
     return RuleModel(float(lasso.intercept), tuple((r, float(w)) for r, w in zip(rules, lasso.coefficients.toArray()) if abs(w) > 1e-9))
 
