@@ -12,9 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows anew only where the input has fewer parts than the cluster has cores, which a large input never has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, title, text, tags, updated_at, is_favorite, doc_source."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return d.select(
         "doc_id",
         F.substring(F.split("text", "\n")[0], 1, 120).alias("title"),
@@ -29,7 +35,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_index, text, kind, ocr_status: ten lines a page."""
     lines = F.split("text", "\n", -1)
-    d = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", lines.alias("lines"))
     n = F.ceil(F.size("lines") / PAGE_LINES).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.array_join(F.slice("lines", p * PAGE_LINES + 1, PAGE_LINES), "\n"))
     page = d.select("doc_id", F.posexplode(cut).alias("page_index", "text"))
