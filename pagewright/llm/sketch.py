@@ -32,22 +32,11 @@ def levels(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
     width = size // PARTS
 
     def count(batches):
-        total = np.zeros(size, np.uint32)
-        waiting, n, some = [], 0, False
-
-        def add():
-            total[:] += np.bincount(np.concatenate(waiting).astype(np.int64), minlength=size).astype(np.uint32)
-            waiting.clear()
-
+        total, some = np.zeros(size, np.uint32), False
         for batch in batches:
             for values in hashes(batch):
-                waiting.append(counter(values, bits))
-                n, some = n + len(values), True
-                if n > size:
-                    add()
-                    n = 0
-        if waiting:
-            add()
+                np.add.at(total, counter(values, bits).astype(np.int64), np.uint32(1))
+                some = True
         if some:
             packed = [zlib.compress(total[i * width : (i + 1) * width].tobytes(), 1) for i in range(PARTS)]
             yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "counts": pa.array(packed, pa.binary())})
