@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LEFT, _RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
@@ -14,7 +14,11 @@ PATTERNS = {
 }
 
 
+def _matches(kind: str) -> Column:
+    return F.transform(F.regexp_extract_all("text", F.lit(PATTERNS[kind]), 0), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+
 def facts(pages: DataFrame, kinds=tuple(PATTERNS)) -> DataFrame:
     """One row for each match: doc_id, page_index, kind, value. One pass over the pages for all kinds."""
-    found = F.concat(*(F.transform(F.regexp_extract_all("text", F.lit(PATTERNS[k]), 0), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k in kinds))
+    found = F.concat(*map(_matches, kinds))
     return pages.select("doc_id", "page_index", F.explode(found).alias("f")).select("doc_id", "page_index", "f.kind", "f.value")
