@@ -1,24 +1,90 @@
-"""Facts by their shape, per page. Look-arounds are ASCII, as the patterns' word boundaries are."""
+"""Facts by their shape, per page: one pass over the pages for all kinds, with offsets in code points."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LEFT, _RIGHT = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
-#: fixed values: the shapes of facts
-PATTERNS = {
-    "date": rf"{_LEFT}[0-9]{{1,4}}[./-][0-9]{{1,2}}[./-][0-9]{{2,4}}{_RIGHT}",
-    "email": rf"{_LEFT}[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+(?<=[A-Za-z0-9_]){_RIGHT}",
-    "amount": rf"{_LEFT}[0-9]+[.,][0-9]{{2}}{_RIGHT}",
-}
+from pagewright.functions import lexicon as L
+
+HEADING = r"^#{1,3}\s+"
+TOP = 15
+MARKS = "€£$¥₹+"
+
+
+def _names(values: Column) -> Column:
+    words = lambda v: F.split(F.lower(v), r"\s+")
+    return F.filter(values, lambda v: ~F.exists(words(v), lambda w: w.isin(*L.FURNITURE)) & ~F.element_at(words(v), -1).isin(*L.ORGANISATIONS))
+
+
+def _searched(kind: str, text: Column) -> Column:
+    """A name in a heading is none: its line is blanked, at its length."""
+    if kind != "name":
+        return text
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.when(x.rlike(HEADING), F.repeat(F.lit(" "), F.length(x))).otherwise(x))
+    return F.when(F.contains(text, F.lit("#")), F.array_join(lines, "\n")).otherwise(text)
+
+
+def values(kind: str, text: Column) -> Column:
+    found = F.regexp_extract_all(_searched(kind, text), F.lit(L.java(L.SHAPES[kind])), F.lit(0))
+    return _names(found) if kind == "name" else found
+
+
+def has(intent: str, text: Column) -> Column:
+    """Whether the text holds a fact of that intent."""
+    if intent == "person":
+        return F.size(values("name", text)) > 0
+    return reduce(lambda a, b: a | b, (text.rlike(L.java(L.SHAPES[k])) for k in L.ANSWERS[intent]))
 
 
-def _matches(kind: str) -> Column:
-    return F.transform(F.regexp_extract_all("text", F.lit(PATTERNS[kind]), 0), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+def satisfies(intent: Column, text: Column) -> Column:
+    """Whether the text answers the intent by its shape; places and general questions never do."""
+    out = F.lit(False)
+    for name in L.SHAPED:
+        out = F.when(intent == name, has(name, text)).otherwise(out)
+    return out
 
 
-def facts(pages: DataFrame, kinds=tuple(PATTERNS)) -> DataFrame:
-    """One row for each match: doc_id, page_index, kind, value. One pass over the pages for all kinds."""
-    found = F.concat(*map(_matches, kinds))
+def facts(pages: DataFrame, kinds=("date", "email", "amount")) -> DataFrame:
+    """One row for each match: doc_id, page_index, kind, value."""
+    found = F.concat(*(F.transform(values(k, F.col("text")), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k in kinds))
     return pages.select("doc_id", "page_index", F.explode(found).alias("f")).select("doc_id", "page_index", "f.kind", "f.value")
+
+
+def located(pages: DataFrame, intents=tuple(L.ANSWERS)) -> DataFrame:
+    """doc_id, page_index, intent, start, value of every match."""
+    every = []
+    for name in intents:
+        for kind in L.ANSWERS[name]:
+            # odd parts between the marks are the matches
+            parts = F.split(F.regexp_replace(_searched(kind, F.col("text")), f"({L.java(L.SHAPES[kind])})", "\u0001$1\u0002"), "[\u0001\u0002]", -1)
+            at = F.transform(parts, lambda x, i, parts=parts: F.struct(x.alias("value"), F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, y: n + F.length(y)).alias("start"), (i % 2 == 1).alias("hit")))
+            hits = F.filter(at, lambda m: m["hit"])
+            if kind == "name":
+                hits = F.filter(hits, lambda m: F.size(_names(F.array(m["value"]))) > 0)
+            every.append(F.transform(F.when(F.size(parts) > 1, hits).otherwise(F.array().cast("array<struct<value:string,start:int,hit:boolean>>")), lambda m, name=name: F.struct(F.lit(name).alias("intent"), m["start"].alias("start"), m["value"].alias("value"))))
+    return pages.select("doc_id", "page_index", F.explode(F.concat(*every)).alias("f")).select("doc_id", "page_index", "f.*")
+
+
+def tidy(value: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(value, r"\s+", " "), r"^[\s.,;:*_]+|[\s.,;:*_]+$", "")
+
+
+def fingerprint(value: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(value), r"\s+", " "), rf"^[^A-Za-z0-9_{MARKS}]+|[^A-Za-z0-9_]+$", "")
+
+
+def top(pages: DataFrame, most: int = TOP) -> DataFrame:
+    """The first ``most`` different values of each document and intent, in document order: rk from 1."""
+    rows = located(pages).withColumn("value", tidy(F.col("value"))).withColumn("key", fingerprint(F.col("value"))).where("key <> ''")
+    first = rows.groupBy("doc_id", "intent", "key").agg(F.min(F.struct("page_index", "start", "value")).alias("f"))
+    order = Window.partitionBy("doc_id", "intent").orderBy("f")
+    return first.withColumn("rk", F.row_number().over(order)).where(F.col("rk") <= most).select("doc_id", "intent", "rk", "f.page_index", "f.start", "f.value")
+
+
+def digest(pages: DataFrame, most: int = 6) -> DataFrame:
+    """One row for each document and intent: the first values, joined."""
+    rows = top(pages, most).groupBy("doc_id", "intent").agg(F.array_sort(F.collect_list(F.struct("rk", "value"))).alias("v"))
+    return rows.select("doc_id", "intent", F.size("v").alias("n"), F.array_join("v.value", " | ").alias("values"))
