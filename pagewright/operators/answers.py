@@ -11,7 +11,7 @@ from pagewright.operators import facts, passages, search
 
 CANDIDATES, IDEAL, INTENT_BOOST, FLOOR, SYNONYM = 6, 25, 1.35, 0.5, 0.6
 PER_DOCUMENT, MOST, BUDGET, PAD = 2, 4, 1200, 240
-ORDER = (F.desc("score"), "doc_id", "page_index", "start")
+TIES = ("doc_id", "page_index", "start")
 
 
 def priors(docs: DataFrame, questions: DataFrame, most: int = CANDIDATES) -> DataFrame:
@@ -48,7 +48,7 @@ def rank(questions: DataFrame, pages: DataFrame, candidates: DataFrame) -> DataF
 
 def select(ranked: DataFrame) -> DataFrame:
     """At most ``MOST`` passages a question, one a page and ``PER_DOCUMENT`` a document, within ``BUDGET`` characters: rk."""
-    w = lambda *by: Window.partitionBy("qid", *by).orderBy(*ORDER)
+    w = lambda *by: Window.partitionBy("qid", *by).orderBy(F.desc("score"), *TIES)
     rows = ranked.withColumn("r", F.row_number().over(w("doc_id", "page_index"))).where("r = 1")
     rows = rows.withColumn("r", F.row_number().over(w("doc_id"))).where(F.col("r") <= PER_DOCUMENT)
     running = F.sum(F.length("text")).over(w().rowsBetween(Window.unboundedPreceding, 0))

@@ -49,23 +49,35 @@ def satisfies(intent: Column, text: Column) -> Column:
 
 def facts(pages: DataFrame, kinds=("date", "email", "amount")) -> DataFrame:
     """One row for each match: doc_id, page_index, kind, value."""
-    found = F.concat(*(F.transform(values(k, F.col("text")), lambda v, k=k: F.struct(F.lit(k).alias("kind"), v.alias("value"))) for k in kinds))
-    return pages.select("doc_id", "page_index", F.explode(found).alias("f")).select("doc_id", "page_index", "f.kind", "f.value")
+
+    def found(kind: str) -> Column:
+        return F.transform(values(kind, F.col("text")), lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    return pages.select("doc_id", "page_index", F.explode(F.concat(*map(found, kinds))).alias("f")).select("doc_id", "page_index", "f.kind", "f.value")
+
+
+def _parts(kind: str) -> Column:
+    """The text split at marks around the matches, so that odd parts are the matches."""
+    marked = F.regexp_replace(_searched(kind, F.col("text")), f"({L.java(L.SHAPES[kind])})", "\u0001$1\u0002")
+    return F.split(marked, "[\u0001\u0002]", -1).alias(kind)
+
+
+def _places(intent: str, kind: str) -> Column:
+    parts = F.col(kind)
+    before = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, y: n + F.length(y))
+    odd = F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2))
+    at = F.transform(odd, lambda i: F.struct(F.lit(intent).alias("intent"), F.lit(kind).alias("kind"), before(i).alias("start"), F.get(parts, i).alias("value")))
+    if kind == "name":
+        at = F.filter(at, lambda m: F.size(_names(F.array(m["value"]))) > 0)
+    return F.when(F.size(parts) > 1, at).otherwise(F.array().cast("array<struct<intent:string,kind:string,start:int,value:string>>"))
 
 
 def located(pages: DataFrame, intents=tuple(L.ANSWERS)) -> DataFrame:
-    """doc_id, page_index, intent, start, value of every match."""
-    every = []
-    for name in intents:
-        for kind in L.ANSWERS[name]:
-            # odd parts between the marks are the matches
-            parts = F.split(F.regexp_replace(_searched(kind, F.col("text")), f"({L.java(L.SHAPES[kind])})", "\u0001$1\u0002"), "[\u0001\u0002]", -1)
-            at = F.transform(parts, lambda x, i, parts=parts: F.struct(x.alias("value"), F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, y: n + F.length(y)).alias("start"), (i % 2 == 1).alias("hit")))
-            hits = F.filter(at, lambda m: m["hit"])
-            if kind == "name":
-                hits = F.filter(hits, lambda m: F.size(_names(F.array(m["value"]))) > 0)
-            every.append(F.transform(F.when(F.size(parts) > 1, hits).otherwise(F.array().cast("array<struct<value:string,start:int,hit:boolean>>")), lambda m, name=name: F.struct(F.lit(name).alias("intent"), m["start"].alias("start"), m["value"].alias("value"))))
-    return pages.select("doc_id", "page_index", F.explode(F.concat(*every)).alias("f")).select("doc_id", "page_index", "f.*")
+    """doc_id, page_index, intent, kind, start, value of every match."""
+    kinds = [(i, k) for i in intents for k in L.ANSWERS[i]]
+    cut = pages.select("doc_id", "page_index", *(_parts(k) for _, k in kinds))
+    every = F.concat(*(_places(i, k) for i, k in kinds))
+    return cut.select("doc_id", "page_index", F.explode(every).alias("f")).select("doc_id", "page_index", "f.*")
 
 
 def tidy(value: Column) -> Column:

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from pagewright.functions import lexicon as L
 from pagewright.functions import text as T
-from pagewright.operators import archives, facts, library, markup, passages, search, transcripts
+from pagewright.operators import answers as A
+from pagewright.operators import archives, facts, library, markup, passages, questions, search, summaries, transcripts
 from pagewright.plans import views as V
+from pagewright.sources.shared import folder
+from pagewright.streaming import live
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -18,12 +22,16 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = f"WITH {V.SQL.strip()}\n{sql.strip()}" if not sql.lstrip().startswith(",") else f"WITH {V.SQL.strip()}{sql.rstrip()}"
+            ORACLES[f.__name__] = f"WITH RECURSIVE {V.SQL.strip()}{sql.rstrip() if sql.lstrip().startswith(',') else chr(10) + sql.strip()}"
         return f
 
     return add
 
 
+def _whole_index(df):
+    return df.withColumn("page_index", F.col("page_index").cast("long"))
+
+
 # -- tokens and statistics
 
 
@@ -222,9 +230,10 @@ def passage_spans(spark, d):
     return p.groupBy("doc_id", F.col("page_index").cast("long").alias("page_index")).agg(F.count("*").alias("n_passages"), F.sum(F.col("stop") - F.col("start")).alias("n_chars"))
 
 
-@query()
+@query(f"""{V.SPANS}
+SELECT doc_id, page_index, start, start + length(text) AS stop, text FROM spans""")
 def passages_cut(spark, d):
-    return passages.passages(V.pages(spark, d))
+    return _whole_index(passages.passages(V.pages(spark, d)))
 
 
 @query(""", f AS (SELECT doc_id, page_index, unnest(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\\.[A-Za-z0-9_.-]*[A-Za-z0-9_]')) AS value FROM pgs)
@@ -234,9 +243,31 @@ def fact_emails(spark, d):
     return f.groupBy("doc_id", F.col("page_index").cast("long").alias("page_index"), "value").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""{V.FACTS}
+SELECT doc_id, page_index, intent, kind, start, value FROM located""")
 def fact_shapes(spark, d):
-    return facts.facts(V.pages(spark, d))
+    """Every fact of the nine shapes with its offset."""
+    return _whole_index(facts.located(V.pages(spark, d)))
+
+
+@query(f"""{V.FACTS}{V.FACT_KEYS}
+SELECT doc_id, intent, rk, page_index, start, value FROM ranked_facts WHERE rk <= 15""")
+def facts_top(spark, d):
+    return _whole_index(facts.top(V.pages(spark, d)))
+
+
+@query(f"""{V.FACTS}{V.FACT_KEYS}
+SELECT doc_id, intent, count(*) AS n, string_agg(value, ' | ' ORDER BY rk) AS "values" FROM ranked_facts WHERE rk <= 6 GROUP BY 1, 2""")
+def fact_digest(spark, d):
+    return facts.digest(V.pages(spark, d))
+
+
+@query(f"""{V.FACTS}
+SELECT doc_id, page_index, {", ".join(f"bool_or(intent = '{i}') AS has_{i}" for i in L.ANSWERS)} FROM located GROUP BY 1, 2""")
+def passage_signals(spark, d):
+    """Which kinds of facts a page holds, of the pages that hold any."""
+    p = V.pages(spark, d).select("doc_id", "page_index", *(facts.has(i, F.col("text")).alias(f"has_{i}") for i in L.ANSWERS))
+    return _whole_index(p.where(" or ".join(f"has_{i}" for i in L.ANSWERS)))
 
 
 @query("SELECT doc_id, lower(tags[1]) || ',' || lower(tags[2]) AS tags FROM docs")
@@ -300,13 +331,17 @@ def size_report(spark, d):
 _FIRST = "regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g')"
 
 
-@query(f""", f AS (SELECT conv_id, arg_min({_FIRST}, turn) FILTER (WHERE role = 'user' AND regexp_matches(text, '\\S')) AS t, count(*) AS n_messages, max(turn) AS last_turn FROM messages GROUP BY 1)
-SELECT conv_id, coalesce(CASE WHEN length(t) <= 60 THEN t ELSE rtrim(substr(t, 1, 59)) || '…' END, 'Conversation') AS title, n_messages, last_turn FROM f""")
+_CONVERSATIONS = f""", f AS (SELECT conv_id, arg_min({_FIRST}, turn) FILTER (WHERE role = 'user' AND regexp_matches(text, '\\S')) AS t, count(*) AS n_messages, max(turn) AS last_turn FROM messages GROUP BY 1)
+SELECT conv_id, coalesce(CASE WHEN length(t) <= 60 THEN t ELSE rtrim(substr(t, 1, 59)) || '…' END, 'Conversation') AS title, n_messages, last_turn FROM f"""
+_NEWEST = "SELECT conv_id, turn, rk FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rk FROM messages) WHERE rk <= %d"
+
+
+@query(_CONVERSATIONS)
 def conversations(spark, d):
     return transcripts.conversations(V.messages(spark, d))
 
 
-@query("SELECT conv_id, turn, rk FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rk FROM messages) WHERE rk <= 200")
+@query(_NEWEST % 200)
 def transcript_cap(spark, d):
     return transcripts.newest(V.messages(spark, d)).select("conv_id", "turn", "rk")
 
@@ -321,3 +356,114 @@ def recent_questions(spark, d):
 def validate_inputs(spark, d):
     text = F.col("text")
     return V.messages(spark, d).where("role = 'user'").select("conv_id", "turn", F.when(~text.rlike(r"\S"), "empty").when(F.length(text) > 500, "too_long").otherwise("ok").alias("verdict"))
+
+
+# -- questions and answers
+
+
+@query(f"""{V.QUESTIONS}
+SELECT qid, array_to_string(terms, ' ') AS terms, array_to_string(synonyms, ' ') AS synonyms, array_to_string(phrases, '|') AS phrases, intent, mode,
+    array_to_string(content, ' ') AS content_terms, array_to_string(subject_terms, ' ') AS subject_terms, brief, names_only_document, reads_as_prose FROM analysed""")
+def question_analysis(spark, d):
+    q = questions.analysis(V.questions(spark, d))
+    joined = lambda c, by=" ": F.array_join(c, by).alias(c)
+    return q.select("qid", joined("terms"), joined("synonyms"), joined("phrases", "|"), "intent", "mode", joined("content_terms"), joined("subject_terms"), "brief", "names_only_document", "reads_as_prose")
+
+
+def _answering(spark, d):
+    """The analysed questions, the pages and the candidate documents."""
+    q = questions.analysis(V.questions(spark, d))
+    return q, V.pages(spark, d), A.priors(V.documents(spark, d), q)
+
+
+@query(f"{V.QUESTIONS}{V.PRIORS} SELECT qid, doc_id, prior FROM cand")
+def doc_priors(spark, d):
+    return _answering(spark, d)[2]
+
+
+@query(f"{V.SPANS}{V.QUESTIONS}{V.PRIORS}{V.RANK} SELECT qid, doc_id, page_index, start, coverage, shaped, score FROM ranked")
+def passage_rank(spark, d):
+    return _whole_index(A.rank(*_answering(spark, d)).select("qid", "doc_id", "page_index", "start", "coverage", "shaped", "score"))
+
+
+@query(f"{V.SPANS}{V.QUESTIONS}{V.PRIORS}{V.RANK}{V.SELECTED} SELECT qid, doc_id, page_index, start, rk FROM selected")
+def answer_selection(spark, d):
+    return _whole_index(A.select(A.rank(*_answering(spark, d))).select("qid", "doc_id", "page_index", "start", "rk"))
+
+
+@query()
+def citations(spark, d):
+    q, pages, cand = _answering(spark, d)
+    return A.citations(A.select(A.rank(q, pages, cand)), pages).select("qid", "doc_id", "page_index", "rk", "snippet")
+
+
+@query(f"""{V.SPANS}{V.QUESTIONS}{V.PRIORS}{V.RANK}{V.SELECTED},
+n AS (SELECT qid, count(*) AS n_citations, count(DISTINCT doc_id) AS n_documents FROM selected GROUP BY 1)
+SELECT a.qid, mode, CASE WHEN s.qid IS NOT NULL THEN 'answer' WHEN len(terms) = 0 AND len(phrases) = 0 THEN 'unclear' ELSE 'no_match' END AS kind,
+    CASE WHEN coverage >= 0.999 AND shaped THEN 'strong' WHEN coverage >= 0.999 OR shaped THEN 'partial' WHEN s.qid IS NOT NULL THEN 'weak' END AS confidence,
+    s.doc_id AS best_doc, s.text AS answer, coalesce(n_citations, 0) AS n_citations, coalesce(n_documents, 0) AS n_documents
+FROM analysed a LEFT JOIN (SELECT * FROM selected WHERE rk = 1) s USING (qid) LEFT JOIN n USING (qid)""")
+def answers(spark, d):
+    q, pages, cand = _answering(spark, d)
+    library_size = V.documents(spark, d).agg(F.count("*").alias("n_docs"), F.count_if(F.col("text").rlike(r"\S")).alias("n_readable"))
+    return A.compose(q, A.select(A.rank(q, pages, cand)), library_size)
+
+
+# -- summaries
+
+
+@query(f"{V.SPANS}{V.WEIGHTS} SELECT doc_id, term, tf::BIGINT AS tf, sf, round(weight, 6) AS weight FROM weights")
+def term_significance(spark, d):
+    return summaries.significance(passages.passages(V.pages(spark, d))).withColumn("weight", F.round("weight", 6))
+
+
+@query(f"{V.SPANS}{V.WEIGHTS}{V.SCORES} SELECT doc_id, page_index, start, score FROM scored")
+def sentence_scores(spark, d):
+    return _whole_index(summaries.scores(passages.passages(V.pages(spark, d))).select("doc_id", "page_index", "start", "score"))
+
+
+@query()
+def summary(spark, d):
+    return summaries.summaries(summaries.scores(passages.passages(V.pages(spark, d))))
+
+
+@query()
+def summary_brief(spark, d):
+    return summaries.summaries(summaries.scores(passages.passages(V.pages(spark, d))), 2, 600)
+
+
+@query()
+def doc_outline(spark, d):
+    pages = V.pages(spark, d)
+    return summaries.outlines(V.documents(spark, d), pages, summaries.scores(passages.passages(pages)))
+
+
+# -- streams: each reads what is there now and ends
+
+
+def _stream(spark, d, name):
+    # as a pattern, the path may be one file or a folder
+    return spark.readStream.schema(spark.read.parquet(f"{d}/{name}.parquet").schema).parquet(f"{d}/{name}.parque[t]")
+
+
+@query("SELECT term, doc_id, count(*) AS tf, any_value(len(body)) AS body_length FROM (SELECT doc_id, body, unnest(body) AS term FROM toks) GROUP BY 1, 2")
+def stream_index(spark, d):
+    at = folder(spark, "index")
+    live.keep_index(_stream(spark, d, "documents").select(F.col("doc_id").alias("seq"), "doc_id", "text"), f"{at}/rows", f"{at}/state").awaitTermination()
+    return live.current_index(spark, f"{at}/rows")
+
+
+@query(_CONVERSATIONS)
+def stream_conversations(spark, d):
+    at = folder(spark, "conversations")
+    said = _stream(spark, d, "conversations").where("role <> 'system'").select("conv_id", "turn", "role", "text")
+    live.live_conversations(said, at, f"{at}/state").awaitTermination()
+    return live.current_view(spark, at)
+
+
+@query(_NEWEST % 20)
+def stream_transcripts(spark, d):
+    at = folder(spark, "transcripts")
+    said = _stream(spark, d, "conversations").where("role <> 'system'").select("conv_id", "turn", "role", "text")
+    live.live_transcripts(said, at, f"{at}/state", 20).awaitTermination()
+    return live.current_view(spark, at).select("conv_id", "turn", "rk")

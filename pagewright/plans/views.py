@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.functions import lexicon as L
+
 PAGE_LINES = 10
 
 
@@ -61,6 +63,11 @@ def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(F.slice(tokens(F.col("text")), 1, 3)).alias("terms"))
 
 
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, question: the user turns."""
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 10000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
+
+
 def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """archive (host), entry_no, path, size: pages as entries of one archive a host."""
     p = table(spark, sf_dir, "pages")
@@ -92,3 +99,133 @@ entries AS (SELECT regexp_extract(regexp_extract(url, '://([^?#]*)', 1), '^([^/]
     regexp_extract(regexp_extract(url, '://([^?#]*)', 1), '^[^/]*/(.*)$', 1) AS path, strlen(html)::BIGINT AS size,
     trunc(strlen(html) / (page_id % 400 + 1))::BIGINT AS compressed FROM pages)
 """
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _list(words) -> str:
+    return "[" + ", ".join(map(_text, words)) + "]"
+
+
+def _any(words, of: str = "tokens") -> str:
+    return f"list_has_any({of}, {_list(words)})"
+
+
+def _holds(phrases) -> str:
+    return "(" + " OR ".join(f"contains(normalised, {_text(p)})" for p in phrases) + ")"
+
+
+def _drop(of: str, words) -> str:
+    return f"list_filter({of}, lambda x: NOT list_contains({_list(sorted(set(words)))}, x))"
+
+
+def _first(of: str) -> str:
+    """Each value once, where it stands first."""
+    return f"list_filter({of}, lambda x, i: list_position({of}, x) = i)"
+
+
+_TRIM = r"regexp_replace(%s, '^\s+|\s+$', '', 'g')"
+_TOKENS = r"list_filter(regexp_split_to_array(lower(%s), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2)"
+_BREAKS = r"([.!?;])(\s+)|(\n+)"
+
+#: passages of at most 220 characters, with offsets: parts between marks, long ones cut one piece a step
+SPANS = rf""", marked AS (SELECT doc_id, page_index, string_split_regex(regexp_replace(text, '{_BREAKS}', '\1' || chr(1) || '\2\3' || chr(2), 'g'), '[\x01\x02]') AS parts FROM pgs),
+part AS (SELECT doc_id, page_index, parts[i] AS span, coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x))), 0)::BIGINT AS pos
+    FROM (SELECT doc_id, page_index, parts, unnest(range(1, len(parts) + 1)) AS i FROM marked)),
+pieces AS (SELECT doc_id, page_index, pos, '' AS piece, span AS rest FROM part
+    UNION ALL SELECT doc_id, page_index, pos + length(piece), rest[1:k], rest[k + 1:] FROM (SELECT *, CASE WHEN length(rest) <= 220 THEN length(rest)
+        ELSE coalesce(nullif(length(regexp_extract(rest[1:221], '(?s)^(.+) ', 1)), 0), 220) END AS k FROM pieces WHERE rest <> '')),
+spans AS (SELECT doc_id, page_index, pos + length(piece) - length(regexp_replace(piece, '^\s+', '')) AS start, {_TRIM % "piece"} AS text FROM pieces WHERE length({_TRIM % "piece"}) >= 12)"""
+
+#: questions with what they ask for
+_normalised = "lower(question)"
+for _short, _long in L.CONTRACTIONS.items():
+    _normalised = f"replace({_normalised}, {_text(_short)}, {_text(_long)})"
+_intent = " ".join(f"WHEN {_any(words)} THEN '{name}'" for name, words in L.INTENTS.items())
+_alike = "MAP {" + ", ".join(f"{_text(t)}: {_list(o)}" for t, o in L.ALTERNATIVES.items()) + "}"
+QUESTIONS = rf""", q0 AS (SELECT conv_id * 10000 + turn AS qid, coalesce(text, '') AS question FROM conversations WHERE role = 'user'),
+q1 AS (SELECT qid, question, {_normalised} AS normalised, list_filter(list_transform(regexp_extract_all(question, '"([^"]+)"', 1), lambda p: lower({_TRIM % "p"})), lambda p: p <> '') AS phrases FROM q0),
+q2 AS (SELECT *, {_TOKENS % "normalised"} AS tokens FROM q1),
+q3 AS (SELECT *, {_drop(_first("tokens"), L.STOPWORDS)} AS plain, CASE {_intent} ELSE 'general' END AS intent FROM q2),
+q4 AS (SELECT *, CASE WHEN len(plain) = 0 AND len(phrases) = 0 THEN {_first("tokens")} ELSE plain END AS terms,
+    CASE WHEN {_any(L.EXPLAIN + L.ABOUT)} OR {_holds(L.ABOUT_PHRASES)} OR regexp_matches({_TRIM % "normalised"}, {_text(L.ABOUT_PATTERN)}) THEN 'explain'
+    WHEN {_any(L.SUMMARY)} OR {_holds(L.SUMMARY_PHRASES)} THEN 'summary'
+    WHEN len({_drop("tokens", L.STOPWORDS + L.REQUEST + L.VOCABULARY)}) = 0 AND ({_any(L.ENUMERATION + L.PLURALS + L.MENTION + L.POINTING)} OR {_holds(L.ENUMERATION_PHRASES)})
+        AND intent <> 'place' THEN 'find' ELSE 'answer' END AS mode FROM q3),
+q5 AS (SELECT *, {_drop("terms", L.REQUEST)} AS c, {_alike} AS alike FROM q4),
+analysed AS (SELECT *, CASE WHEN len(c) = 0 THEN terms ELSE c END AS content, {_drop("terms", L.REQUEST + L.VOCABULARY)} AS subject_terms,
+    list_sort(list_filter(list_distinct(flatten(list_transform(terms, lambda t: coalesce(map_extract_value(alike, t), [])))), lambda a: NOT list_contains(terms, a))) AS synonyms,
+    mode = 'summary' AND {_any(L.BRIEF)} AS brief, len({_drop("tokens", L.WHOLE_DOCUMENT)}) = 0 AS names_only_document,
+    len(regexp_split_to_array({_TRIM % "question"}, '\s+')) >= 8 AS reads_as_prose FROM q5)"""
+
+#: the best documents of each question
+PRIORS = """, p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(body) AS term FROM toks) GROUP BY 1, 2),
+s AS (SELECT count(*) AS n, avg(len(body)) FILTER (WHERE len(body) > 0) AS avgdl FROM toks),
+x AS (SELECT qid, p.doc_id, round(sum(ln(1 + (n - 0.5) / 1.5) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(body) / avgdl))), 6) AS score
+    FROM (SELECT qid, unnest(terms) AS term FROM analysed) JOIN p USING (term) JOIN toks ON toks.doc_id = p.doc_id, s GROUP BY 1, 2),
+cand AS (SELECT qid, doc_id, CASE WHEN best <= 0 THEN 1.0 ELSE round(0.5 + 0.5 * score / best, 6) END AS prior FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best,
+    row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk FROM x) WHERE rk <= 6)"""
+
+
+def _pattern(kind: str) -> str:
+    """The shape without look-ahead; digits in an identifier are asked for afterwards."""
+    return L.SHAPES[kind].replace("(?=[A-Za-z0-9-]*[0-9])", "")
+
+
+def _good(kind: str, value: str) -> str:
+    if kind == "identifier":
+        return f"regexp_matches({value}, '[0-9]')"
+    if kind == "name":
+        words = rf"regexp_split_to_array(lower({value}), '\s+')"
+        return f"NOT {_any(L.FURNITURE, words)} AND NOT list_contains({_list(L.ORGANISATIONS)}, {words}[-1])"
+    return "true"
+
+
+def _has(intent: str) -> str:
+    return "(" + " OR ".join(f"len(list_filter(regexp_extract_all(text, {_text(_pattern(k))}), lambda v: {_good(k, 'v')})) > 0" for k in L.ANSWERS[intent]) + ")"
+
+
+_shaped = " ".join(f"WHEN '{i}' THEN {_has(i)}" for i in L.SHAPED)
+RANK = f""", w AS (SELECT *, {_TOKENS % "text"} AS words FROM spans WHERE doc_id IN (SELECT doc_id FROM cand)),
+r1 AS (SELECT qid, doc_id, page_index, start, text, prior, phrases, intent, content, words, alike, list_concat(content, synonyms) AS near, len(words) AS nw, len(content) AS k
+    FROM cand JOIN analysed USING (qid) JOIN w USING (doc_id) WHERE len(words) > 0 AND len(list_filter(phrases, lambda f: NOT contains(lower(text), f))) = 0),
+r2 AS (SELECT *, len(list_filter(content, lambda t: list_contains(words, t))) + 0.6::DOUBLE * len(list_filter(content, lambda t: NOT list_contains(words, t)
+        AND coalesce(list_has_any(map_extract_value(alike, t), words), false))) AS credit, list_filter(range(0, nw), lambda i: list_contains(near, words[i + 1])) AS spots FROM r1),
+r3 AS (SELECT *, CASE WHEN k = 0 THEN CASE WHEN len(phrases) > 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0, credit / k) END::DOUBLE AS cov FROM r2),
+r4 AS (SELECT *, coalesce(list_max(spots) - list_min(spots), 0) AS spread, CASE intent {_shaped} ELSE false END AS shaped FROM r3 WHERE len(phrases) > 0 OR (cov > 0 AND (k <= 1 OR cov >= 0.5))),
+ranked AS (SELECT qid, doc_id, page_index, start, text, round(cov, 6) AS coverage, shaped,
+    round(cov * (1 + ln(1 + len(spots))) / (1 + spread / nw) / (1 + abs(nw - 25) / 25) * CASE WHEN shaped THEN 1.35 ELSE 1.0 END::DOUBLE * prior::DOUBLE, 6) AS score FROM r4)"""
+
+SELECTED = """, s1 AS (SELECT *, row_number() OVER (PARTITION BY qid, doc_id, page_index ORDER BY score DESC, start) AS r FROM ranked),
+s2 AS (SELECT * EXCLUDE (r), row_number() OVER (PARTITION BY qid, doc_id ORDER BY score DESC, page_index, start) AS r FROM s1 WHERE r = 1),
+s3 AS (SELECT * EXCLUDE (r), row_number() OVER o AS rk, sum(length(text)) OVER (o ROWS UNBOUNDED PRECEDING) AS used FROM s2 WHERE r <= 2 WINDOW o AS (PARTITION BY qid ORDER BY score DESC, doc_id, page_index, start)),
+selected AS (SELECT * FROM s3 WHERE rk <= 4 AND (used <= 1200 OR rk = 1))"""
+
+#: facts with their offsets: odd parts between the marks are the matches
+_each = "\n    UNION ALL ".join(
+    f"SELECT doc_id, page_index, '{i}' AS intent, '{k}' AS kind, string_split_regex(regexp_replace({'flat' if k == 'name' else 'text'}, {_text('(' + _pattern(k) + ')')}, chr(1) || '\\1' || chr(2), 'g'), '[\\x01\\x02]') AS parts FROM fp"
+    for i, kinds in L.ANSWERS.items() for k in kinds
+)
+_kept = " ".join(f"WHEN '{k}' THEN {_good(k, 'value')}" for k in ("identifier", "name"))
+FACTS = rf""", fp AS (SELECT doc_id, page_index, text, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^#{{1,3}}\s+') THEN repeat(' ', length(x)) ELSE x END), chr(10)) AS flat FROM pgs),
+every AS ({_each}),
+placed AS (SELECT doc_id, page_index, intent, kind, list_sum(list_transform(parts[1:i - 1], lambda x: length(x)))::BIGINT AS start, parts[i] AS value
+    FROM (SELECT *, unnest(range(2, len(parts) + 1, 2)) AS i FROM every)),
+located AS (SELECT * FROM placed WHERE CASE kind {_kept} ELSE true END)"""
+FACT_KEYS = rf""", tidied AS (SELECT *, regexp_replace(regexp_replace(value, '\s+', ' ', 'g'), '^[\s.,;:*_]+|[\s.,;:*_]+$', '', 'g') AS v FROM located),
+keyed AS (SELECT *, regexp_replace(regexp_replace(lower(v), '\s+', ' ', 'g'), '^[^A-Za-z0-9_€£$¥₹+]+|[^A-Za-z0-9_]+$', '', 'g') AS key FROM tidied),
+firsts AS (SELECT doc_id, intent, page_index, start, v AS value FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, intent, key ORDER BY page_index, start, v) AS r FROM keyed WHERE key <> '') WHERE r = 1),
+ranked_facts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, intent ORDER BY page_index, start, value) AS rk FROM firsts)"""
+
+#: the weight of a document's words, and of its passages
+WEIGHTS = f""", kept AS (SELECT doc_id, page_index, start, {_drop("ws", L.STOPWORDS)} AS ws FROM (SELECT *, {_TOKENS % "text"} AS ws FROM spans)),
+wc AS (SELECT doc_id, page_index, start, term, count(*) AS n FROM (SELECT doc_id, page_index, start, unnest(ws) AS term FROM kept) WHERE NOT regexp_matches(term, '^[0-9]+$') GROUP BY 1, 2, 3, 4),
+wt AS (SELECT doc_id, term, sum(n) AS tf, count(*) AS sf FROM wc GROUP BY 1, 2),
+weights AS (SELECT doc_id, term, tf, sf, tf / max(tf) OVER (PARTITION BY doc_id) * ln((m + 1) / sf) AS weight FROM wt JOIN (SELECT doc_id, count(*) AS m FROM spans GROUP BY 1) USING (doc_id))"""
+_fact = " OR ".join(_has(i) for i in ("date", "amount", "identifier", "contact"))
+SCORES = f""", mean AS (SELECT doc_id, page_index, start, avg(weight) AS mean FROM wc JOIN weights USING (doc_id, term) GROUP BY 1, 2, 3),
+nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, start) AS nth, len({_TOKENS % "text"}) AS nw FROM spans),
+scored AS (SELECT doc_id, page_index, start, round(mean / (1 + abs(nw - 22) / 22) * CASE WHEN page_index = 0 AND nth <= 3 THEN 1.2 ELSE 1.0 END::DOUBLE
+    * CASE WHEN {_fact} THEN 1.25 ELSE 1.0 END::DOUBLE, 6) AS score FROM nth JOIN mean USING (doc_id, page_index, start) WHERE mean > 0)"""
