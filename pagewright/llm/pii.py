@@ -60,7 +60,8 @@ def _digits(value: str) -> str:
     return f"regexp_replace({value}, '[^0-9]', '')"
 
 
-_BYTE = "0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
+#: 0 to 255 with any leading zeros; a part of zeros only is the last alternative, as 0*+ gives none back
+_BYTE = "(?:0*+(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])|0++)"
 VALID = {
     "email": "true",
     "ip": f"x.value rlike '^{_BYTE}(?:[.]{_BYTE}){{3}}$'",

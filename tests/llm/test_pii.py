@@ -71,3 +71,11 @@ def test_contexts(spark):
     check(rows, got)
     assert {r.doc_id: r.spans for r in got if "id:" in r.spans} == {20: "id:20:31"}
     assert pii.report(pii.extract(docs.limit(0))).count() == 0
+
+
+def test_zero_parts(spark):
+    """Parts of an address may be zero."""
+    rows = [(1, "0.0.0.0 10.0.0.1 8.8.00.4 1.2.3.0 127.0.0.1"), (2, "000.0.00.0256 0.0.0.256 0255.000.0.010"), (3, ".".join(["0" * 4000] * 4)), (4, ".".join(["0" * 4000] * 3 + ["0" * 4000 + "300"]))]
+    got = pii.report(pii.extract(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    check(rows, got)
+    assert {r.doc_id: r.n_ip for r in got} == {1: 5, 2: 1, 3: 1, 4: 0}
