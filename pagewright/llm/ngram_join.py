@@ -126,12 +126,12 @@ def join_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     table = work.keep(_described(docs, rarity, k), "documents")
     full = table.where("node is not null")
 
-    # one row for each prefix token of a group, and one for each node of a group (its token is the group's own)
+    # one row for each prefix token of a group, and one for each node of a group (its token is the group's own, its bits tell it apart)
     tokens = full.where("prefix is not null").select(F.posexplode("prefix").alias("at", "token"), "node", "size", "pop", "skip")
     tokens = tokens.select("token", F.expr("-pop").alias("rank"), "node", "size", (F.col("at") + F.col("skip")).alias("pos"), F.lit(0).cast("long").alias("bits"), F.lit(0).cast("long").alias("more"))
     members = full.groupBy("grp", "node").agg(F.min("size").alias("size"), F.max("pop").alias("pop"))
     several = work.keep(members.withColumn("n", F.count("*").over(_by("grp"))).where("n > 1").drop("n"), "members")
-    inner = several.select(F.xxhash64("grp", F.lit(1)).alias("token"), F.expr("-pop").alias("rank"), "node", "size", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("bits"), F.lit(0).cast("long").alias("more"))
+    inner = several.select(F.xxhash64("grp", F.lit(1)).alias("token"), F.expr("-pop").alias("rank"), "node", "size", F.lit(0).alias("pos"), F.lit(1).cast("long").alias("bits"), F.lit(0).cast("long").alias("more"))
     found = work.keep(P.compare(tokens.unionByName(inner), WHOLE), "candidates")
     pairs = found.where("lead is null").select("x", "y").distinct()
     pairs = work.keep(pairs, "pairs")
@@ -140,17 +140,25 @@ def join_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     work.drop("sets")
     now = work.keep(connected(links, work, "a"), "first")
 
-    # what is left: rows of large buckets outside the component of their bucket's first node, and members of paired groups
+    # what is left: rows of large buckets that stand for a node outside the component of their bucket's first node, and members of
+    # paired groups. A row of a prefix token stands for all nodes of its group, so for the components from the least to the greatest.
     placed = lambda df, node, out: df.join(now.select(F.col("node").alias(node), F.col("component").alias(out)), node, "left").withColumn(out, F.coalesce(out, node))
-    rest = work.keep(placed(placed(found.where("lead is not null"), "x", "cx"), "lead", "clead"), "rest")
-    a = rest.where("cx <> clead").select("token", "x", "cx", F.struct(*P.ROW).alias("a"))
-    b = rest.select("token", F.col("x").alias("y"), F.col("cx").alias("cy"), F.struct(*P.ROW).alias("b"))
-    more = a.join(b, "token").where("cx <> cy").where(P.may_link("a", "b")).select("x", "y")
     of = several.select("grp", "node")
-    grown = pairs.join(of.select(F.col("node").alias("x"), F.col("grp").alias("gx")), "x", "left").join(of.select(F.col("node").alias("y"), F.col("grp").alias("gy")), "y", "left").where("(gx is not null or gy is not null) and not gx <=> gy")
-    grown = grown.join(of.select(F.col("grp").alias("gx"), F.col("node").alias("mx")), "gx", "left").join(of.select(F.col("grp").alias("gy"), F.col("node").alias("my")), "gy", "left")
-    grown = placed(placed(grown.select(F.coalesce("mx", "x").alias("x"), F.coalesce("my", "y").alias("y")), "x", "cx"), "y", "cy").where("cx <> cy").select("x", "y")
-    open_ = more.unionByName(grown).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
+    spans = placed(of, "node", "c").groupBy("grp").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    rows = placed(placed(found.where("lead is not null"), "x", "cx"), "lead", "clead").join(of.withColumnRenamed("node", "x"), "x", "left").join(spans, "grp", "left")
+    alone = F.col("low").isNull() | (F.col("bits") == 1)
+    rest = work.keep(rows.withColumns({k: F.when(alone, F.col("cx")).otherwise(F.col(k)) for k in ("low", "high")}), "rest")
+    a = rest.where("low <> clead or high <> clead").select("token", "x", F.col("low").alias("la"), F.col("high").alias("ha"), F.struct(*P.ROW).alias("a"))
+    b = rest.select("token", F.col("x").alias("y"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.struct(*P.ROW).alias("b"))
+    more = a.join(b, "token").where("x <> y and least(la, lb) <> greatest(ha, hb)").where(P.may_link("a", "b")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    both = pairs.unionByName(more).join(of.select(F.col("node").alias("x"), F.col("grp").alias("gx")), "x", "left").join(of.select(F.col("node").alias("y"), F.col("grp").alias("gy")), "y", "left")
+    # two nodes of one group meet in the group's own bucket
+    both = work.keep(both.distinct(), "grouped")
+    apart = both.where("not gx <=> gy or gx is null")
+    grown = apart.join(of.select(F.col("grp").alias("gx"), F.col("node").alias("mx")), "gx", "left").join(of.select(F.col("grp").alias("gy"), F.col("node").alias("my")), "gy", "left")
+    grown = grown.select(F.coalesce("mx", "x").alias("x"), F.coalesce("my", "y").alias("y")).unionByName(both.where("gx = gy").select("x", "y"))
+    grown = placed(placed(grown, "x", "cx"), "y", "cy").where("cx <> cy").select("x", "y")
+    open_ = grown.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
     open_ = work.keep(open_, "open")
     if open_.isEmpty():
         component = now
@@ -158,7 +166,7 @@ def join_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         sets = _node_sets(texts, open_.select(F.explode(F.array("x", "y")).alias("node")).distinct(), k)
         links = links.unionByName(P.verified(open_, work.keep(sets, "more_sets")))
         component = work.keep(connected(links, work, "b"), "second")
-    work.drop("rest", "candidates", "more_sets")
+    work.drop("rest", "candidates", "grouped", "more_sets")
 
     least = full.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
     named = least.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))

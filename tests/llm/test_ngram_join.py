@@ -54,3 +54,23 @@ def test_keep_one(spark):
     docs = spark.createDataFrame([(*r, "t") for r in rows], "doc_id long, text string, text_hash string")
     got = sorted(((r.doc_id, r.text) for r in ngram_join.keep_one(docs.select("doc_id", "text")).collect()), key=str)
     assert got == sorted([(1, "a b c d e f"), (3, ""), (4, None), (5, "x y"), (None, "lone"), (6, "")], key=str)
+
+
+def test_groups_in_large_buckets(spark, monkeypatch):
+    """Groups (equal prefixes and sizes) of several unlinked nodes, whose links lie in buckets above WHOLE."""
+    monkeypatch.setattr(ngram_join, "WHOLE", 6)
+    monkeypatch.setattr(prefixjoin, "LEAD", 2)
+    rng = random.Random(3)
+    common = [f"c{i}" for i in range(40)]
+    tails = [rng.sample(common, 7) for _ in range(30)]
+    rows = [" ".join(common * 500)]
+    for group in range(16):
+        # the first node of each group links with those of all others, the rest with a few
+        for tail in [tails[0], *rng.sample(tails[1:], 4)]:
+            rows.append(" ".join(["r", "s", f"a{group}", *tail]))
+    rows = [(i, r, "x", 1) for i, r in enumerate(rows)]
+    want = components([r[:2] for r in rows], 1)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    for dealt in (docs.coalesce(1), docs.repartition(3, "doc_id")):
+        got = ngram_join.join_components(dealt, 1)
+        assert rows_of(got) == {(d, n, c) for d, (n, c) in want.items()}
