@@ -2,7 +2,8 @@
 
 A line is the set of its distinct words (white-space words, A-Z lower-cased). Two lines match when their Jaccard
 similarity is 0.8 or more. A line is removed when an earlier line matches it, earlier by (doc_id, line number); the
-rest of its text stays as it is. Lines of fewer than ``LEAST_WORDS`` distinct words are no evidence of copying and stay.
+rest of its text stays as it is. Lines of fewer than ``least`` distinct words stay: with 1 every line that has a word
+takes part, as in the query; the pipeline leaves lines of fewer than ``LEAST_WORDS`` alone.
 
 Words are ordered by rarity (counted over all lines); lines that share a word in their prefixes are compared under
 the length, positional and parity filters, and verified on their sets. Equal lines are one node first. A line that has
@@ -28,23 +29,27 @@ from .storage import Workspace
 from .textnum import SPACE, hashed_words, set_hash
 
 LEAST_WORDS = 5
+#: smaller sets only link with their equals, which are one node: 3 of 4 words are no 80 %
+LEAST_NEAR = 4
+#: lines that a task holds as Python objects at a time
+FLUSH = 8192
 #: counters for word frequencies: 4 MB of levels, whatever the input
 BITS = 22
 WHOLE = 512
 LAST = 2**63 - 1
 
 
-def _line_sets(column, rarity):
+def _line_sets(column, rarity, least: int):
     """(row, line number, tokens by rarity) of every line with enough words."""
     for low, first, words, text, line in hashed_words(column, SPACE, by_line=True):
         tokens = P.ordered_tokens(words, rarity)
-        for i in np.flatnonzero(np.diff(first) >= LEAST_WORDS):
+        for i in np.flatnonzero(np.diff(first) >= least):
             values = np.unique(tokens[first[i] : first[i + 1]])
-            if len(values) >= LEAST_WORDS:
+            if len(values) >= least:
                 yield low + int(text[i]), int(line[i]), values
 
 
-def _described(docs: DataFrame, rarity) -> DataFrame:
+def _described(docs: DataFrame, rarity, least: int) -> DataFrame:
     """Per line its node, size and parity bits, and, where a task first meets a node, its prefix."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
     names = ["doc", "text_hash", "line", "node", "size", "bits", "more", "skip", "prefix"]
@@ -55,20 +60,24 @@ def _described(docs: DataFrame, rarity) -> DataFrame:
         for batch in batches:
             ids, hashes = batch["doc"].to_pylist(), batch["text_hash"].to_pylist()
             rows = []
-            for row, line, values in _line_sets(batch["text"], levels):
+            for row, line, values in _line_sets(batch["text"], levels, least):
                 node, n = set_hash(values), len(values)
                 # a counter of one proves a word unique: it is on no other line
                 alone = int(np.searchsorted(values >> P.LEVEL_SHIFT, 9))
-                prefix = None if node in seen else values[min(alone, P.prefix_length(n)) : P.prefix_length(n)].view(np.int64)
-                seen.add(node)
+                prefix = None if n < LEAST_NEAR or node in seen else values[min(alone, P.prefix_length(n)) : P.prefix_length(n)].view(np.int64)
+                if n >= LEAST_NEAR:
+                    seen.add(node)
                 rows.append((ids[row], hashes[row], line, node, n, *(P.parity(values) if prefix is not None else (0, 0)), alone, prefix))
+                if len(rows) == FLUSH:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                    rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
     return docs.mapInArrow(run, "doc long, text_hash long, line int, node long, size int, bits long, more long, skip int, prefix array<long>")
 
 
-def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity) -> DataFrame:
+def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity, least: int) -> DataFrame:
     """(node, tokens) of the given nodes, from the texts in which they come first."""
     where = firsts.join(nodes, "node").select("first.doc", "first.text_hash")
     texts = with_marks(docs.select("doc", "text_hash", "text"), marks_of(where, "doc", "text_hash"), "doc", "text_hash").where("marked").select("text")
@@ -78,7 +87,7 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity) ->
         seen = set()
         for batch in batches:
             node, tokens = [], []
-            for _, _, values in _line_sets(batch["text"], shared.value):
+            for _, _, values in _line_sets(batch["text"], shared.value, max(least, LEAST_NEAR)):
                 h = set_hash(values)
                 if h not in seen:
                     seen.add(h)
@@ -89,10 +98,10 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity) ->
     return texts.mapInArrow(run, "node long, tokens array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def removed_lines(docs: DataFrame, work: Workspace) -> DataFrame:
+def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) -> DataFrame:
     """(doc, text_hash, line) of the lines to remove; ``docs`` has doc (doc_id, last if null), text_hash and text."""
     rarity = sketch_levels(docs.select("text"), lambda b: (w for _, _, w, _, _ in hashed_words(b["text"], SPACE)), BITS)
-    table = work.keep(_described(docs, rarity), "lines")
+    table = work.keep(_described(docs, rarity, least), "lines")
     place = F.struct("doc", "line", "text_hash")
     firsts = work.keep(table.groupBy("node").agg(F.min(place).alias("first")), "firsts")
     tokens = table.where("prefix is not null").select(F.posexplode("prefix").alias("at", "token"), F.col("doc").alias("rank"), "node", "size", "skip", "bits", "more")
@@ -102,7 +111,7 @@ def removed_lines(docs: DataFrame, work: Workspace) -> DataFrame:
     def later(open_: DataFrame, name: str) -> DataFrame:
         """Nodes of linked pairs that have an earlier partner."""
         nodes = work.keep(open_.select(F.explode(F.array("x", "y")).alias("node")).distinct(), f"{name}_nodes")
-        links = P.verified(open_, work.keep(_node_sets(docs, nodes, firsts, rarity), f"{name}_sets"))
+        links = P.verified(open_, work.keep(_node_sets(docs, nodes, firsts, rarity, least), f"{name}_sets"))
         a, b = (firsts.select(F.col("node").alias(k), F.col("first").alias(f"first_{k}")) for k in "xy")
         both = links.join(a, "x").join(b, "y")
         return work.keep(both.select(F.when(F.col("first_x") < F.col("first_y"), F.col("y")).otherwise(F.col("x")).alias("node")).distinct(), name)
@@ -124,13 +133,13 @@ def removed_lines(docs: DataFrame, work: Workspace) -> DataFrame:
     return lines.where(F.coalesce("gone", F.lit(False)) | (F.struct("doc", "line", "text_hash") > F.col("first"))).select("doc", "text_hash", "line").distinct()
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` with the text of each row without its removed lines, and two columns: n_lines, n_removed."""
     work = Workspace(docs.sparkSession, "lines")
     names = docs.columns
     keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
     keys = keyed.select("doc", "text_hash", F.col("text").cast("string").alias("text"))
-    gone = removed_lines(keys, work)
+    gone = removed_lines(keys, work, least)
     gone = work.keep(gone.groupBy("doc", "text_hash").agg(F.collect_set("line").alias("gone")), "removed")
     both = with_marks(keyed, marks_of(gone, "doc", "text_hash"), "doc", "text_hash")
     hit = both.where("marked").join(gone, ["doc", "text_hash"], "left")

@@ -32,7 +32,7 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"), least=1)
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

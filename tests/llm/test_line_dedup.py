@@ -1,7 +1,7 @@
 import random
 
 from brute import dedup_lines
-from pagewright.llm import line_dedup, prefixjoin
+from pagewright.llm import line_dedup, prefixjoin, queries
 
 
 def same(df, rows):
@@ -41,3 +41,17 @@ def test_edges(spark):
     docs = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, node string, line int")
     same(docs, rows)
     assert line_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def test_short_lines(spark, sf_dir, tmp_path):
+    """In the query every line with a word takes part, however few distinct words it has."""
+    rng = random.Random(11)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    top = max(d for d, _ in rows)
+    for d in range(top + 1, top + 60):
+        rows.append((d, "\n".join(" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 6))) for _ in range(rng.randint(1, 4)))))
+    rows += [(top + 100, "one\n\none\nOne  ONE"), (top + 101, "a b a b " * 200 + "\nx y z q\nx y z q w"), (top + 102, "a b a b " * 200), (None, "one")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.text) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(dedup_lines(rows, 1), key=str)
+    assert (top + 100, "one\n") in got and (top + 102, "") in got
