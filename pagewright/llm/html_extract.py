@@ -2,8 +2,9 @@
 
 The standard library's parser streams events; each block of text becomes a line with its text-to-tag ratio. The ratios
 are smoothed with a Gaussian and split into two clusters; lines of the upper one anchor the content. The region is the
-innermost container that keeps most of the anchored text, and all of its lines belong to it, short ones too, except
-what is marked as no part of an article: menus, headers, footers, sidebars, notices, adverts, forms, comments.
+innermost container that holds all anchored lines (those in article and main elements, where these hold most of the
+anchored text), and all of its lines belong to it, short ones too, except what is marked as no part of an article:
+menus, headers, footers, sidebars, notices, adverts, forms, comments.
 
 Defined cases: a null or empty html, and a page with no text outside such parts, give an empty text; unclosed tags end
 with what holds them; repeated rows are extracted each; an empty table gives no rows; extra columns are ignored.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIGMA = 1.0
-#: a container is entered while it holds this share of the anchored text
+#: article and main elements are the content where they hold this share of the anchored text together
 SHARE = 0.6
 #: lines of links outside the content clusters, in a region without an article, are menus
 LINKS = 0.6
@@ -151,30 +152,28 @@ def main_text(html: str | None) -> str:
     if not free.any():
         return ""
     anchor = content & free if (content & free).any() else free
+    named, inside = ([False] * len(reader.parents) for _ in range(2))
+    for c in range(len(named)):  # parents come first
+        named[c] = reader.names[c] in ("article", "main") or (c > 0 and named[reader.parents[c]])
+    size = np.array([len(text) for text, *_ in lines])
+    marked = anchor & np.array([named[container] for *_, container, _ in lines])
+    if size[marked].sum() >= SHARE * size[anchor].sum():
+        anchor = marked
     held = [0] * len(reader.parents)
-    for (text, _, _, container, _), ok in zip(lines, anchor):
-        while ok and container >= 0:
-            held[container] += len(text)
+    for k in np.flatnonzero(anchor):
+        container = lines[k][3]
+        while container >= 0:
+            held[container] += 1
             container = reader.parents[container]
-    children: dict[int, list[int]] = {}
-    for child, parent in enumerate(reader.parents):
-        children.setdefault(parent, []).append(child)
     region = 0
-    while True:
-        best = max(children.get(region, ()), key=lambda c: held[c], default=None)
-        if best is None or held[best] < SHARE * held[0] or reader.names[region] in ("article", "main"):
-            break
-        region = best
-    inside = [False] * len(reader.parents)
-    for c in range(len(inside)):  # parents come first
+    for c in range(1, len(held)):  # the containers that hold all anchored lines are one path
+        if held[c] == held[0] and reader.names[region] not in ("article", "main"):
+            region = c
+    for c in range(len(inside)):
         inside[c] = c == region or (c > 0 and inside[reader.parents[c]])
-    article, walk = False, region
-    while walk >= 0:
-        article = article or reader.names[walk] in ("article", "main")
-        walk = reader.parents[walk]
     kept = []
     for k, (text, _, linked, container, apart) in enumerate(lines):
-        if inside[container] and not apart and (article or content[k] or linked < LINKS * len(text)):
+        if inside[container] and not apart and (named[container] or content[k] or linked < LINKS * len(text)):
             kept.append(text)
     return " ".join(kept)
 

@@ -44,3 +44,16 @@ def test_edges(spark):
     got = sorted(map(str, (tuple(r) for r in H.extract(pages).collect())))
     assert got == sorted(map(str, [(1, None, "", 0), (2, "u", "", 0), (2, "u", "a", 1), (2, "u", "a", 1), (None, "v", "b", 1)]))
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_uneven_parts():
+    """An article in uneven sections, divs or sibling articles keeps all of them, short lines too."""
+    long = "A sentence of the article that is long enough to count as content here, number"
+    first, second = ([f"{long} {k}." for k in r] for r in (range(13), range(13, 20)))
+    want = " ".join([*first, "Short.", *second])
+    menu, foot = '<ul class="menu"><li><a href=/>Home</a></ul>', "<footer>Foot</footer>"
+    for tag in ("section", "div", "article"):
+        a, b = ("".join(f"<p>{x}</p>" for x in part) for part in (first, ["Short.", *second]))
+        page = f"<body>{menu}<div><{tag}>{a}</{tag}><{tag}>{b}</{tag}></div><div><a href=/x>More</a> <a href=/y>Other</a></div>{foot}"
+        assert H.main_text(page) == want, tag
+    assert H.main_text(f"<body><div><div>{a}</div>{b}</div>{foot}") == want
