@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 ENTRY_BYTES, RATIO = 128 * 1024 * 1024, 300
 ARCHIVE_ENTRIES, ARCHIVE_BYTES = 4000, 512 * 1024 * 1024
+BUILD_SOURCES, BUILD_BYTES = 500, 2 * 1024 * 1024 * 1024
 
 
 def entry_safety(entries: DataFrame) -> DataFrame:
@@ -37,3 +38,11 @@ def running_totals(entries: DataFrame, limit: int) -> DataFrame:
     """Entries of each archive while their running size stays within ``limit``."""
     upto = Window.partitionBy("archive").orderBy("entry_no").rowsBetween(Window.unboundedPreceding, 0)
     return entries.withColumn("running", F.sum("size").over(upto)).where(F.col("running") <= limit)
+
+
+def build_plan(entries: DataFrame, sources: int = BUILD_SOURCES, limit: int = BUILD_BYTES) -> DataFrame:
+    """Every entry with its running size, ``taken`` and, where it is not, the reason: a build beyond a limit is refused as a whole."""
+    own = Window.partitionBy("archive")
+    upto = own.orderBy("entry_no").rowsBetween(Window.unboundedPreceding, 0)
+    reason = F.when(F.count("*").over(own) > sources, "too many sources").when(F.sum("size").over(own) > limit, "too many bytes")
+    return entries.withColumns({"running": F.sum("size").over(upto), "reason": reason}).withColumn("taken", F.col("reason").isNull())

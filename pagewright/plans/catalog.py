@@ -321,6 +321,13 @@ def bundle_plan(spark, d):
     return archives.running_totals(V.archive_entries(spark, d), 200_000).select("archive", "entry_no", "running")
 
 
+@query(""", b AS (SELECT archive, entry_no, sum(size) OVER (PARTITION BY archive ORDER BY entry_no)::BIGINT AS running,
+    count(*) OVER (PARTITION BY archive) AS n, sum(size) OVER (PARTITION BY archive) AS total FROM entries)
+SELECT archive, entry_no, running, n <= 500 AND total <= 2147483648 AS taken, CASE WHEN n > 500 THEN 'too many sources' WHEN total > 2147483648 THEN 'too many bytes' END AS reason FROM b""")
+def build_plan(spark, d):
+    return archives.build_plan(V.archive_entries(spark, d)).select("archive", "entry_no", "running", "taken", "reason")
+
+
 @query()
 def size_report(spark, d):
     return V.archive_entries(spark, d).select("archive", "entry_no", T.human_size(F.col("size")).alias("readable"))
