@@ -472,5 +472,5 @@ def stream_conversations(spark, d):
 def stream_transcripts(spark, d):
     at = folder(spark, "transcripts")
     said = _stream(spark, d, "conversations").where("role <> 'system'").select("conv_id", "turn", "role", "text")
-    live.live_transcripts(said, at, f"{at}/state", 20).awaitTermination()
+    live.live_transcripts(said, at, f"{at}/state").awaitTermination()
     return live.current_view(spark, at).select("conv_id", "turn", "rk")

@@ -1,6 +1,8 @@
 """Limits that the given tables do not reach."""
 
 from pagewright.operators import archives
+from pagewright.plans import catalog
+from pagewright.streaming import live
 
 
 def test_build_plan(spark):
@@ -10,3 +12,20 @@ def test_build_plan(spark):
     assert [(r.archive, r.entry_no, r.running) for r in plan] == [("a", 1, 40), ("a", 2, 100), ("b", 1, 90), ("b", 2, 110), ("b", 3, 115), ("c", 1, 1), ("c", 2, 2), ("c", 3, 3), ("c", 4, 4)]
     assert [(r.taken, r.reason) for r in plan] == [(True, None)] * 2 + [(False, "too many bytes")] * 3 + [(False, "too many sources")] * 4
     assert archives.build_plan(entries).where("not taken").count() == 0
+
+
+def said(spark, path, n):
+    spark.createDataFrame([(1, t, "user", f"m{t}") for t in range(n)], "conv_id long, turn int, role string, text string").write.parquet(path)
+
+
+def test_stream_transcripts_keep_200(spark, tmp_path):
+    said(spark, f"{tmp_path}/conversations.parquet", 230)
+    got = sorted((r.turn, r.rk) for r in catalog.QUERIES["stream_transcripts"](spark, str(tmp_path)).collect())
+    assert got == [(t, 230 - t) for t in range(30, 230)]
+
+
+def test_live_transcripts_cap(spark, tmp_path):
+    said(spark, f"{tmp_path}/said", 9)
+    stream = spark.readStream.schema("conv_id long, turn int, role string, text string").parquet(f"{tmp_path}/said")
+    live.live_transcripts(stream, f"{tmp_path}/at", f"{tmp_path}/at/state", 4).awaitTermination()
+    assert sorted(r.turn for r in live.current_view(spark, f"{tmp_path}/at").collect()) == [5, 6, 7, 8]
