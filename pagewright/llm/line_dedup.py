@@ -7,17 +7,18 @@ takes part, as in the query; the pipeline leaves lines of fewer than ``LEAST_WOR
 
 Words are ordered by rarity (counted over all lines); lines that share a word in their prefixes are compared under
 the length, positional and parity filters, and verified on their sets. Equal lines are one node first. A line that has
-an earlier match needs no other, so large buckets meet their first lines only, and just lines without an earlier match
-are taken on to the rest.
+an earlier match needs no other, so each is verified with its first candidate before the others, large buckets meet
+their first lines only, and just lines without an earlier match are taken on to the rest.
 
 Defined cases: a null text stays null, and a text without words stays as it is; a null doc_id comes after all others;
 rows equal in doc_id and text are one document, kept alike; a text whose lines are all removed is empty; an empty table
-gives no rows; ``docs`` may have any further columns, which are kept.
+gives no rows; ``docs`` may have any further columns, whatever their names, which are kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,55 +27,77 @@ from . import prefixjoin as P
 from .marks import marks_of, with_marks
 from .sketch import levels as sketch_levels
 from .storage import Workspace
-from .textnum import SPACE, hashed_words, set_hash
+from .textnum import SPACE, distinct_in_segments, hashed_words, set_hashes
 
 LEAST_WORDS = 5
 #: smaller sets only link with their equals, which are one node: 3 of 4 words are no 80 %
 LEAST_NEAR = 4
-#: lines that a task holds as Python objects at a time
-FLUSH = 8192
 #: counters for word frequencies: 4 MB of levels, whatever the input
 BITS = 22
-WHOLE = 512
+WHOLE = 64
+#: places in a task's table of nodes that it has met
+MET_BITS = 17
 LAST = 2**63 - 1
 
 
 def _line_sets(column, rarity, least: int):
-    """(row, line number, tokens by rarity) of every line with enough words."""
+    """Blocks of line sets with enough words: each line's row and number, and the tokens by rarity with each set's start and size."""
     for low, first, words, text, line in hashed_words(column, SPACE, by_line=True):
-        tokens = P.ordered_tokens(words, rarity)
-        for i in np.flatnonzero(np.diff(first) >= least):
-            values = np.unique(tokens[first[i] : first[i + 1]])
-            if len(values) >= least:
-                yield low + int(text[i]), int(line[i]), values
+        tokens, start = distinct_in_segments(P.ordered_tokens(words, rarity), first)
+        n = np.diff(start)
+        kept = np.flatnonzero(n >= max(least, 1))
+        if len(kept) < len(n):
+            inside = np.repeat(n >= max(least, 1), n)
+            tokens, n = tokens[inside], n[kept]
+            start = np.concatenate([[0], np.cumsum(n)])
+        if len(n):
+            yield low + text[kept], line[kept], tokens, start[:-1], n
+
+
+class _Met:
+    """The nodes that a task has met of late: a table of fixed size, so some come up again."""
+
+    def __init__(self):
+        self.table = np.zeros(1 << MET_BITS, np.int64)
+
+    def new(self, nodes: np.ndarray) -> np.ndarray:
+        """True where a node was not met before; of equal ones for the first only."""
+        place = nodes & ((1 << MET_BITS) - 1)
+        fresh = np.zeros(len(nodes), bool)
+        fresh[np.unique(nodes, return_index=True)[1]] = True
+        fresh &= self.table[place] != nodes
+        self.table[place] = nodes
+        return fresh
+
+
+def _rank(ids: np.ndarray) -> np.ndarray:
+    """Ids in their order as 24-bit numbers, which distinguish the smaller ones best."""
+    return np.maximum(ids, 0).astype(np.float32).view(np.uint32).astype(np.uint64) >> np.uint64(31 - P.RANK_BITS)
 
 
 def _described(docs: DataFrame, rarity, least: int) -> DataFrame:
-    """Per line its node, size and parity bits, and, where a task first meets a node, its prefix."""
+    """Per line its node and, where a task meets a new node, the keys of its prefix and what the filters need."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
-    names = ["doc", "text_hash", "line", "node", "size", "bits", "more", "skip", "prefix"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    schema = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("info", pa.int64()), ("skip", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
-        levels, seen = shared.value, set()
+        levels, met = shared.value, _Met()
         for batch in batches:
-            ids, hashes = batch["doc"].to_pylist(), batch["text_hash"].to_pylist()
-            rows = []
-            for row, line, values in _line_sets(batch["text"], levels, least):
-                node, n = set_hash(values), len(values)
+            ids, hashes = (batch[c].to_numpy(zero_copy_only=False) for c in ("doc", "text_hash"))
+            for row, line, tokens, start, n in _line_sets(batch["text"], levels, least):
+                node = set_hashes(tokens, start, n)
                 # a counter of one proves a word unique: it is on no other line
-                alone = int(np.searchsorted(values >> P.LEVEL_SHIFT, 9))
-                prefix = None if n < LEAST_NEAR or node in seen else values[min(alone, P.prefix_length(n)) : P.prefix_length(n)].view(np.int64)
-                if n >= LEAST_NEAR:
-                    seen.add(node)
-                rows.append((ids[row], hashes[row], line, node, n, *(P.parity(values) if prefix is not None else (0, 0)), alone, prefix))
-                if len(rows) == FLUSH:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+                alone = np.add.reduceat((tokens >> P.LEVEL_SHIFT) < 9, start, dtype=np.int64)
+                last = np.where((n >= LEAST_NEAR) & met.new(node), n - (4 * n + 4) // 5 + 1, 0)
+                at = np.arange(len(tokens)) - np.repeat(start, n)
+                inside = (at >= np.repeat(alone, n)) & (at < np.repeat(last, n))
+                keys = (tokens << np.uint64(P.RANK_BITS)) | np.repeat(_rank(ids[row]), n)
+                offsets = np.concatenate([[0], np.cumsum(np.maximum(last - alone, 0))]).astype(np.int32)
+                info = np.where(last > 0, P.packed(n, np.zeros_like(n), P.parities(tokens, start)), 0)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[inside].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(hashes[row]), pa.array(line, pa.int32()), pa.array(node), pa.array(info), pa.array(alone, pa.int32()), lists], schema=schema)
 
-    return docs.mapInArrow(run, "doc long, text_hash long, line int, node long, size int, bits long, more long, skip int, prefix array<long>")
+    return docs.mapInArrow(run, "doc long, text_hash long, line int, node long, info long, skip int, keys array<long>")
 
 
 def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity, least: int) -> DataFrame:
@@ -82,18 +105,17 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity, lea
     where = firsts.join(nodes, "node").select("first.doc", "first.text_hash")
     texts = with_marks(docs.select("doc", "text_hash", "text"), marks_of(where, "doc", "text_hash"), "doc", "text_hash").where("marked").select("text")
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
+    schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
-        seen = set()
+        met = _Met()
         for batch in batches:
-            node, tokens = [], []
-            for _, _, values in _line_sets(batch["text"], shared.value, max(least, LEAST_NEAR)):
-                h = set_hash(values)
-                if h not in seen:
-                    seen.add(h)
-                    node.append(h)
-                    tokens.append(values.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "tokens"])
+            for _, _, tokens, start, n in _line_sets(batch["text"], shared.value, max(least, LEAST_NEAR)):
+                node = set_hashes(tokens, start, n)
+                new = met.new(node)
+                sizes = n[new]
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(tokens[np.repeat(new, n)].view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(node[new]), lists], schema=schema)
 
     return texts.mapInArrow(run, "node long, tokens array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
@@ -104,48 +126,69 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
     table = work.keep(_described(docs, rarity, least), "lines")
     place = F.struct("doc", "line", "text_hash")
     firsts = work.keep(table.groupBy("node").agg(F.min(place).alias("first")), "firsts")
-    tokens = table.where("prefix is not null").select(F.posexplode("prefix").alias("at", "token"), F.col("doc").alias("rank"), "node", "size", "skip", "bits", "more")
-    found = work.keep(P.compare(tokens.withColumn("pos", (F.col("at") + F.col("skip")).cast("int")), WHOLE), "candidates")
-    pairs = work.keep(found.where("lead is null").select("x", "y").distinct(), "pairs")
-
-    def later(open_: DataFrame, name: str) -> DataFrame:
-        """Nodes of linked pairs that have an earlier partner."""
+    rows = table.where("size(keys) > 0").select(F.posexplode("keys").alias("at", "key"), "node", "skip", "info")
+    rows = rows.select("key", "node", F.col("info").bitwiseOR(F.least(F.col("at") + F.col("skip"), F.lit(P.MOST_POS)).cast("long")).alias("info"))
+    found = work.keep(P.compare(rows, WHOLE), "candidates")
+    a, b = (firsts.select(F.col("node").alias(k), F.col("first").alias(f"first_{k}")) for k in "xy")
+    earlier = F.col("first_x") < F.col("first_y")
+    pairs = found.where("lead is null").select("x", "y").distinct().join(a, "x").join(b, "y")
+    pairs = work.keep(pairs.select(F.when(earlier, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(earlier, F.col("y")).otherwise(F.col("x")).alias("y"), F.least("first_x", "first_y").alias("first")), "pairs")
+
+    def shadowed(open_: DataFrame, name: str) -> DataFrame:
+        """The later nodes y of linked pairs, x being the earlier."""
         nodes = work.keep(open_.select(F.explode(F.array("x", "y")).alias("node")).distinct(), f"{name}_nodes")
-        links = P.verified(open_, work.keep(_node_sets(docs, nodes, firsts, rarity, least), f"{name}_sets"))
-        a, b = (firsts.select(F.col("node").alias(k), F.col("first").alias(f"first_{k}")) for k in "xy")
-        both = links.join(a, "x").join(b, "y")
-        return work.keep(both.select(F.when(F.col("first_x") < F.col("first_y"), F.col("y")).otherwise(F.col("x")).alias("node")).distinct(), name)
-
-    shadowed = later(pairs, "shadowed")
-    rest = found.where("lead is not null").select("token", F.col("x").alias("node"), F.struct(*P.ROW).alias("row"))
+        sets = work.keep(_node_sets(docs, nodes, firsts, rarity, least), f"{name}_sets")
+        out = work.keep(P.verified(open_, sets).select(F.col("y").alias("node")).distinct(), name)
+        work.drop(f"{name}_nodes", f"{name}_sets")
+        return out
+
+    # most nodes with an earlier match have it in their first partner; only the others meet all their partners
+    best = work.keep(pairs.groupBy("y").agg(F.min(F.struct("first", "x")).alias("best")).select("best.x", "y"), "best")
+    gone = shadowed(best, "shadowed")
+    left = work.keep(pairs.select("x", "y").join(gone.withColumnRenamed("node", "y"), "y", "left_anti").join(best, ["x", "y"], "left_anti"), "left")
+    if not left.isEmpty():
+        gone = work.keep(gone.unionByName(shadowed(left, "shadowed_left")), "shadowed_both")
+    # rows of large buckets without an earlier match so far meet all earlier rows of their buckets
+    rest = found.where("lead is not null").select(P.bucket().alias("token"), F.col("x").alias("node"), "info")
     if not rest.isEmpty():
         placed = work.keep(rest.join(firsts, "node"), "rest")
-        a = placed.join(shadowed, "node", "left_anti").select("token", F.col("node").alias("x"), F.col("row").alias("a"), F.col("first").alias("fx"))
-        b = placed.select("token", F.col("node").alias("y"), F.col("row").alias("b"), F.col("first").alias("fy"))
-        more = a.join(b, "token").where("fy < fx").where(P.may_link("a", "b")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-        more = work.keep(more.distinct().join(pairs, ["x", "y"], "left_anti"), "open")
+        a = placed.join(gone, "node", "left_anti").select("token", F.col("node").alias("y"), F.col("info").alias("a"), F.col("first").alias("fy"))
+        b = placed.select("token", F.col("node").alias("x"), F.col("info").alias("b"), F.col("first").alias("fx"))
+        more = a.join(b, "token").where("fx < fy").where(P.may_link("a", "b")).select("x", "y").distinct()
+        more = work.keep(more.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "open")
         if not more.isEmpty():
-            shadowed = shadowed.unionByName(later(more, "shadowed_more")).distinct()
-    work.drop("candidates", "rest")
-    # of a node's lines the first stays, unless an earlier line matches it; a node with one line and no such match is left out
-    gone = firsts.join(shadowed.withColumn("gone", F.lit(True)), "node", "left")
-    lines = table.select("doc", "text_hash", "line", "node").join(gone, "node")
-    return lines.where(F.coalesce("gone", F.lit(False)) | (F.struct("doc", "line", "text_hash") > F.col("first"))).select("doc", "text_hash", "line").distinct()
+            gone = gone.unionByName(shadowed(more, "shadowed_more")).distinct()
+    work.drop("candidates", "rest", "pairs", "best", "left", "open")
+    # of a node's lines the first stays, unless an earlier line matches it
+    judged = work.keep(firsts.join(gone.withColumn("gone", F.lit(True)), "node", "left").select("node", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "judged")
+    lines = table.select("doc", "text_hash", "line", "node").join(judged, "node")
+    return lines.where(F.col("gone") | (F.struct("doc", "line", "text_hash") > F.col("first"))).select("doc", "text_hash", "line")
+
+
+def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines whose numbers are in ``gone``."""
+    out = []
+    for own, numbers in zip(text, gone):
+        drop = set(numbers.tolist())
+        out.append("\n".join(line for k, line in enumerate(own.split("\n")) if k not in drop))
+    return pd.Series(out, dtype=object)
 
 
 def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with the text of each row without its removed lines, and two columns: n_lines, n_removed."""
+    """``docs`` with the text of each row without its removed lines, and two columns: n_lines, n_removed (columns of these
+    names in ``docs`` are replaced)."""
     work = Workspace(docs.sparkSession, "lines")
-    names = docs.columns
-    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "text_hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    keys = keyed.select("doc", "text_hash", F.col("text").cast("string").alias("text"))
-    gone = removed_lines(keys, work, least)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_removed"))).alias("row")
+    text = F.col("text").cast("string")
+    keyed = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    gone = removed_lines(keyed.select("doc", "text_hash", "text"), work, least)
     gone = work.keep(gone.groupBy("doc", "text_hash").agg(F.collect_set("line").alias("gone")), "removed")
     both = with_marks(keyed, marks_of(gone, "doc", "text_hash"), "doc", "text_hash")
-    hit = both.where("marked").join(gone, ["doc", "text_hash"], "left")
-    lines = F.split("text", "\n", -1)
-    kept = F.expr("array_join(filter(transform(split(text, '\\n', -1), (x, i) -> struct(x, i)), p -> not array_contains(gone, p.i)).x, '\\n')")
-    hit = hit.withColumns({"n_lines": F.size(lines), "n_removed": F.coalesce(F.size("gone"), F.lit(0)), "text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)})
-    clean = both.where("not marked").withColumns({"n_lines": F.size(lines), "n_removed": F.lit(0)})
-    cast = {"n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines")).cast("long"), "n_removed": F.col("n_removed").cast("long")}
-    return hit.select(*names, "n_lines", "n_removed").unionByName(clean.select(*names, "n_lines", "n_removed")).withColumns(cast)
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines")
+    joined = both.where("marked").join(gone, ["doc", "text_hash"], "left")
+    without = F.pandas_udf(_without, "string")
+    hit = joined.where("gone is not null").select("row", without("text", "gone").alias("text"), n_lines, F.size("gone").cast("long").alias("n_removed"))
+    clean = [x.select("row", "text", n_lines, F.lit(0).cast("long").alias("n_removed")) for x in (both.where("not marked"), joined.where("gone is null"))]
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
+    return hit.unionByName(clean[0]).unionByName(clean[1]).select(*columns, "n_lines", "n_removed")

@@ -127,12 +127,13 @@ def join_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     full = table.where("node is not null")
 
     # one row for each prefix token of a group, and one for each node of a group (its token is the group's own, its bits tell it apart)
-    tokens = full.where("prefix is not null").select(F.posexplode("prefix").alias("at", "token"), "node", "size", "pop", "skip")
-    tokens = tokens.select("token", F.expr("-pop").alias("rank"), "node", "size", (F.col("at") + F.col("skip")).alias("pos"), F.lit(0).cast("long").alias("bits"), F.lit(0).cast("long").alias("more"))
+    rank = F.lit(P.MOST_RANK) - F.col("pop")
+    rows = full.where("prefix is not null").select(F.posexplode("prefix").alias("at", "token"), "node", "size", "pop", "skip")
+    rows = rows.select(P.key_of(F.col("token"), rank).alias("key"), "node", P.info_of(F.col("size"), F.col("at") + F.col("skip"), 0).alias("info"))
     members = full.groupBy("grp", "node").agg(F.min("size").alias("size"), F.max("pop").alias("pop"))
     several = work.keep(members.withColumn("n", F.count("*").over(_by("grp"))).where("n > 1").drop("n"), "members")
-    inner = several.select(F.xxhash64("grp", F.lit(1)).alias("token"), F.expr("-pop").alias("rank"), "node", "size", F.lit(0).alias("pos"), F.lit(1).cast("long").alias("bits"), F.lit(0).cast("long").alias("more"))
-    found = work.keep(P.compare(tokens.unionByName(inner), WHOLE), "candidates")
+    inner = several.select(P.key_of(F.xxhash64("grp", F.lit(1)), rank).alias("key"), "node", P.info_of(F.col("size"), F.lit(0), 1).alias("info"))
+    found = work.keep(P.compare(rows.unionByName(inner), WHOLE), "candidates")
     pairs = found.where("lead is null").select("x", "y").distinct()
     pairs = work.keep(pairs, "pairs")
     sets = work.keep(_node_sets(texts, pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), k), "sets")
@@ -146,10 +147,11 @@ def join_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     of = several.select("grp", "node")
     spans = placed(of, "node", "c").groupBy("grp").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     rows = placed(placed(found.where("lead is not null"), "x", "cx"), "lead", "clead").join(of.withColumnRenamed("node", "x"), "x", "left").join(spans, "grp", "left")
-    alone = F.col("low").isNull() | (F.col("bits") == 1)
+    rows = rows.withColumn("token", P.bucket())
+    alone = F.col("low").isNull() | (P.bits_of(F.col("info")) == 1)
     rest = work.keep(rows.withColumns({k: F.when(alone, F.col("cx")).otherwise(F.col(k)) for k in ("low", "high")}), "rest")
-    a = rest.where("low <> clead or high <> clead").select("token", "x", F.col("low").alias("la"), F.col("high").alias("ha"), F.struct(*P.ROW).alias("a"))
-    b = rest.select("token", F.col("x").alias("y"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.struct(*P.ROW).alias("b"))
+    a = rest.where("low <> clead or high <> clead").select("token", "x", F.col("low").alias("la"), F.col("high").alias("ha"), F.col("info").alias("a"))
+    b = rest.select("token", F.col("x").alias("y"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("info").alias("b"))
     more = a.join(b, "token").where("x <> y and least(la, lb) <> greatest(ha, hb)").where(P.may_link("a", "b")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     both = pairs.unionByName(more).join(of.select(F.col("node").alias("x"), F.col("grp").alias("gx")), "x", "left").join(of.select(F.col("node").alias("y"), F.col("grp").alias("gy")), "y", "left")
     # two nodes of one group meet in the group's own bucket
@@ -186,10 +188,10 @@ def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     found = join_components(docs, k).select(F.coalesce("doc_id", F.lit(LAST)).alias("key_id"), "text_hash", "component_id")
     found = found.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("component_id") != F.col("key_id"), F.lit(False))).alias("gone"))
     found = work.keep(found.where("gone or n > 1"), "found")
-    keyed = docs.withColumns({"key_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "text_hash": F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))})
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"))
     marked = with_marks(keyed, marks_of(found, *keys), *keys)
     left = marked.where("marked").join(found.where("gone"), list(keys), "left_anti").dropDuplicates(list(keys))
-    return left.select(*docs.columns).unionByName(marked.where("not marked").select(*docs.columns))
+    return left.select("row.*").unionByName(marked.where("not marked").select("row.*"))
 
 
 def _by(*columns: str):

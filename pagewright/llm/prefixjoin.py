@@ -14,9 +14,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAD = 8
-ROW = ("size", "pos", "bits", "more")
-NAMES = ["x", "y", "lead", "token", "size", "pos", "bits", "more"]
+NAMES = ["x", "y", "lead", "key", "info"]
 LEVEL_SHIFT = np.uint64(56)
+#: a key is the lowest 40 bits of a token with the row's rank below; tokens that share a bucket only cost comparisons
+RANK_BITS = 24
+MOST_RANK = (1 << RANK_BITS) - 1
+#: what the filters need, in one number: parity bits, size and position; sizes from ``MOST_SIZE`` on are not filtered
+PARITY_BITS, SIZE_BITS, POS_BITS = 40, 14, 10
+MOST_SIZE, MOST_POS = (1 << SIZE_BITS) - 1, (1 << POS_BITS) - 1
 
 
 def ordered_tokens(values: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -29,50 +34,83 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def parity(values: np.ndarray) -> tuple[int, int]:
-    """128 bits, each the parity of the values that fall on it: two sets that differ in d values differ in at most d bits."""
-    bit = np.uint64(1) << (values & np.uint64(63))
-    high = (values & np.uint64(64)) > 0
-    return tuple(int(np.bitwise_xor.reduce(bit[side], initial=np.uint64(0)).astype(np.int64)) for side in (~high, high))
+def parities(values: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each set ``PARITY_BITS`` bits, each the parity of the values that fall on it: two sets that differ in d values
+    differ in at most d bits."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    return np.bitwise_xor.reduceat(np.uint64(1) << (values % np.uint64(PARITY_BITS)), start)
+
+
+def packed(size: np.ndarray, pos: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """``info`` of rows; a position that is too large counts as an earlier one, which only weakens its filter."""
+    size, pos = np.minimum(size, MOST_SIZE), np.minimum(pos, MOST_POS)
+    return ((bits.astype(np.uint64) << np.uint64(SIZE_BITS + POS_BITS)) | (size.astype(np.uint64) << np.uint64(POS_BITS)) | pos.astype(np.uint64)).view(np.int64)
 
 
 def may_link(a: str, b: str) -> Column:
-    """The length, positional and parity filters for two rows of a bucket, as structs of size, pos, bits and more."""
-    return F.expr(f"9 * least({a}.size - {a}.pos, {b}.size - {b}.pos) >= 4 * ({a}.size + {b}.size) and 9 * (bit_count({a}.bits ^ {b}.bits) + bit_count({a}.more ^ {b}.more)) <= {a}.size + {b}.size")
+    """The length, positional and parity filters for two rows of a bucket, given their ``info``."""
+    size, pos = (lambda x: f"(shiftright({x}, {POS_BITS}) & {MOST_SIZE})"), (lambda x: f"({x} & {MOST_POS})")
+    large = f"greatest({size(a)}, {size(b)}) = {MOST_SIZE}"
+    near = f"9 * least({size(a)} - {pos(a)}, {size(b)} - {pos(b)}) >= 4 * ({size(a)} + {size(b)})"
+    apart = f"bit_count(shiftrightunsigned({a} ^ {b}, {SIZE_BITS + POS_BITS}))"
+    return F.expr(f"{large} or ({near} and 9 * {apart} <= {size(a)} + {size(b)})")
+
+
+def bucket(key: str = "key") -> Column:
+    return F.shiftrightunsigned(F.col(key), RANK_BITS)
+
+
+def key_of(token: Column, rank: Column) -> Column:
+    """The key of a row: buckets by the token's lowest bits, rows in them by ``rank``, from 0 to ``MOST_RANK``."""
+    return F.shiftleft(token, RANK_BITS).bitwiseOR(rank.cast("long"))
+
+
+def info_of(size: Column, pos: Column, bits: int) -> Column:
+    """``packed`` as an expression, for a fixed number in the place of the parity bits."""
+    size, pos = F.least(size, F.lit(MOST_SIZE)).cast("long"), F.least(pos, F.lit(MOST_POS)).cast("long")
+    return F.lit(bits << (SIZE_BITS + POS_BITS)).cast("long").bitwiseOR(F.shiftleft(size, POS_BITS)).bitwiseOR(pos)
+
+
+def bits_of(info: Column) -> Column:
+    return F.shiftrightunsigned(info, SIZE_BITS + POS_BITS)
 
 
 def compare(rows: DataFrame, whole: int) -> DataFrame:
-    """Candidate pairs and the rows of large buckets from ``rows(token, rank, node, size, pos, bits, more)``.
+    """Candidate pairs and the rows of large buckets from ``rows(key, node, info)``.
 
-    Rows are dealt by token and sorted by (token, rank). A bucket of at most ``whole`` rows gives all its pairs that pass
-    the filters. In a larger one each row is compared with the first ``LEAD`` only, and all its rows come back too.
-    Result: pairs have ``lead`` null and the nodes x < y; a row of a large bucket has its own node as x, its token, size,
-    pos, bits and more, and as ``lead`` the bucket's first node.
+    Rows are dealt by bucket and sorted by key. A bucket of at most ``whole`` rows gives all its pairs that pass the
+    filters. In a larger one each row is compared with the first ``LEAD`` only, and all its rows come back too. Result:
+    pairs have ``lead`` null and the nodes x < y; a row of a large bucket has its own node as x, its key and info, and as
+    ``lead`` the bucket's first node.
     """
-    kept = ("token", "node", "size", "pos", "bits", "more")
+    kept = ("key", "node", "info")
+    schema = pa.schema([(n, pa.int64()) for n in NAMES])
+
+    def passes(a, b):
+        a, b = a.view(np.uint64), b.view(np.uint64)
+        size = [((v >> np.uint64(POS_BITS)) & np.uint64(MOST_SIZE)).astype(np.int64) for v in (a, b)]
+        rest = [n - (v & np.uint64(MOST_POS)).astype(np.int64) for n, v in zip(size, (a, b))]
+        both = size[0] + size[1]
+        apart = np.bitwise_count((a ^ b) >> np.uint64(SIZE_BITS + POS_BITS)).astype(np.int64)
+        return (np.maximum(*size) == MOST_SIZE) | ((9 * np.minimum(*rest) >= 4 * both) & (9 * apart <= both))
 
     def pairs_of(rows, first, limit):
         """Pairs of each row with the first ``limit`` rows of its bucket, which starts at ``first``."""
-        size, pos, bits, more, node = (rows[k] for k in ("size", "pos", "bits", "more", "node"))
+        info, node = rows["info"], rows["node"]
         xs, ys, left, t = [], [], np.flatnonzero(limit > 0), 0
         while len(left):
-            p = first[left] + t
-            need = 4 * (size[left] + size[p])
-            ok = np.flatnonzero(9 * np.minimum(size[left] - pos[left], size[p] - pos[p]) >= need)
-            if len(ok):
-                x, y = left[ok], p[ok]
-                # as unsigned: of a negative number the bits of its absolute value would be counted
-                apart = sum(np.bitwise_count((b[x] ^ b[y]).view(np.uint64)).astype(np.int64) for b in (bits, more))
-                ok = (9 * apart <= size[x] + size[y]) & (node[x] != node[y])
-                xs.append(node[x[ok]])
-                ys.append(node[y[ok]])
+            at = first[left] + t
+            ok = passes(info[left], info[at]) & (node[left] != node[at])
+            xs.append(node[left[ok]])
+            ys.append(node[at[ok]])
             t += 1
             left = left[limit[left] > t]
         if sum(map(len, xs)):
             x, y = np.concatenate(xs), np.concatenate(ys)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            none, none32 = pa.nulls(pairs.shape[1], pa.int64()), pa.nulls(pairs.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none32, none32, none, none], NAMES)
+            none = pa.nulls(pairs.shape[1], pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none], schema=schema)
 
     def run(batches):
         carry = {k: np.zeros(0, np.int64) for k in kept}
@@ -80,9 +118,9 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            old = len(carry["token"])
-            rows = {k: np.concatenate([carry[k], batch[k].to_numpy(zero_copy_only=False).astype(np.int64)]) for k in kept}
-            token = rows["token"]
+            old = len(carry["key"])
+            rows = {k: np.concatenate([carry[k], batch[k].to_numpy(zero_copy_only=False)]) for k in kept}
+            token = rows["key"] >> RANK_BITS
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.append(start, len(token)))
             first, rank = np.repeat(start, length), np.arange(len(token)) - np.repeat(start, length)
@@ -101,15 +139,15 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
                 rest[:old] = False
             if rest.any():
                 rest = np.flatnonzero(rest)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["node"][rest]), pa.nulls(len(rest), pa.int64()), pa.array(rows["node"][first[rest]]), pa.array(token[rest]), pa.array(rows["size"][rest], pa.int32()), pa.array(rows["pos"][rest], pa.int32()), pa.array(rows["bits"][rest]), pa.array(rows["more"][rest])], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["node"][rest]), pa.nulls(len(rest), pa.int64()), pa.array(rows["node"][first[rest]]), pa.array(rows["key"][rest]), pa.array(rows["info"][rest])], schema=schema)
             large = kind[-1] == 1
             last = int(start[-1])
             carry = {k: v[last : last + LEAD if large else None].copy() for k, v in rows.items()}
-        if not large and len(carry["token"]):
-            yield from pairs_of(carry, np.zeros(len(carry["token"]), int), np.arange(len(carry["token"])))
+        if not large and len(carry["key"]):
+            yield from pairs_of(carry, np.zeros(len(carry["key"]), int), np.arange(len(carry["key"])))
 
-    dealt = rows.select("token", "rank", *kept[1:]).repartition("token").sortWithinPartitions("token", "rank")
-    return dealt.mapInArrow(run, "x long, y long, lead long, token long, size int, pos int, bits long, more long")
+    dealt = rows.select(*kept).repartition(bucket()).sortWithinPartitions("key")
+    return dealt.mapInArrow(run, "x long, y long, lead long, key long, info long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:

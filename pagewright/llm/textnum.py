@@ -134,3 +134,26 @@ def set_hash(values: np.ndarray) -> int:
         total = np.add.reduce(mix(values + np.uint64(0x51ED2701)), dtype=np.uint64) if len(values) else np.uint64(0)
         both = np.array([total + n * _Q, np.bitwise_xor.reduce(mix(values * _Q)) if len(values) else n], np.uint64)
     return int(mix(both[:1] ^ mix(both[1:]))[0].astype(np.int64))
+
+
+def distinct_in_segments(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of every segment in ascending order, and where each segment starts (one entry more than
+    segments); ``first`` has the same of ``values``."""
+    segment = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    order = np.argsort(values)
+    values = values[order]
+    # two sorts of single numbers cost less than one by two keys
+    key = (segment[order] << 32) | np.arange(len(order))
+    key.sort()
+    values, segment = values[key & 0xFFFFFFFF], key >> 32
+    kept = np.ones(len(values), bool)
+    kept[1:] = (segment[1:] != segment[:-1]) | (values[1:] != values[:-1])
+    return values[kept], np.concatenate([[0], np.cumsum(np.bincount(segment[kept], minlength=len(first) - 1))])
+
+
+def set_hashes(values: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """``set_hash`` of many sets that are not empty and follow each other in ``values``."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    total = np.add.reduceat(mix(values + np.uint64(0x51ED2701)), start) + n.astype(np.uint64) * _Q
+    return mix(total ^ mix(np.bitwise_xor.reduceat(mix(values * _Q), start))).view(np.int64)

@@ -55,3 +55,14 @@ def test_short_lines(spark, sf_dir, tmp_path):
     got = sorted(((r.doc_id, r.text) for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()), key=str)
     assert got == sorted(dedup_lines(rows, 1), key=str)
     assert (top + 100, "one\n") in got and (top + 102, "") in got
+
+
+def test_clashing_columns(spark):
+    names = ["doc", "text_hash", "gone", "marked", "row", "line", "node", "n_lines"]
+    line = "one two three four five six"
+    rows = [(k, f"{line}\nown {k}", *(f"{n}{k}" for n in names)) for k in range(3)]
+    docs = spark.createDataFrame(rows, ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    got = line_dedup.dedup(docs)
+    assert got.columns == ["doc_id", "text", *names[:-1], "n_lines", "n_removed"]
+    found = sorted(got.select("doc_id", "text", *names[:-1], "n_lines", "n_removed").collect())
+    assert [tuple(r) for r in found] == [(k, f"{line}\nown {k}" if k == 0 else f"own {k}", *(f"{n}{k}" for n in names[:-1]), 2, int(k > 0)) for k in range(3)]

@@ -56,6 +56,12 @@ def test_keep_one(spark):
     assert got == sorted([(1, "a b c d e f"), (3, ""), (4, None), (5, "x y"), (None, "lone"), (6, "")], key=str)
 
 
+def test_keep_one_with_clashing_columns(spark):
+    names = ["key_id", "text_hash", "marked", "row", "gone", "n", "node"]
+    docs = spark.createDataFrame([(k, "a b c d e f", *names) for k in (1, 2)], ", ".join(["doc_id long", "text string", *(f"{n} string" for n in names)]))
+    assert [tuple(r) for r in ngram_join.keep_one(docs).collect()] == [(1, "a b c d e f", *names)]
+
+
 def test_groups_in_large_buckets(spark, monkeypatch):
     """Groups (equal prefixes and sizes) of several unlinked nodes, whose links lie in buckets above WHOLE."""
     monkeypatch.setattr(ngram_join, "WHOLE", 6)
