@@ -34,7 +34,7 @@ LEAST_WORDS = 5
 LEAST_NEAR = 4
 #: counters for word frequencies: 4 MB of levels, whatever the input
 BITS = 22
-WHOLE = 64
+WHOLE = 512
 #: places in a task's table of nodes that it has met
 MET_BITS = 17
 LAST = 2**63 - 1
@@ -105,6 +105,7 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity, lea
     where = firsts.join(nodes, "node").select("first.doc", "first.text_hash")
     texts = with_marks(docs.select("doc", "text_hash", "text"), marks_of(where, "doc", "text_hash"), "doc", "text_hash").where("marked").select("text")
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
+    wanted = docs.sparkSession.sparkContext.broadcast(marks_of(nodes, "node"))
     schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
@@ -112,7 +113,7 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity, lea
         for batch in batches:
             for _, _, tokens, start, n in _line_sets(batch["text"], shared.value, max(least, LEAST_NEAR)):
                 node = set_hashes(tokens, start, n)
-                new = met.new(node)
+                new = wanted.value.holds(node) & met.new(node)
                 sizes = n[new]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(tokens[np.repeat(new, n)].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[new]), lists], schema=schema)

@@ -12,26 +12,45 @@ from pyspark.sql import functions as F
 from .sketch import levels as sketch_levels
 from .textnum import mix
 
-MARK_BITS = 22
+#: flags for each key, and the bounds of a table of flags: of 2**24 two megabytes are broadcast
+SPARE, LEAST_BITS, MOST_BITS = 8, 16, 24
 
 
-def marks_of(rows: DataFrame, *keys: str) -> np.ndarray:
-    """One flag for each counter that a key of ``rows`` falls on."""
+class Marks:
+    """One flag for each counter that a 64-bit key of a set falls on."""
+
+    def __init__(self, flags: np.ndarray):
+        self.packed = np.packbits(flags)
+        self.shift = np.uint64(64 - (len(flags) - 1).bit_length())
+
+    def holds(self, keys: np.ndarray) -> np.ndarray:
+        """True for every key of the set, and for few others."""
+        at = mix(keys.view(np.uint64)) >> self.shift
+        return (self.packed[at >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & np.uint8(1) == 1
+
+
+def marks_of(rows: DataFrame, *keys: str) -> Marks:
+    """The keys of ``rows``, a written table; one long is its own key, others are hashed."""
+
     def hashes(batch):
         yield mix(batch["key"].to_numpy(zero_copy_only=False).view(np.uint64))
 
-    return sketch_levels(rows.select(F.xxhash64(*keys).alias("key")), hashes, MARK_BITS) > 0
+    bits = min(MOST_BITS, max(LEAST_BITS, (SPARE * rows.count()).bit_length()))
+    return Marks(sketch_levels(rows.select(_key(keys).alias("key")), hashes, bits) > 0)
+
+
+def _key(keys):
+    return F.col(keys[0]) if len(keys) == 1 else F.xxhash64(*keys)
 
 
-def with_marks(docs: DataFrame, marks: np.ndarray, *keys: str) -> DataFrame:
+def with_marks(docs: DataFrame, marks: Marks, *keys: str) -> DataFrame:
     """``docs`` with a column ``marked``: true for every row whose keys were marked, and for few others."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
-    shift = np.uint64(64 - MARK_BITS)
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     @F.pandas_udf("boolean")
     def found(key):
         import pandas as pd
 
-        return pd.Series(np.unpackbits(shared.value).view(bool)[mix(key.to_numpy().view(np.uint64)) >> shift])
+        return pd.Series(shared.value.holds(key.to_numpy()))
 
-    return docs.withColumn("marked", found(F.xxhash64(*keys)))
+    return docs.withColumn("marked", found(_key(keys)))

@@ -23,13 +23,11 @@ from .components import connected
 from .marks import marks_of, with_marks
 from .sketch import levels as sketch_levels
 from .storage import Workspace
-from .textnum import SPACE, fold_hashes, hashed_words, mix, set_hash, shingle_hashes
+from .textnum import SPACE, fold_hashes, hashed_words, set_hash, shingle_hashes
 
 SHINGLE = 5
 #: counters for token frequencies: 4 MB of levels, whatever the input
 BITS = 22
-#: counters that mark the rows whose sets the verification needs
-MARK_BITS = 22
 WHOLE = 64
 LAST = 2**63 - 1
 
@@ -91,26 +89,17 @@ def _described(docs: DataFrame, levels, k: int) -> DataFrame:
 
 def _node_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, tokens) of the given nodes, from the texts of the documents that may have them."""
-
-    def hashes(batch):
-        yield mix(batch["node"].to_numpy(zero_copy_only=False).view(np.uint64))
-
-    marks = sketch_levels(nodes, hashes, MARK_BITS) > 0
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
-    shift = np.uint64(64 - MARK_BITS)
+    wanted = docs.sparkSession.sparkContext.broadcast(marks_of(nodes, "node"))
 
     def run(batches):
-        marked, seen = np.unpackbits(shared.value).view(bool), set()
         for batch in batches:
-            node, tokens = [], []
+            rows = {}
             for _, values in _sets(batch["text"], k):
                 if len(values):
-                    h = set_hash(values)
-                    if h not in seen and marked[mix(np.array([h]).view(np.uint64))[0] >> shift]:
-                        seen.add(h)
-                        node.append(h)
-                        tokens.append(values.view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "tokens"])
+                    node = set_hash(values)
+                    if node not in rows and wanted.value.holds(np.array([node]))[0]:
+                        rows[node] = values.view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.list_(pa.int64()))], ["node", "tokens"])
 
     found = docs.mapInArrow(run, "node long, tokens array<long>")
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
@@ -136,7 +125,8 @@ def join_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     found = work.keep(P.compare(rows.unionByName(inner), WHOLE), "candidates")
     pairs = found.where("lead is null").select("x", "y").distinct()
     pairs = work.keep(pairs, "pairs")
-    sets = work.keep(_node_sets(texts, pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), k), "sets")
+    nodes = work.keep(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "nodes")
+    sets = work.keep(_node_sets(texts, nodes, k), "sets")
     links = work.keep(P.verified(pairs, sets), "links")
     work.drop("sets")
     now = work.keep(connected(links, work, "a"), "first")
@@ -165,7 +155,8 @@ def join_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     if open_.isEmpty():
         component = now
     else:
-        sets = _node_sets(texts, open_.select(F.explode(F.array("x", "y")).alias("node")).distinct(), k)
+        nodes = work.keep(open_.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "more_nodes")
+        sets = _node_sets(texts, nodes, k)
         links = links.unionByName(P.verified(open_, work.keep(sets, "more_sets")))
         component = work.keep(connected(links, work, "b"), "second")
     work.drop("rest", "candidates", "grouped", "more_sets")
