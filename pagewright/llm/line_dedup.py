@@ -78,7 +78,7 @@ def _rank(ids: np.ndarray) -> np.ndarray:
 def _described(docs: DataFrame, rarity, least: int) -> DataFrame:
     """Per line its node and, where a task meets a new node, the keys of its prefix and what the filters need."""
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
-    schema = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("info", pa.int64()), ("skip", pa.int32()), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc", pa.int64()), ("text_hash", pa.int64()), ("line", pa.int32()), ("node", pa.int64()), ("info", pa.int64()), ("more", pa.int64()), ("skip", pa.int32()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         levels, met = shared.value, _Met()
@@ -93,11 +93,12 @@ def _described(docs: DataFrame, rarity, least: int) -> DataFrame:
                 inside = (at >= np.repeat(alone, n)) & (at < np.repeat(last, n))
                 keys = (tokens << np.uint64(P.RANK_BITS)) | np.repeat(_rank(ids[row]), n)
                 offsets = np.concatenate([[0], np.cumsum(np.maximum(last - alone, 0))]).astype(np.int32)
-                info = np.where(last > 0, P.packed(n, np.zeros_like(n), P.parities(tokens, start)), 0)
+                few, more = P.parities(tokens, start)
+                info, more = np.where(last > 0, P.packed(n, np.zeros_like(n), few), 0), np.where((last > 0) & (n > P.WIDE), more.view(np.int64), 0)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[inside].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(hashes[row]), pa.array(line, pa.int32()), pa.array(node), pa.array(info), pa.array(alone, pa.int32()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(hashes[row]), pa.array(line, pa.int32()), pa.array(node), pa.array(info), pa.array(more), pa.array(alone, pa.int32()), lists], schema=schema)
 
-    return docs.mapInArrow(run, "doc long, text_hash long, line int, node long, info long, skip int, keys array<long>")
+    return docs.mapInArrow(run, "doc long, text_hash long, line int, node long, info long, more long, skip int, keys array<long>")
 
 
 def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity, least: int) -> DataFrame:
@@ -127,8 +128,8 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
     table = work.keep(_described(docs, rarity, least), "lines")
     place = F.struct("doc", "line", "text_hash")
     firsts = work.keep(table.groupBy("node").agg(F.min(place).alias("first")), "firsts")
-    rows = table.where("size(keys) > 0").select(F.posexplode("keys").alias("at", "key"), "node", "skip", "info")
-    rows = rows.select("key", "node", F.col("info").bitwiseOR(F.least(F.col("at") + F.col("skip"), F.lit(P.MOST_POS)).cast("long")).alias("info"))
+    rows = table.where("size(keys) > 0").select(F.posexplode("keys").alias("at", "key"), "node", "skip", "info", "more")
+    rows = rows.select("key", "node", F.col("info").bitwiseOR(F.least(F.col("at") + F.col("skip"), F.lit(P.MOST_POS)).cast("long")).alias("info"), "more")
     found = work.keep(P.compare(rows, WHOLE), "candidates")
     a, b = (firsts.select(F.col("node").alias(k), F.col("first").alias(f"first_{k}")) for k in "xy")
     earlier = F.col("first_x") < F.col("first_y")
@@ -150,11 +151,11 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
     if not left.isEmpty():
         gone = work.keep(gone.unionByName(shadowed(left, "shadowed_left")), "shadowed_both")
     # rows of large buckets without an earlier match so far meet all earlier rows of their buckets
-    rest = found.where("lead is not null").select(P.bucket().alias("token"), F.col("x").alias("node"), "info")
+    rest = found.where("lead is not null").select(P.bucket().alias("token"), F.col("x").alias("node"), "info", "more")
     if not rest.isEmpty():
         placed = work.keep(rest.join(firsts, "node"), "rest")
-        a = placed.join(gone, "node", "left_anti").select("token", F.col("node").alias("y"), F.col("info").alias("a"), F.col("first").alias("fy"))
-        b = placed.select("token", F.col("node").alias("x"), F.col("info").alias("b"), F.col("first").alias("fx"))
+        a = placed.join(gone, "node", "left_anti").select("token", F.col("node").alias("y"), F.col("info").alias("a"), F.col("more").alias("a_more"), F.col("first").alias("fy"))
+        b = placed.select("token", F.col("node").alias("x"), F.col("info").alias("b"), F.col("more").alias("b_more"), F.col("first").alias("fx"))
         more = a.join(b, "token").where("fx < fy").where(P.may_link("a", "b")).select("x", "y").distinct()
         more = work.keep(more.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "open")
         if not more.isEmpty():

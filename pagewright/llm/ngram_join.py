@@ -118,10 +118,10 @@ def join_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     # one row for each prefix token of a group, and one for each node of a group (its token is the group's own, its bits tell it apart)
     rank = F.lit(P.MOST_RANK) - F.col("pop")
     rows = full.where("prefix is not null").select(F.posexplode("prefix").alias("at", "token"), "node", "size", "pop", "skip")
-    rows = rows.select(P.key_of(F.col("token"), rank).alias("key"), "node", P.info_of(F.col("size"), F.col("at") + F.col("skip"), 0).alias("info"))
+    rows = rows.select(P.key_of(F.col("token"), rank).alias("key"), "node", P.info_of(F.col("size"), F.col("at") + F.col("skip"), 0).alias("info"), F.lit(0).cast("long").alias("more"))
     members = full.groupBy("grp", "node").agg(F.min("size").alias("size"), F.max("pop").alias("pop"))
     several = work.keep(members.withColumn("n", F.count("*").over(_by("grp"))).where("n > 1").drop("n"), "members")
-    inner = several.select(P.key_of(F.xxhash64("grp", F.lit(1)), rank).alias("key"), "node", P.info_of(F.col("size"), F.lit(0), 1).alias("info"))
+    inner = several.select(P.key_of(F.xxhash64("grp", F.lit(1)), rank).alias("key"), "node", P.info_of(F.col("size"), F.lit(0), 1).alias("info"), F.lit(0).cast("long").alias("more"))
     found = work.keep(P.compare(rows.unionByName(inner), WHOLE), "candidates")
     pairs = found.where("lead is null").select("x", "y").distinct()
     pairs = work.keep(pairs, "pairs")
@@ -140,8 +140,8 @@ def join_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     rows = rows.withColumn("token", P.bucket())
     alone = F.col("low").isNull() | (P.bits_of(F.col("info")) == 1)
     rest = work.keep(rows.withColumns({k: F.when(alone, F.col("cx")).otherwise(F.col(k)) for k in ("low", "high")}), "rest")
-    a = rest.where("low <> clead or high <> clead").select("token", "x", F.col("low").alias("la"), F.col("high").alias("ha"), F.col("info").alias("a"))
-    b = rest.select("token", F.col("x").alias("y"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("info").alias("b"))
+    a = rest.where("low <> clead or high <> clead").select("token", "x", F.col("low").alias("la"), F.col("high").alias("ha"), F.col("info").alias("a"), F.col("more").alias("a_more"))
+    b = rest.select("token", F.col("x").alias("y"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("info").alias("b"), F.col("more").alias("b_more"))
     more = a.join(b, "token").where("x <> y and least(la, lb) <> greatest(ha, hb)").where(P.may_link("a", "b")).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
     both = pairs.unionByName(more).join(of.select(F.col("node").alias("x"), F.col("grp").alias("gx")), "x", "left").join(of.select(F.col("node").alias("y"), F.col("grp").alias("gy")), "y", "left")
     # two nodes of one group meet in the group's own bucket

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAD = 8
-NAMES = ["x", "y", "lead", "key", "info"]
+NAMES = ["x", "y", "lead", "key", "info", "more"]
 LEVEL_SHIFT = np.uint64(56)
 #: a key is the lowest 40 bits of a token with the row's rank below; tokens that share a bucket only cost comparisons
 RANK_BITS = 24
@@ -22,6 +22,8 @@ MOST_RANK = (1 << RANK_BITS) - 1
 #: what the filters need, in one number: parity bits, size and position; sizes from ``MOST_SIZE`` on are not filtered
 PARITY_BITS, SIZE_BITS, POS_BITS = 40, 14, 10
 MOST_SIZE, MOST_POS = (1 << SIZE_BITS) - 1, (1 << POS_BITS) - 1
+#: sets above this size have 64 parity bits more; smaller ones have 0 there
+WIDE = 48
 
 
 def ordered_tokens(values: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -34,12 +36,16 @@ def prefix_length(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1
 
 
-def parities(values: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """For each set ``PARITY_BITS`` bits, each the parity of the values that fall on it: two sets that differ in d values
-    differ in at most d bits."""
+def parities(values: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each set ``PARITY_BITS`` bits and 64 more, each the parity of the values that fall on it: two sets that differ in
+    d values differ in at most d bits."""
     if not len(start):
-        return np.zeros(0, np.uint64)
-    return np.bitwise_xor.reduceat(np.uint64(1) << (values % np.uint64(PARITY_BITS)), start)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    place = values % np.uint64(PARITY_BITS + 64)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    low = place >= np.uint64(64)
+    few, more = np.where(low, bit, np.uint64(0)), np.where(low, np.uint64(0), bit)
+    return np.bitwise_xor.reduceat(few, start), np.bitwise_xor.reduceat(more, start)
 
 
 def packed(size: np.ndarray, pos: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -49,12 +55,13 @@ def packed(size: np.ndarray, pos: np.ndarray, bits: np.ndarray) -> np.ndarray:
 
 
 def may_link(a: str, b: str) -> Column:
-    """The length, positional and parity filters for two rows of a bucket, given their ``info``."""
+    """The length, positional and parity filters for two rows of a bucket, given their ``info``, and their ``more`` as a_more and b_more."""
     size, pos = (lambda x: f"(shiftright({x}, {POS_BITS}) & {MOST_SIZE})"), (lambda x: f"({x} & {MOST_POS})")
     large = f"greatest({size(a)}, {size(b)}) = {MOST_SIZE}"
+    wide = f"if(least({size(a)}, {size(b)}) > {WIDE}, bit_count({a}_more ^ {b}_more), 0)"
     near = f"9 * least({size(a)} - {pos(a)}, {size(b)} - {pos(b)}) >= 4 * ({size(a)} + {size(b)})"
     apart = f"bit_count(shiftrightunsigned({a} ^ {b}, {SIZE_BITS + POS_BITS}))"
-    return F.expr(f"{large} or ({near} and 9 * {apart} <= {size(a)} + {size(b)})")
+    return F.expr(f"{large} or ({near} and 9 * ({apart} + {wide}) <= {size(a)} + {size(b)})")
 
 
 def bucket(key: str = "key") -> Column:
@@ -77,31 +84,32 @@ def bits_of(info: Column) -> Column:
 
 
 def compare(rows: DataFrame, whole: int) -> DataFrame:
-    """Candidate pairs and the rows of large buckets from ``rows(key, node, info)``.
+    """Candidate pairs and the rows of large buckets from ``rows(key, node, info, more)``.
 
     Rows are dealt by bucket and sorted by key. A bucket of at most ``whole`` rows gives all its pairs that pass the
     filters. In a larger one each row is compared with the first ``LEAD`` only, and all its rows come back too. Result:
-    pairs have ``lead`` null and the nodes x < y; a row of a large bucket has its own node as x, its key and info, and as
-    ``lead`` the bucket's first node.
+    pairs have ``lead`` null and the nodes x < y; a row of a large bucket has its own node as x, its key, info and more,
+    and as ``lead`` the bucket's first node.
     """
-    kept = ("key", "node", "info")
+    kept = ("key", "node", "info", "more")
     schema = pa.schema([(n, pa.int64()) for n in NAMES])
 
-    def passes(a, b):
+    def passes(a, b, more):
         a, b = a.view(np.uint64), b.view(np.uint64)
         size = [((v >> np.uint64(POS_BITS)) & np.uint64(MOST_SIZE)).astype(np.int64) for v in (a, b)]
         rest = [n - (v & np.uint64(MOST_POS)).astype(np.int64) for n, v in zip(size, (a, b))]
         both = size[0] + size[1]
         apart = np.bitwise_count((a ^ b) >> np.uint64(SIZE_BITS + POS_BITS)).astype(np.int64)
+        apart += np.where(np.minimum(*size) > WIDE, np.bitwise_count(more.view(np.uint64)), 0)
         return (np.maximum(*size) == MOST_SIZE) | ((9 * np.minimum(*rest) >= 4 * both) & (9 * apart <= both))
 
     def pairs_of(rows, first, limit):
         """Pairs of each row with the first ``limit`` rows of its bucket, which starts at ``first``."""
-        info, node = rows["info"], rows["node"]
+        info, node, more = rows["info"], rows["node"], rows["more"]
         xs, ys, left, t = [], [], np.flatnonzero(limit > 0), 0
         while len(left):
             at = first[left] + t
-            ok = passes(info[left], info[at]) & (node[left] != node[at])
+            ok = passes(info[left], info[at], more[left] ^ more[at]) & (node[left] != node[at])
             xs.append(node[left[ok]])
             ys.append(node[at[ok]])
             t += 1
@@ -110,7 +118,7 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
             x, y = np.concatenate(xs), np.concatenate(ys)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             none = pa.nulls(pairs.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none, none], schema=schema)
 
     def run(batches):
         carry = {k: np.zeros(0, np.int64) for k in kept}
@@ -139,7 +147,7 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
                 rest[:old] = False
             if rest.any():
                 rest = np.flatnonzero(rest)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["node"][rest]), pa.nulls(len(rest), pa.int64()), pa.array(rows["node"][first[rest]]), pa.array(rows["key"][rest]), pa.array(rows["info"][rest])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["node"][rest]), pa.nulls(len(rest), pa.int64()), pa.array(rows["node"][first[rest]]), pa.array(rows["key"][rest]), pa.array(rows["info"][rest]), pa.array(rows["more"][rest])], schema=schema)
             large = kind[-1] == 1
             last = int(start[-1])
             carry = {k: v[last : last + LEAD if large else None].copy() for k, v in rows.items()}
@@ -147,7 +155,7 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
             yield from pairs_of(carry, np.zeros(len(carry["key"]), int), np.arange(len(carry["key"])))
 
     dealt = rows.select(*kept).repartition(bucket()).sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "x long, y long, lead long, key long, info long")
+    return dealt.mapInArrow(run, "x long, y long, lead long, key long, info long, more long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
