@@ -77,3 +77,34 @@ def normal_tags(tags: Column) -> Column:
     """Trimmed, lower-cased, of 1 to 32 characters, first occurrence only."""
     clean = F.transform(tags, lambda t: F.lower(trimmed(t)))
     return F.array_distinct(F.filter(clean, lambda t: (F.length(t) > 0) & (F.length(t) <= 32)))
+
+
+def entry_title(name: Column) -> Column:
+    """A file's name without its extension."""
+    stem = trimmed(F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_extract(name, r"^(.+)\.[^.]*$", 1)).otherwise(name))
+    return F.when(stem == "", name).otherwise(stem)
+
+
+_NUMBERS = "no one two three four five six seven eight nine ten".split()
+
+
+def counted(n: Column, singular: str, plural: str) -> Column:
+    """A count in words up to ten, in digits above."""
+    word = F.when(n.between(0, 10), F.get(F.array(*map(F.lit, _NUMBERS)), n.cast("int"))).otherwise(n.cast("string"))
+    return F.concat(word, F.lit(" "), F.when(n == 1, singular).otherwise(plural))
+
+
+def listed(items: Column) -> Column:
+    """A, B and C; blank items are left out."""
+    kept = F.filter(items, lambda x: trimmed(x) != "")
+    n = F.size(kept)
+    return F.when(n <= 1, F.array_join(kept, "")).otherwise(F.concat(F.array_join(F.slice(kept, F.lit(1), F.greatest(n - 1, F.lit(0))), ", "), F.lit(" and "), F.get(kept, n - 1)))
+
+
+def capitalised(text: Column) -> Column:
+    return F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, 2, 1 << 30))
+
+
+def without_stop(text: Column) -> Column:
+    """Trimmed, and without one full stop at the end."""
+    return F.regexp_replace(trimmed(text), r"\.$", "")

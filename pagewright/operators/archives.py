@@ -46,3 +46,83 @@ def build_plan(entries: DataFrame, sources: int = BUILD_SOURCES, limit: int = BU
     upto = own.orderBy("entry_no").rowsBetween(Window.unboundedPreceding, 0)
     reason = F.when(F.count("*").over(own) > sources, "too many sources").when(F.sum("size").over(own) > limit, "too many bytes")
     return entries.withColumns({"running": F.sum("size").over(upto), "reason": reason}).withColumn("taken", F.col("reason").isNull())
+
+
+IMPORTABLE = ("pdf", "text", "image")
+
+
+def totals(entries: DataFrame) -> DataFrame:
+    """archive, n_files, n_importable, bytes."""
+    from pagewright.functions.text import entry_kind
+
+    e = entries.withColumn("kind", entry_kind(F.col("path")))
+    return e.groupBy("archive").agg(F.count("*").alias("n_files"), F.count_if(F.col("kind").isin(*IMPORTABLE)).alias("n_importable"), F.sum("size").alias("bytes"))
+
+
+def listing(entries: DataFrame) -> DataFrame:
+    """archive, folder, place, name, is_folder, bytes, n_children: what every folder shows, folders first, then by name."""
+    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+    e = entries.select("archive", "size", parts.alias("parts")).where(F.size("parts") > 0)
+    up = e.select("archive", "size", "parts", F.explode(F.sequence(F.lit(0), F.size("parts") - 1)).alias("depth"))
+    last = F.col("depth") == F.size("parts") - 1
+    below = F.when(~last, F.concat(F.element_at("parts", F.col("depth") + 2), F.when(F.col("depth") == F.size("parts") - 2, "\u0000f").otherwise("\u0000d")))
+    flat = up.select("archive", F.expr("array_join(slice(parts, 1, depth), '/')").alias("folder"), F.element_at("parts", F.col("depth") + 1).alias("name"), (~last).alias("is_folder"), "size", below.alias("below"))
+    one = flat.groupBy("archive", "folder", "name", "is_folder", "below").agg(F.sum("size").alias("size"))
+    rows = one.groupBy("archive", "folder", "name", "is_folder").agg(F.sum("size").alias("bytes"), F.count("below").alias("n_children"))
+    order = Window.partitionBy("archive", "folder").orderBy(F.desc("is_folder"), F.lower("name"), "name")
+    return rows.withColumn("place", F.row_number().over(order))
+
+
+def unique_names(entries: DataFrame) -> DataFrame:
+    """``entries`` (archive, entry_no, name) with ``unique``: a name that is taken, letter case aside, gets the next free number.
+
+    Names can only collide within one stem without numbers, so each such group of an archive is folded on its own.
+    """
+    dot = F.length(F.regexp_extract("name", r"^(.+)\.[^.]*$", 1))
+    e = entries.withColumns({"stem": F.when(dot > 0, F.expr("substring(name, 1, length(regexp_extract(name, r'^(.+)\\.[^.]*$', 1)))")).otherwise(F.col("name"))})
+    e = e.withColumn("ext", F.expr("substring(name, length(stem) + 1)"))
+    base = F.concat(F.regexp_replace(F.lower("stem"), r"( \(\d+\))+$", ""), F.lit("\u0000"), F.lower("ext"))
+    grouped = e.groupBy("archive", base.alias("base")).agg(F.array_sort(F.collect_list(F.struct("entry_no", "name", "stem", "ext"))).alias("e"))
+    free = "filter(transform(sequence(2, size(a.taken) + 2), n -> concat(x.stem, ' (', n, ')', x.ext)), c -> not array_contains(a.taken, lower(c)))[0]"
+    fold = f"""aggregate(e, named_struct('taken', cast(array() as array<string>), 'out', cast(array() as array<struct<entry_no:bigint,name:string,unique:string>>)), (a, x) ->
+        named_struct('taken', array_append(a.taken, lower(if(array_contains(a.taken, lower(x.name)), {free}, x.name))),
+        'out', array_append(a.out, named_struct('entry_no', x.entry_no, 'name', x.name, 'unique', if(array_contains(a.taken, lower(x.name)), {free}, x.name)))), a -> a.out)"""
+    return grouped.select("archive", F.explode(F.expr(fold)).alias("u")).select("archive", "u.*")
+
+
+def import_outcomes(entries: DataFrame, stop_after: int | None = None) -> DataFrame:
+    """archive, entry_no, status, reason: imported, unsupported, unreadable, or stopped beyond ``stop_after`` entries of an archive."""
+    from pagewright.functions.text import entry_kind
+
+    place = F.row_number().over(Window.partitionBy("archive").orderBy("entry_no"))
+    e = entry_safety(entries).withColumns({"kind": entry_kind(F.col("path")), "place": place})
+    stopped = F.col("place") > stop_after if stop_after is not None else F.lit(False)
+    known = F.col("kind").isin(*IMPORTABLE)
+    status = F.when(stopped, "stopped").when(~known, "unsupported").when(~F.col("safe"), "unreadable").otherwise("imported")
+    reason = (
+        F.when(stopped, "You stopped the import before this file.")
+        .when(F.col("kind") == "archive", "An archive inside an archive is not opened.")
+        .when(~known, "Only PDFs, Word files, text files and pictures are imported.")
+        .when(~F.col("safe"), "The entry is too large.")
+    )
+    return e.select("archive", "entry_no", status.alias("status"), reason.alias("reason"))
+
+
+def import_report(outcomes: DataFrame) -> DataFrame:
+    """archive, a count for each status, is_complete: all entries arrived."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(f"n_{s}")
+    out = outcomes.groupBy("archive").agg(*map(n, ("imported", "unsupported", "unreadable", "stopped")), F.count("*").alias("n"))
+    return out.withColumn("is_complete", F.col("n_imported") == F.col("n")).drop("n")
+
+
+MERGED = 200
+
+
+def merge_plan(sources: DataFrame, most: int = MERGED) -> DataFrame:
+    """bundle, place, source_no, page_no, truncated of ``sources`` (bundle, source_no, page_no): their pages one after the
+    other up to ``most``, which a bundle that reaches it counts as cut at; a bundle of one source is no merge."""
+    own = Window.partitionBy("bundle")
+    place = F.row_number().over(own.orderBy("source_no", "page_no"))
+    several = F.min("source_no").over(own) < F.max("source_no").over(own)
+    rows = sources.withColumns({"place": place, "several": several, "truncated": F.count("*").over(own) >= most})
+    return rows.where(F.col("several") & (F.col("place") <= most)).select("bundle", "place", "source_no", "page_no", "truncated")

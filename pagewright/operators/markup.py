@@ -1,26 +1,181 @@
-"""Markup lines as blocks."""
+"""Markup: lines as blocks, emphasis, plain text with a map of offsets, pictures.
+
+Block kinds, pictures and counts are column expressions. Emphasis pairs within a line are found by a small scan in an
+Arrow function; texts without any marker character don't reach it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import IMAGE_LINE
+from pagewright.functions.text import IMAGE_LINE, trimmed
 
+_NUMBERED = r"^\s*(\d{1,3})[.)]\s+(.*)$"
+#: what starts a line of each kind, and what is left of the line, in the order in which the kinds are tried
+STARTS = {"heading": r"^(#{1,3})\s+", "numbered": r"^\s*(\d{1,3})[.)]\s+", "bullet": r"^\s*[-*•]\s+", "quote": r"^\s*>\s?"}
+IMAGE_LABEL = "Image"
+#: a text without any of these is its own plain text
+MARKED = r"[*_]|(?m:^(?:#{1,3}\s|\s*\d{1,3}[.)]\s|\s*[-•]\s|\s*>|\s*!\[))"
 
-def blocks(pages: DataFrame) -> DataFrame:
-    """One row for each line: doc_id, page_index, line_no, kind, number."""
-    lines = pages.select("doc_id", "page_index", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    numbered = r"^\s*(\d{1,3})[.)]\s+(.*)$"
-    kind = (
-        F.when(F.col("line").rlike(IMAGE_LINE), "image")
-        .when(F.col("line").rlike(r"^#\s+"), "heading1")
-        .when(F.col("line").rlike(r"^##\s+"), "heading2")
-        .when(F.col("line").rlike(r"^###\s+"), "heading3")
-        .when(F.col("line").rlike(numbered), "numbered")
-        .when(F.col("line").rlike(r"^\s*[-*•]\s+"), "bullet")
-        .when(F.col("line").rlike(r"^\s*>"), "quote")
+_START = re.compile("|".join(f"(?:{p})" for p in STARTS.values()))
+_IMAGE = re.compile(IMAGE_LINE)
+_EMPHASIS = re.compile(r"\*\*|[*_]")
+
+
+def _kind(line: Column) -> Column:
+    return (
+        F.when(line.rlike(IMAGE_LINE), "image")
+        .when(line.rlike(r"^#\s+"), "heading1")
+        .when(line.rlike(r"^##\s+"), "heading2")
+        .when(line.rlike(r"^###\s+"), "heading3")
+        .when(line.rlike(_NUMBERED), "numbered")
+        .when(line.rlike(STARTS["bullet"]), "bullet")
+        .when(line.rlike(r"^\s*>"), "quote")
         .otherwise("paragraph")
     )
-    number = F.when(kind == "numbered", F.regexp_extract("line", numbered, 1).cast("int"))
-    return lines.select("doc_id", "page_index", "line_no", kind.alias("kind"), number.alias("number"))
+
+
+def blocks(pages: DataFrame) -> DataFrame:
+    """One row for each line: doc_id, page_index, line_no, kind, number, image_name."""
+    lines = pages.select("doc_id", "page_index", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    kind = _kind(F.col("line"))
+    number = F.when(kind == "numbered", F.regexp_extract("line", _NUMBERED, 1).cast("int"))
+    image = F.when(kind == "image", F.regexp_extract("line", IMAGE_LINE, 2))
+    return lines.select("doc_id", "page_index", "line_no", kind.alias("kind"), number.alias("number"), image.alias("image_name"))
+
+
+def image_names(text: Column) -> Column:
+    """The pictures that a text refers to, in order, repeats kept."""
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(IMAGE_LINE))
+    return F.transform(lines, lambda x: F.regexp_extract(x, IMAGE_LINE, 2))
+
+
+def text_and_images(pages: DataFrame) -> DataFrame:
+    """doc_id, page_index, block_no, kind (text or image), value: text before, between and after pictures, empty ones too."""
+    lines = F.split("text", "\n", -1)
+    # a text block ends where a picture line stands: its number is that of the pictures before it
+    start = F.struct(F.array(F.lit(None).cast("string")).alias("open"), F.array().cast("array<struct<kind:string,value:string>>").alias("done"))
+    joined = lambda a: F.struct(F.lit("text").alias("kind"), F.coalesce(F.get(a["open"], F.lit(0)), F.lit("")).alias("value"))
+    image = lambda x: F.struct(F.lit("image").alias("kind"), F.regexp_extract(x, IMAGE_LINE, 2).alias("value"))
+    held = lambda a: F.get(a["open"], F.lit(0))
+
+    def step(a, x):
+        more = F.struct(F.array(F.when(held(a).isNull(), x).otherwise(F.concat(held(a), F.lit("\n"), x))).alias("open"), a["done"].alias("done"))
+        cut = F.struct(F.array(F.lit(None).cast("string")).alias("open"), F.concat(a["done"], F.array(joined(a), image(x))).alias("done"))
+        return F.when(x.rlike(IMAGE_LINE), cut).otherwise(more)
+
+    every = F.aggregate(lines, start, step, lambda a: F.concat(a["done"], F.array(joined(a))))
+    rows = pages.select("doc_id", "page_index", F.posexplode(every).alias("block_no", "b"))
+    return rows.select("doc_id", "page_index", "block_no", "b.kind", "b.value")
+
+
+def serialised(parts: DataFrame) -> DataFrame:
+    """doc_id, page_index, text: the blocks of ``text_and_images`` as one text again; empty text blocks vanish."""
+    line = F.when(F.col("kind") == "image", F.concat(F.lit(f"![{IMAGE_LABEL}]("), F.col("value"), F.lit(")"))).otherwise(F.col("value"))
+    kept = parts.where("kind = 'image' or value <> ''").select("doc_id", "page_index", "block_no", line.alias("line"))
+    whole = kept.groupBy("doc_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block_no", "line"))), lambda b: b["line"]), "\n").alias("text"))
+    return parts.select("doc_id", "page_index").distinct().join(whole, ["doc_id", "page_index"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
+def emphasis(line: str) -> list[tuple[int, int]]:
+    """Where the markers of a line are, as (start, end): a pair of ``**``, ``*`` or ``_``; a marker without a partner is text."""
+    found, bold, italic = [], False, False
+    for m in _EMPHASIS.finditer(line):
+        if m.group() == "**":
+            if bold or line.find("**", m.end()) >= 0:
+                bold = not bold
+                found.append(m.span())
+        elif italic or line.find(m.group(), m.end()) >= 0:
+            italic = not italic
+            found.append(m.span())
+    return found
+
+
+def runs(line: str) -> list[tuple[str, bool, bool]]:
+    """(text, bold, italic) of the parts of a line without its block marker, none of them empty."""
+    out, at, bold, italic = [], 0, False, False
+    for a, b in [*emphasis(line), (len(line), len(line))]:
+        if a > at:
+            out.append((line[at:a], bold, italic))
+        if b - a == 2:
+            bold = not bold
+        elif b > a:
+            italic = not italic
+        at = b
+    return out
+
+
+def _marks(line: str) -> list[tuple[int, int]]:
+    if _IMAGE.match(line):
+        return [(0, len(line))]
+    start = _START.match(line)
+    at = start.end() if start else 0
+    return ([(0, at)] if at else []) + [(at + a, at + b) for a, b in emphasis(line[at:])]
+
+
+def strip(text: str) -> tuple[str, list[int]]:
+    """The text without markers, and for each of its characters and its end where that then stands."""
+    kept, offsets, at = [], [], 0
+    for k, line in enumerate(text.split("\n")):
+        if k:
+            offsets.append(at)
+            kept.append("\n")
+            at += 1
+        last = 0
+        for a, b in [*_marks(line), (len(line), len(line))]:
+            kept.append(line[last:a])
+            offsets += range(at, at + a - last)
+            at += a - last
+            offsets += [at] * (b - a)
+            last = b
+    return "".join(kept), [*offsets, at]
+
+
+def stripped(text: Column) -> Column:
+    """A struct of the plain text and the offsets of ``strip``; null for a null text."""
+    kind = "struct<text:string,offsets:array<int>>"
+
+    def each(texts: pd.Series) -> pd.DataFrame:
+        both = [strip(t) if t is not None else (None, None) for t in texts]
+        return pd.DataFrame({"text": [t for t, _ in both], "offsets": [o for _, o in both]})
+
+    own = F.struct(text.alias("text"), F.sequence(F.lit(0), F.length(text)).alias("offsets"))
+    marked = F.pandas_udf(each, kind)(text)
+    return F.when(text.isNull(), F.lit(None).cast(kind)).when(text.rlike(MARKED), marked).otherwise(own)
+
+
+def inline_text(text: Column) -> Column:
+    """Plain text on one line."""
+    return trimmed(F.regexp_replace(stripped(text)["text"], r"\s+", " "))
+
+
+def spans(pages: DataFrame) -> DataFrame:
+    """doc_id, page_index, line_no, kind, number, image_name, spans (text, bold, italic) of the lines that aren't blank."""
+    kind = "array<struct<text:string,bold:boolean,italic:boolean>>"
+
+    def each(lines: pd.Series) -> pd.Series:
+        return pd.Series([[{"text": t, "bold": b, "italic": i} for t, b, i in runs(x)] for x in lines])
+
+    lines = pages.select("doc_id", "page_index", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.regexp_replace("line", r"\s+$", "")).where("line <> ''")
+    lines = lines.withColumn("kind", _kind(F.col("line")))
+    start = F.when(F.col("kind").startswith("heading"), F.regexp_replace("line", STARTS["heading"], ""))
+    for name in ("numbered", "bullet", "quote"):
+        start = start.when(F.col("kind") == name, F.regexp_replace("line", STARTS[name], ""))
+    rest = lines.withColumn("rest", start.when(F.col("kind") == "image", "").otherwise(F.col("line")))
+    plain = F.when(F.col("rest") == "", F.array().cast(kind)).otherwise(F.array(F.struct(F.col("rest").alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic"))))
+    found = F.when(F.col("rest").rlike("[*_]"), F.pandas_udf(each, kind)(F.col("rest"))).otherwise(plain)
+    number = F.when(F.col("kind") == "numbered", F.regexp_extract("line", _NUMBERED, 1).cast("int"))
+    image = F.when(F.col("kind") == "image", F.regexp_extract("line", IMAGE_LINE, 2))
+    return rest.select("doc_id", "page_index", "line_no", "kind", number.alias("number"), image.alias("image_name"), found.alias("spans"))
+
+
+def plain_text(pages: DataFrame) -> DataFrame:
+    """doc_id, page_index, text: the lines that aren't blank without any marker; a picture leaves an empty line."""
+    line = F.array_join(F.transform("spans", lambda s: s["text"]), "")
+    rows = spans(pages).select("doc_id", "page_index", "line_no", line.alias("line"))
+    return rows.groupBy("doc_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("text"))

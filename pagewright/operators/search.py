@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import tokens
+from pagewright.functions.text import tokens, without_images
 
 K1, B = 1.2, 0.75
 TITLE_WEIGHT = 3
@@ -30,7 +30,7 @@ def idf(n_docs, df):
     return F.log1p((n_docs - df + 0.5) / (df + 0.5))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, top: int = 10, idf_mode: str = "corpus") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, top: int = 50, idf_mode: str = "corpus") -> DataFrame:
     """The ``top`` documents of each query (qid, terms): qid, doc_id, score, rk.
 
     Only terms that some query has are counted, so the shuffle carries the queries' postings and not the corpus's.
@@ -69,3 +69,46 @@ def title_and_tag_hits(docs: DataFrame, queries: DataFrame) -> DataFrame:
     by_tag = by_tag.select("qid", "doc_id", F.lit(4).alias("check"), F.lit("tag").alias("kind"), "score")
     every = by_title.unionByName(by_tag)
     return every.groupBy("qid", "doc_id").agg(F.min_by("kind", "check").alias("kind"), F.round(F.min_by("score", "check"), 6).alias("score"))
+
+
+def entries(docs: DataFrame) -> DataFrame:
+    """doc_id, field (body, title or tag), term, tf: all that the index knows of each document."""
+    body = docs.select("doc_id", F.explode(tokens(without_images(F.col("text")))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    once = lambda words, field: docs.select("doc_id", F.lit(field).alias("field"), F.explode(F.array_distinct(words)).alias("term"), F.lit(1).cast("long").alias("tf"))
+    title, tags = once(tokens(F.col("title")), "title"), once(F.flatten(F.transform("tags", tokens)), "tag")
+    return body.select("doc_id", F.lit("body").alias("field"), "term", "tf").unionByName(title).unionByName(tags)
+
+
+BUCKETS = 16
+
+
+def _written(rows: DataFrame, path: str, batch: int) -> None:
+    """Postings in folders by bucket of the term, so that a query reads the buckets of its terms only."""
+    rows.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS))).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings/batch={batch}")
+
+
+def _changed(ids: DataFrame, path: str, batch: int) -> None:
+    ids.select("doc_id").distinct().write.mode("overwrite").parquet(f"{path}/changes/batch={batch}")
+
+
+def replace_all(docs: DataFrame, path: str) -> None:
+    """Writes the index of ``docs`` to a new place, with batch 0; what changes later has higher ones."""
+    _written(entries(docs), path, 0)
+    _changed(docs.limit(0), path, 0)
+
+
+def put(spark: SparkSession, docs: DataFrame, path: str, batch: int) -> None:
+    """Documents that are new or changed; written again with the same number, a batch replaces itself."""
+    _written(entries(docs), path, batch)
+    _changed(docs, path, batch)
+
+
+def remove(spark: SparkSession, ids: DataFrame, path: str, batch: int) -> None:
+    _changed(ids, path, batch)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """The index as it is now: of each document the entries of its last change."""
+    last = spark.read.parquet(f"{path}/changes").groupBy("doc_id").agg(F.max("batch").alias("last"))
+    rows = spark.read.parquet(f"{path}/postings").join(last, "doc_id", "left")
+    return rows.where(F.col("batch") == F.coalesce("last", F.lit(0))).select("doc_id", "field", "term", "tf")

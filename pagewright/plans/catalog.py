@@ -9,25 +9,10 @@ from pagewright.functions import text as T
 from pagewright.operators import answers as A
 from pagewright.operators import archives, facts, library, markup, passages, questions, search, summaries, transcripts
 from pagewright.plans import views as V
+from pagewright.plans.registry import ORACLES, QUERIES, query
 from pagewright.sources.shared import folder
 from pagewright.streaming import live
 
-QUERIES = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its function's name; its SQL may use the views."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = f"WITH RECURSIVE {V.SQL.strip()}{sql.rstrip() if sql.lstrip().startswith(',') else chr(10) + sql.strip()}"
-        return f
-
-    return add
-
-
 def _whole_index(df):
     return df.withColumn("page_index", F.col("page_index").cast("long"))
 
@@ -76,7 +61,7 @@ df AS (SELECT term, %s AS df FROM p GROUP BY term),
 s AS (SELECT count(*) AS n, avg(len(body)) FILTER (WHERE len(body) > 0) AS avgdl FROM toks),
 x AS (SELECT qid, p.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(body) / avgdl))), 6) AS score
     FROM search_terms JOIN p USING (term) JOIN df USING (term) JOIN toks ON toks.doc_id = p.doc_id, s GROUP BY 1, 2)
-SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk FROM x) WHERE rk <= 10"""
+SELECT * FROM (SELECT qid, doc_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk FROM x) WHERE rk <= 50"""
 
 
 @query(_BM25 % "count(*)")
@@ -91,7 +76,7 @@ def bm25_parity(spark, d):
 
 @query(""", q AS (SELECT qid, term, count(*) OVER (PARTITION BY qid) AS n FROM search_terms),
 w AS (SELECT item_id AS qid, array_to_string(list_distinct_first, ' ') AS whole FROM (SELECT item_id, list_filter(t, lambda x, i: list_position(t, x) = i) AS list_distinct_first
-    FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2)[1:3] AS t FROM benchmark))),
+    FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2) AS t FROM benchmark))),
 t AS (SELECT doc_id, unnest(list_distinct(title_tokens)) AS term, len(title_tokens) AS n_title, array_to_string(title_tokens, ' ') AS title FROM toks),
 h AS (SELECT qid, doc_id, count(*) AS m, any_value(n) AS n, any_value(n_title) AS n_title, bool_or(whole = title) AS exact FROM q JOIN t USING (term) JOIN w USING (qid) GROUP BY 1, 2),
 g AS (SELECT DISTINCT doc_id, lower(unnest(tags)) AS term FROM docs),
@@ -118,9 +103,9 @@ def fingerprint(spark, d):
 # -- library
 
 
-@query("SELECT doc_id, title, updated_at, doc_source FROM docs ORDER BY updated_at DESC, doc_id DESC LIMIT 100")
+@query("SELECT doc_id, title, updated_at, doc_source FROM docs ORDER BY updated_at DESC, doc_id DESC")
 def library_recent(spark, d):
-    return V.documents(spark, d).orderBy(F.desc("updated_at"), F.desc("doc_id")).select("doc_id", "title", "updated_at", "doc_source").limit(100)
+    return V.documents(spark, d).orderBy(F.desc("updated_at"), F.desc("doc_id")).select("doc_id", "title", "updated_at", "doc_source")
 
 
 @query("SELECT item_id AS wanted, doc_id IS NOT NULL AS found, title FROM benchmark LEFT JOIN docs ON doc_id = item_id * 37")
@@ -316,9 +301,9 @@ def archive_totals(spark, d):
     return V.archive_entries(spark, d).groupBy("archive").agg(F.count("*").alias("n_files"), F.sum("size").alias("bytes"), F.round(1 - F.sum("compressed") / F.sum("size"), 6).alias("saved"))
 
 
-@query("SELECT archive, entry_no, running FROM (SELECT archive, entry_no, sum(size) OVER (PARTITION BY archive ORDER BY entry_no)::BIGINT AS running FROM entries) WHERE running <= 200000")
+@query("SELECT archive, entry_no, running FROM (SELECT archive, entry_no, sum(size) OVER (PARTITION BY archive ORDER BY entry_no)::BIGINT AS running FROM entries) WHERE running <= 2147483648")
 def bundle_plan(spark, d):
-    return archives.running_totals(V.archive_entries(spark, d), 200_000).select("archive", "entry_no", "running")
+    return archives.running_totals(V.archive_entries(spark, d), archives.BUILD_BYTES).select("archive", "entry_no", "running")
 
 
 @query(""", b AS (SELECT archive, entry_no, sum(size) OVER (PARTITION BY archive ORDER BY entry_no)::BIGINT AS running,
@@ -328,7 +313,10 @@ def build_plan(spark, d):
     return archives.build_plan(V.archive_entries(spark, d)).select("archive", "entry_no", "running", "taken", "reason")
 
 
-@query()
+@query("""SELECT archive, entry_no, CASE WHEN size < 1024 THEN size || ' B' WHEN size >= 1073741824 THEN n3 || ' GB' WHEN size >= 1048576 THEN n2 || ' MB' ELSE n1 || ' KB' END AS readable
+FROM (SELECT *, CASE WHEN size / 1024 >= 10 THEN floor(size / 1024 + 0.5)::BIGINT::VARCHAR ELSE printf('%.1f', size / 1024) END AS n1,
+    CASE WHEN size / 1048576 >= 10 THEN floor(size / 1048576 + 0.5)::BIGINT::VARCHAR ELSE printf('%.1f', size / 1048576) END AS n2,
+    CASE WHEN size / 1073741824 >= 10 THEN floor(size / 1073741824 + 0.5)::BIGINT::VARCHAR ELSE printf('%.1f', size / 1073741824) END AS n3 FROM entries)""")
 def size_report(spark, d):
     return V.archive_entries(spark, d).select("archive", "entry_no", T.human_size(F.col("size")).alias("readable"))
 
@@ -468,9 +456,15 @@ def stream_conversations(spark, d):
     return live.current_view(spark, at)
 
 
-@query(_NEWEST % 20)
+@query(_NEWEST % 200)
 def stream_transcripts(spark, d):
     at = folder(spark, "transcripts")
     said = _stream(spark, d, "conversations").where("role <> 'system'").select("conv_id", "turn", "role", "text")
     live.live_transcripts(said, at, f"{at}/state").awaitTermination()
     return live.current_view(spark, at).select("conv_id", "turn", "rk")
+
+
+# the other families of queries register themselves
+from pagewright.plans import editing, finding, manifests, writing  # noqa: E402, F401
+
+__all__ = ["ORACLES", "QUERIES"]

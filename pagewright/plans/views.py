@@ -14,15 +14,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deals rows anew only where the input has fewer parts than the cluster has cores, which a large input never has."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, title, text, tags, updated_at, is_favorite, doc_source."""
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     return d.select(
         "doc_id",
         F.substring(F.split("text", "\n")[0], 1, 120).alias("title"),
@@ -37,7 +31,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_index, text, kind, ocr_status: ten lines a page."""
     lines = F.split("text", "\n", -1)
-    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", lines.alias("lines"))
+    d = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
     n = F.ceil(F.size("lines") / PAGE_LINES).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.array_join(F.slice("lines", p * PAGE_LINES + 1, PAGE_LINES), "\n"))
     page = d.select("doc_id", F.posexplode(cut).alias("page_index", "text"))
@@ -57,10 +51,33 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """qid and the query's distinct terms: an item's first three tokens."""
+    """qid and the query's distinct terms: the whole text of an item."""
     from pagewright.functions.text import tokens
 
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(F.slice(tokens(F.col("text")), 1, 3)).alias("terms"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array_distinct(tokens(F.col("text"))).alias("terms"))
+
+
+def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, query: for each item its text, and the title and the tags of one document."""
+    items = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 3).alias("qid"), F.col("text").alias("query"), (F.col("item_id") * 37).alias("doc_id"))
+    found = items.join(documents(spark, sf_dir), "doc_id").select("qid", "title", F.array_join("tags", " ").alias("tags"))
+    return items.select("qid", "query").unionByName(found.select((F.col("qid") + 1).alias("qid"), F.col("title").alias("query"))).unionByName(found.select((F.col("qid") + 2).alias("qid"), F.col("tags").alias("query")))
+
+
+#: what a line of ``notes`` is turned into, by its number and document
+_NOTES = (("# ", ""), ("## ", ""), ("- ", ""), ("{n}. ", ""), ("> ", ""), ("**", "** and _more_"), ("", ""), ("### ", " *stray"), ("  * ", ""))
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` as written notes: doc_id, page_index, text with markup on every line, pictures between them."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ln", "line"))
+    turn = (F.col("doc_id") + F.col("ln")) % (len(_NOTES) + 1)
+    line = F.concat(F.lit("![Image](p"), F.col("doc_id") % 50, F.lit("-"), F.col("ln") % 3, F.lit(".jpg)"))
+    for k, (before, after) in enumerate(_NOTES):
+        start = F.concat((F.col("ln") % 100).cast("string"), F.lit(". ")) if "{n}" in before else F.lit(before)
+        line = F.when(turn == k, F.concat(start, F.col("line"), F.lit(after))).otherwise(line)
+    rows = lines.select("doc_id", F.floor(F.col("ln") / PAGE_LINES).cast("int").alias("page_index"), F.struct("ln", line.alias("line")).alias("l"))
+    return rows.groupBy("doc_id", "page_index").agg(F.array_join(F.transform(F.array_sort(F.collect_list("l")), lambda l: l["line"]), "\n").alias("text"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +108,16 @@ pgs AS (SELECT doc_id, ln // 10 AS page_index, string_agg(line, chr(10) ORDER BY
     CASE WHEN doc_id % 4 = 2 THEN 'text' ELSE 'image' END AS kind,
     CASE WHEN doc_id % 4 = 2 THEN 'completed' WHEN (doc_id + ln // 10) % 11 = 0 THEN 'pending' WHEN (doc_id + ln // 10) % 13 = 0 THEN 'failed' ELSE 'completed' END AS ocr_status
     FROM doc_lines GROUP BY doc_id, ln // 10),
+note_lines AS (SELECT doc_id, ln // 10 AS page_index, ln, CASE (doc_id + ln) % 10 WHEN 0 THEN '# ' || line WHEN 1 THEN '## ' || line WHEN 2 THEN '- ' || line WHEN 3 THEN (ln % 100) || '. ' || line
+    WHEN 4 THEN '> ' || line WHEN 5 THEN '**' || line || '** and _more_' WHEN 6 THEN line WHEN 7 THEN '### ' || line || ' *stray' WHEN 8 THEN '  * ' || line
+    ELSE '![Image](p' || (doc_id % 50) || '-' || (ln % 3) || '.jpg)' END AS line FROM doc_lines),
+notes AS (SELECT doc_id, page_index, string_agg(line, chr(10) ORDER BY ln) AS text FROM note_lines GROUP BY 1, 2),
 toks AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2) AS body,
     list_filter(regexp_split_to_array(lower(title), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2) AS title_tokens FROM docs),
 messages AS (SELECT conv_id, turn, role, text FROM conversations WHERE role <> 'system'),
-search_terms AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2)[1:3]) AS term FROM benchmark),
+search_terms AS (SELECT DISTINCT item_id AS qid, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: length(x) >= 2)) AS term FROM benchmark),
+searches AS (SELECT item_id * 3 AS qid, text AS query FROM benchmark UNION ALL SELECT item_id * 3 + 1, title FROM benchmark JOIN docs ON doc_id = item_id * 37
+    UNION ALL SELECT item_id * 3 + 2, tags[1] || ' ' || tags[2] FROM benchmark JOIN docs ON doc_id = item_id * 37),
 entries AS (SELECT regexp_extract(regexp_extract(url, '://([^?#]*)', 1), '^([^/]*)', 1) AS archive, page_id AS entry_no,
     regexp_extract(regexp_extract(url, '://([^?#]*)', 1), '^[^/]*/(.*)$', 1) AS path, strlen(html)::BIGINT AS size,
     trunc(strlen(html) / (page_id % 400 + 1))::BIGINT AS compressed FROM pages)
