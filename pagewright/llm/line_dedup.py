@@ -103,8 +103,8 @@ def _described(docs: DataFrame, rarity, least: int) -> DataFrame:
 
 def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity, least: int) -> DataFrame:
     """(node, tokens) of the given nodes, from the texts in which they come first."""
-    where = firsts.join(nodes, "node").select("first.doc", "first.text_hash")
-    texts = with_marks(docs.select("doc", "text_hash", "text"), marks_of(where, "doc", "text_hash"), "doc", "text_hash").where("marked").select("text")
+    where = firsts.join(nodes, "node").select(F.xxhash64("first.doc", "first.text_hash").alias("text"))
+    texts = with_marks(docs.select("doc", "text_hash", "text"), marks_of(where, "text"), "doc", "text_hash").where("marked").select("text")
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
     wanted = docs.sparkSession.sparkContext.broadcast(marks_of(nodes, "node"))
     schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
@@ -127,11 +127,14 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
     rarity = sketch_levels(docs.select("text"), lambda b: (w for _, _, w, _, _ in hashed_words(b["text"], SPACE)), BITS)
     table = work.keep(_described(docs, rarity, least), "lines")
     place = F.struct("doc", "line", "text_hash")
-    firsts = work.keep(table.groupBy("node").agg(F.min(place).alias("first")), "firsts")
+    firsts = work.keep(table.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
     rows = table.where("size(keys) > 0").select(F.posexplode("keys").alias("at", "key"), "node", "skip", "info", "more")
     rows = rows.select("key", "node", F.col("info").bitwiseOR(F.least(F.col("at") + F.col("skip"), F.lit(P.MOST_POS)).cast("long")).alias("info"), "more")
     found = work.keep(P.compare(rows, WHOLE), "candidates")
-    a, b = (firsts.select(F.col("node").alias(k), F.col("first").alias(f"first_{k}")) for k in "xy")
+    # only nodes with a candidate go on
+    nodes = work.keep(found.select(F.explode(F.array("x", "y")).alias("node")).where("node is not null").distinct(), "nodes")
+    known = work.keep(with_marks(firsts, marks_of(nodes, "node"), "node").where("marked").select("node", "first").join(nodes, "node"), "known")
+    a, b = (known.select(F.col("node").alias(k), F.col("first").alias(f"first_{k}")) for k in "xy")
     earlier = F.col("first_x") < F.col("first_y")
     pairs = found.where("lead is null").select("x", "y").distinct().join(a, "x").join(b, "y")
     pairs = work.keep(pairs.select(F.when(earlier, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(earlier, F.col("y")).otherwise(F.col("x")).alias("y"), F.least("first_x", "first_y").alias("first")), "pairs")
@@ -139,7 +142,7 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
     def shadowed(open_: DataFrame, name: str) -> DataFrame:
         """The later nodes y of linked pairs, x being the earlier."""
         nodes = work.keep(open_.select(F.explode(F.array("x", "y")).alias("node")).distinct(), f"{name}_nodes")
-        sets = work.keep(_node_sets(docs, nodes, firsts, rarity, least), f"{name}_sets")
+        sets = work.keep(_node_sets(docs, nodes, known, rarity, least), f"{name}_sets")
         out = work.keep(P.verified(open_, sets).select(F.col("y").alias("node")).distinct(), name)
         work.drop(f"{name}_nodes", f"{name}_sets")
         return out
@@ -153,18 +156,19 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
     # rows of large buckets without an earlier match so far meet all earlier rows of their buckets
     rest = found.where("lead is not null").select(P.bucket().alias("token"), F.col("x").alias("node"), "info", "more")
     if not rest.isEmpty():
-        placed = work.keep(rest.join(firsts, "node"), "rest")
+        placed = work.keep(rest.join(known, "node"), "rest")
         a = placed.join(gone, "node", "left_anti").select("token", F.col("node").alias("y"), F.col("info").alias("a"), F.col("more").alias("a_more"), F.col("first").alias("fy"))
         b = placed.select("token", F.col("node").alias("x"), F.col("info").alias("b"), F.col("more").alias("b_more"), F.col("first").alias("fx"))
         more = a.join(b, "token").where("fx < fy").where(P.may_link("a", "b")).select("x", "y").distinct()
         more = work.keep(more.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "open")
         if not more.isEmpty():
             gone = gone.unionByName(shadowed(more, "shadowed_more")).distinct()
-    work.drop("candidates", "rest", "pairs", "best", "left", "open")
-    # of a node's lines the first stays, unless an earlier line matches it
-    judged = work.keep(firsts.join(gone.withColumn("gone", F.lit(True)), "node", "left").select("node", "first", F.coalesce("gone", F.lit(False)).alias("gone")), "judged")
-    lines = table.select("doc", "text_hash", "line", "node").join(judged, "node")
-    return lines.where(F.col("gone") | (F.struct("doc", "line", "text_hash") > F.col("first"))).select("doc", "text_hash", "line")
+    work.drop("candidates", "rest", "pairs", "best", "left", "open", "nodes", "known")
+    # lines of a node with an earlier match go, and of any other node all but the first
+    judged = gone.select("node", F.lit(None).cast("struct<doc:bigint,line:int,text_hash:bigint>").alias("first")).unionByName(firsts.where("n > 1").select("node", "first"))
+    judged = work.keep(judged, "judged")
+    lines = with_marks(table.select("doc", "text_hash", "line", "node"), marks_of(judged, "node"), "node").where("marked").join(judged, "node")
+    return lines.where(F.col("first").isNull() | (F.struct("doc", "line", "text_hash") > F.col("first"))).select("doc", "text_hash", "line")
 
 
 def _without(text: pd.Series, gone: pd.Series) -> pd.Series:

@@ -94,24 +94,25 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
     kept = ("key", "node", "info", "more")
     schema = pa.schema([(n, pa.int64()) for n in NAMES])
 
-    def passes(a, b, more):
-        a, b = a.view(np.uint64), b.view(np.uint64)
-        size = [((v >> np.uint64(POS_BITS)) & np.uint64(MOST_SIZE)).astype(np.int64) for v in (a, b)]
-        rest = [n - (v & np.uint64(MOST_POS)).astype(np.int64) for n, v in zip(size, (a, b))]
-        both = size[0] + size[1]
-        apart = np.bitwise_count((a ^ b) >> np.uint64(SIZE_BITS + POS_BITS)).astype(np.int64)
-        apart += np.where(np.minimum(*size) > WIDE, np.bitwise_count(more.view(np.uint64)), 0)
-        return (np.maximum(*size) == MOST_SIZE) | ((9 * np.minimum(*rest) >= 4 * both) & (9 * apart <= both))
-
     def pairs_of(rows, first, limit):
         """Pairs of each row with the first ``limit`` rows of its bucket, which starts at ``first``."""
-        info, node, more = rows["info"], rows["node"], rows["more"]
+        node, more = rows["node"], rows["more"]
+        info = rows["info"].view(np.uint64)
+        size = ((info >> np.uint64(POS_BITS)) & np.uint64(MOST_SIZE)).astype(np.int32)
+        open_ = size == MOST_SIZE
+        # most comparisons end at the length and positional filters, so these come first and on small numbers
+        room = np.where(open_, np.int32(2**30), 9 * (size - (info & np.uint64(MOST_POS)).astype(np.int32)))
+        need = np.where(open_, np.int32(0), 4 * size)
         xs, ys, left, t = [], [], np.flatnonzero(limit > 0), 0
         while len(left):
             at = first[left] + t
-            ok = passes(info[left], info[at], more[left] ^ more[at]) & (node[left] != node[at])
-            xs.append(node[left[ok]])
-            ys.append(node[at[ok]])
+            ok = np.minimum(room[left], room[at]) >= need[left] + need[at]
+            x, y = left[ok], at[ok]
+            apart = np.bitwise_count((info[x] ^ info[y]) >> np.uint64(SIZE_BITS + POS_BITS)).astype(np.int32)
+            apart += np.where(np.minimum(size[x], size[y]) > WIDE, np.bitwise_count((more[x] ^ more[y]).view(np.uint64)), 0)
+            ok = ((9 * apart <= size[x] + size[y]) | open_[x] | open_[y]) & (node[x] != node[y])
+            xs.append(node[x[ok]])
+            ys.append(node[y[ok]])
             t += 1
             left = left[limit[left] > t]
         if sum(map(len, xs)):
