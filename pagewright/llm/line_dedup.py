@@ -94,7 +94,7 @@ def _described(docs: DataFrame, rarity, least: int) -> DataFrame:
                 keys = (tokens << np.uint64(P.RANK_BITS)) | np.repeat(_rank(ids[row]), n)
                 offsets = np.concatenate([[0], np.cumsum(np.maximum(last - alone, 0))]).astype(np.int32)
                 few, more = P.parities(tokens, start)
-                info, more = np.where(last > 0, P.packed(n, np.zeros_like(n), few), 0), np.where((last > 0) & (n > P.WIDE), more.view(np.int64), 0)
+                info, more = np.where(last > 0, P.packed(n, np.zeros_like(n), few), 0), np.where(last > 0, more.view(np.int64), 0)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[inside].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(hashes[row]), pa.array(line, pa.int32()), pa.array(node), pa.array(info), pa.array(more), pa.array(alone, pa.int32()), lists], schema=schema)
 
@@ -127,24 +127,26 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
     rarity = sketch_levels(docs.select("text"), lambda b: (w for _, _, w, _, _ in hashed_words(b["text"], SPACE)), BITS)
     table = work.keep(_described(docs, rarity, least), "lines")
     place = F.struct("doc", "line", "text_hash")
-    firsts = work.keep(table.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
-    rows = table.where("size(keys) > 0").select(F.posexplode("keys").alias("at", "key"), "node", "skip", "info", "more")
-    rows = rows.select("key", "node", F.col("info").bitwiseOR(F.least(F.col("at") + F.col("skip"), F.lit(P.MOST_POS)).cast("long")).alias("info"), "more")
+    firsts = work.keep(table.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.bit_or("info").alias("info"), F.bit_or("more").alias("more")), "firsts")
+    rows = table.where("size(keys) > 0").select(F.posexplode("keys").alias("at", "key"), "node", "skip", "info")
+    rows = rows.select("key", "node", F.col("info").bitwiseOR(F.least(F.col("at") + F.col("skip"), F.lit(P.MOST_POS)).cast("long")).alias("info"))
     found = work.keep(P.compare(rows, WHOLE), "candidates")
     # only nodes with a candidate go on
     nodes = work.keep(found.select(F.explode(F.array("x", "y")).alias("node")).where("node is not null").distinct(), "nodes")
-    known = work.keep(with_marks(firsts, marks_of(nodes, "node"), "node").where("marked").select("node", "first").join(nodes, "node"), "known")
-    a, b = (known.select(F.col("node").alias(k), F.col("first").alias(f"first_{k}")) for k in "xy")
+    known = work.keep(with_marks(firsts, marks_of(nodes, "node"), "node").where("marked").select("node", "first", "info", "more").join(nodes, "node"), "known")
+    a, b = (known.select(F.col("node").alias(k), F.col("first").alias(f"first_{k}"), F.col("info").alias(f"info_{k}"), F.col("more").alias(f"more_{k}")) for k in "xy")
     earlier = F.col("first_x") < F.col("first_y")
     pairs = found.where("lead is null").select("x", "y").distinct().join(a, "x").join(b, "y")
+    pairs = pairs.where(P.may_link("info_x", "info_y", "bit_count(more_x ^ more_y)"))
     pairs = work.keep(pairs.select(F.when(earlier, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(earlier, F.col("y")).otherwise(F.col("x")).alias("y"), F.least("first_x", "first_y").alias("first")), "pairs")
 
     def shadowed(open_: DataFrame, name: str) -> DataFrame:
         """The later nodes y of linked pairs, x being the earlier."""
         nodes = work.keep(open_.select(F.explode(F.array("x", "y")).alias("node")).distinct(), f"{name}_nodes")
-        sets = work.keep(_node_sets(docs, nodes, known, rarity, least), f"{name}_sets")
+        # the sets are dealt by node once; both sides of the join read that
+        sets = _node_sets(docs, nodes, known, rarity, least)
         out = work.keep(P.verified(open_, sets).select(F.col("y").alias("node")).distinct(), name)
-        work.drop(f"{name}_nodes", f"{name}_sets")
+        work.drop(f"{name}_nodes")
         return out
 
     # most nodes with an earlier match have it in their first partner; only the others meet all their partners
@@ -154,12 +156,12 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
     if not left.isEmpty():
         gone = work.keep(gone.unionByName(shadowed(left, "shadowed_left")), "shadowed_both")
     # rows of large buckets without an earlier match so far meet all earlier rows of their buckets
-    rest = found.where("lead is not null").select(P.bucket().alias("token"), F.col("x").alias("node"), "info", "more")
+    rest = found.where("lead is not null").select(P.bucket().alias("token"), F.col("x").alias("node"), F.col("info").alias("at"))
     if not rest.isEmpty():
         placed = work.keep(rest.join(known, "node"), "rest")
-        a = placed.join(gone, "node", "left_anti").select("token", F.col("node").alias("y"), F.col("info").alias("a"), F.col("more").alias("a_more"), F.col("first").alias("fy"))
-        b = placed.select("token", F.col("node").alias("x"), F.col("info").alias("b"), F.col("more").alias("b_more"), F.col("first").alias("fx"))
-        more = a.join(b, "token").where("fx < fy").where(P.may_link("a", "b")).select("x", "y").distinct()
+        a = placed.join(gone, "node", "left_anti").select("token", F.col("node").alias("y"), F.col("at").alias("a"), F.col("more").alias("a_more"), F.col("first").alias("fy"))
+        b = placed.select("token", F.col("node").alias("x"), F.col("at").alias("b"), F.col("more").alias("b_more"), F.col("first").alias("fx"))
+        more = a.join(b, "token").where("fx < fy").where(P.may_link("a", "b", "bit_count(a_more ^ b_more)")).select("x", "y").distinct()
         more = work.keep(more.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "open")
         if not more.isEmpty():
             gone = gone.unionByName(shadowed(more, "shadowed_more")).distinct()
@@ -190,7 +192,7 @@ def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     gone = removed_lines(keyed.select("doc", "text_hash", "text"), work, least)
     gone = work.keep(gone.groupBy("doc", "text_hash").agg(F.collect_set("line").alias("gone")), "removed")
     both = with_marks(keyed, marks_of(gone, "doc", "text_hash"), "doc", "text_hash")
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long").alias("n_lines")
+    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
     joined = both.where("marked").join(gone, ["doc", "text_hash"], "left")
     without = F.pandas_udf(_without, "string")
     hit = joined.where("gone is not null").select("row", without("text", "gone").alias("text"), n_lines, F.size("gone").cast("long").alias("n_removed"))
