@@ -6,6 +6,8 @@ Jaccard similarity of at least 1/2 with that window (1/4 in the shorter windows
 and ``BANDS`` bands of one MinHash value each meet with a probability of 1 - (1 - s) ** 32: above 0.9998 in both cases.
 A template counts as found when at least 0.8 of its 5-word shingles are in the text, which is checked exactly.
 
+The band keys of windows and chunks are joined as equals; what meets is checked on the texts' own shingles.
+
 Only texts with an anchor word are cut. The anchors are chosen so that shingles without any are fewer than a match may
 lack, hence no text without anchors can match. Everything is DataFrame and SQL functions.
 
@@ -20,7 +22,11 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import Workspace
+
 SHINGLE, CHUNK, STEP, BANDS, CONTAINED = 5, 8, 4, 32, 0.8
+#: words of all templates up to which their band keys are broadcast: eight keys a word, some 50 MB
+MOST_BROADCAST = 250_000
 
 #: fixed values: notices as their licenses word them
 TEMPLATES = {
@@ -79,41 +85,51 @@ def _keys(shingles: str) -> str:
     return f"transform(sequence(1, {BANDS}), b -> array_min(transform({shingles}, h -> xxhash64(h, b))))"
 
 
-def _template_frames(spark, templates):
-    """(license_id, shingles, keys of its chunks, whether it is short): one row a template, a fixed and small table."""
+def _template_frame(spark, templates):
+    """(license_id, template, keys): each template's shingles, and the band keys of its chunks."""
     rows = []
     for name, text in templates.items():
         words = words_of(text)
         last = max(0, len(words) - CHUNK)
         starts = sorted({*range(0, last + 1, STEP), last})
-        rows.append((name, words, [words[i : i + CHUNK] for i in starts], len(words) < CHUNK))
-    frame = spark.createDataFrame(rows, "license_id string, words array<string>, chunks array<array<string>>, short boolean")
-    chunks = F.expr(f"transform(chunks, c -> {_shingles('c')})").alias("chunks")
-    frame = frame.select("license_id", F.expr(_shingles("words")).alias("template"), chunks, "short")
-    return frame.select("license_id", "template", "short", F.expr(f"array_distinct(flatten(transform(chunks, c -> {_keys('c')})))").alias("template_keys"))
+        rows.append((name, words, [words[i : i + CHUNK] for i in starts]))
+    frame = spark.createDataFrame(rows, "license_id string, words array<string>, chunks array<array<string>>")
+    keys = f"array_distinct(flatten(transform(transform(chunks, c -> {_shingles('c')}), c -> {_keys('c')})))"
+    return frame.select("license_id", F.expr(_shingles("words")).alias("template"), F.expr(keys).alias("keys"))
+
+
+def _windows(length: int, step: int, least: int) -> str:
+    """Shingles of windows from every ``step``-th word that has ``least`` words from it on."""
+    cut = f"transform(sequence(0, greatest(size(words) - {least}, 0), {step}), at -> slice(words, at + 1, {length}))"
+    return f"transform({cut}, w -> {_shingles('w')})"
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """One row for each row of ``docs`` and license found: doc_id, license_id, n_shingles, n_found, containment; one with
     nulls and zeros where none is."""
     spark = docs.sparkSession
+    work = Workspace(spark, "licenses")
     text = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     may = F.col("text").rlike("|".join(anchors(templates)))
-    words = docs.select("doc_id", F.when(may, F.filter(F.split("text", _SPLIT), lambda w: w != "")).otherwise(F.array().cast("array<string>")).alias("words"))
-
-    def windows(length: int, step: int, least: int) -> str:
-        """Shingles of windows from every ``step``-th word that has ``least`` words from it on."""
-        cut = f"transform(sequence(0, greatest(size(words) - {least}, 0), {step}), at -> slice(words, at + 1, {length}))"
-        return f"if(size(words) = 0, cast(array() as array<array<bigint>>), transform({cut}, w -> {_shingles('w')}))"
-
-    cut = words.select("doc_id", F.expr(windows(CHUNK + STEP, STEP, CHUNK)).alias("long"), F.expr(windows(CHUNK, 2, SHINGLE)).alias("short"), F.expr(f"if(size(words) = 0, cast(array() as array<bigint>), {_shingles('words')})").alias("shingles"))
-    keyed = cut.select("doc_id", "shingles", *(F.expr(f"array_distinct(flatten(transform({k}, w -> {_keys('w')})))").alias(f"{k}_keys") for k in ("long", "short")))
-    table = F.broadcast(_template_frames(spark, templates))  # as many rows as templates
-    keys = F.when(F.col("short"), F.col("short_keys")).otherwise(F.col("long_keys"))
-    met = (F.size("shingles") > 0) & F.arrays_overlap(keys, F.col("template_keys"))
-    shared = F.size(F.array_intersect("template", "shingles"))
-    verified = keyed.join(table, met & (shared >= F.lit(CONTAINED) * F.size("template")), "left")
-    n = F.coalesce(F.size("template"), F.lit(0))
-    found = F.when(F.col("license_id").isNotNull(), shared).otherwise(0)
-    return verified.select("doc_id", "license_id", F.when(F.col("license_id").isNotNull(), n).otherwise(0).cast("long").alias("n_shingles"), found.cast("long").alias("n_found"), F.when(F.col("license_id").isNotNull(), found / n).otherwise(0.0).alias("containment"))
+    words = F.filter(F.split("text", _SPLIT), lambda w: w != "").alias("words")
+    anchored = docs.where(may).select("doc_id", F.xxhash64("text").alias("text_key"), words)
+    table = _template_frame(spark, templates)
+
+    # band keys that a window and a chunk share name the templates to look at; equal texts are named once
+    long, short = (F.expr(f"flatten(transform({_windows(*w)}, s -> {_keys('s')}))") for w in ((CHUNK + STEP, STEP, CHUNK), (CHUNK, 2, SHINGLE)))
+    keyed = anchored.where("size(words) > 0").select("text_key", F.explode(F.array_distinct(F.concat(long, short))).alias("key"))
+    bands = table.select("license_id", F.explode("keys").alias("key"))
+    n_words = sum(len(words_of(t)) for t in templates.values())
+    met = keyed.join(F.broadcast(bands) if n_words <= MOST_BROADCAST else bands, "key").select("text_key", "license_id").distinct()
+    met = work.keep(met, "met")
+    held = met.join(table.select("license_id", "template"), "license_id").groupBy("text_key").agg(F.collect_list(F.struct("license_id", "template")).alias("held"))
+
+    kind = "array<struct<license_id:string,n:int,found:int>>"
+    checked = f"filter(transform(held, h -> struct(h.license_id, size(h.template) as n, size(array_intersect(h.template, shingles)) as found)), h -> h.found >= {CONTAINED} * h.n)"
+    both = anchored.join(held, "text_key", "left").withColumn("shingles", F.when(F.col("held").isNotNull() & (F.size("words") > 0), F.expr(_shingles("words"))))
+    found = both.select("doc_id", F.explode_outer(F.when(F.col("held").isNull(), F.array().cast(kind)).otherwise(F.expr(checked).cast(kind))).alias("f"))
+    found = found.select("doc_id", "f.license_id", F.coalesce("f.n", F.lit(0)).cast("long").alias("n_shingles"), F.coalesce("f.found", F.lit(0)).cast("long").alias("n_found"), F.coalesce(F.col("f.found") / F.col("f.n"), F.lit(0.0)).alias("containment"))
+    none = F.lit(0).cast("long")
+    rest = docs.where(~may).select("doc_id", F.lit(None).cast("string").alias("license_id"), none.alias("n_shingles"), none.alias("n_found"), F.lit(0.0).alias("containment"))
+    return found.unionByName(rest)
