@@ -4,7 +4,7 @@ Base spans (email, ip, card, phone) are seeds. The words around them are lexical
 no base span are candidates. Patterns and instances form a graph that is scored in rounds: a pattern by the share of
 its instances that are believed, an instance by the patterns that it is found in. Candidates under patterns of high
 confidence become further spans, of kind ``id``. Everything is DataFrame and SQL functions; the patterns' quantifiers
-are possessive and anchored, so a text costs time in proportion to its length.
+are possessive and anchored, and spans are placed and compared in parts, so a text costs little more than its length.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are searched each (a candidate's evidence
 counts distinct values, so copies add nothing); a null doc_id stays null; an empty table gives no rows; extra columns
@@ -37,18 +37,44 @@ LEAST_SEEDS, CONFIDENT = 3, 0.6
 LEAST_DIGITS, LEAST_LENGTH = 4, 6
 
 
+#: arrays are summed and searched in parts of so many, so that a text with many matches costs little more than its length
+PART = 64
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _parts(array: str, make: str) -> str:
+    """``make`` of each part (as y) of an array that is not empty."""
+    return f"transform(sequence(0, (size({array}) - 1) div {PART}), k -> {_let(f'slice({array}, k * {PART} + 1, {PART})', 'y', make)})"
+
+
+def _sum(array: str) -> str:
+    return f"aggregate({array}, 0, (n, x) -> n + x)"
+
+
 def _found(name: str, number: int) -> Column:
     """Spans with their context, from the pieces between matches and the matches (columns p_<name> and m_<name>)."""
     p, m = f"p_{name}", f"m_{name}"
     kind = "array<struct<start:int,kind:int,stop:int,value:string,before:string,after:string>>"
-    return F.expr(
-        f"""if(size({m}) = 0, cast(array() as {kind}), aggregate(sequence(0, size({m}) - 1),
-        struct(0 as at, cast(array() as {kind}) as spans),
-        (a, i) -> struct(a.at + length({p}[i]) + length({m}[i]) as at, array_append(a.spans, struct(
-            a.at + length({p}[i]) as start, {number} as kind, a.at + length({p}[i]) + length({m}[i]) as stop,
-            {m}[i] as value, right({p}[i], {CONTEXT}) as before, left({p}[i + 1], {CONTEXT}) as after)) as spans),
-        a -> a.spans))"""
-    )
+    start = f"ends[cast(i div {PART} as int)] + {_sum(f'slice(lengths, cast(i div {PART} as int) * {PART} + 1, i % {PART})')} + length(w)"
+    span = f"struct(s as start, {number} as kind, s + length({m}[i]) as stop, {m}[i] as value, right(w, {CONTEXT}) as before, left({p}[i + 1], {CONTEXT}) as after)"
+    spans = f"transform(slice({p}, 1, size({m})), (w, i) -> {_let(start, 's', span)})"
+    # where each part of the matches begins, summed the same way over the parts
+    ends = f"transform(sequence(0, size(sums) - 1), k -> {_sum('slice(sums, 1, k)')})"
+    lengths = f"zip_with(slice({p}, 1, size({m})), {m}, (a, b) -> length(a) + length(b))"
+    return F.expr(f"if(size({m}) = 0, cast(array() as {kind}), {_let(lengths, 'lengths', _let(_parts('lengths', _sum('y')), 'sums', _let(ends, 'ends', spans)))})")
+
+
+def _apart(codes: str, base: str) -> str:
+    """The codes that overlap no base span; spans are searched by parts, and parts of parts."""
+    part = "struct(y[0].start as low, array_max(transform(y, b -> b.stop)) as high, y as held)"
+    more = "struct(y[0].low as low, array_max(transform(y, b -> b.high)) as high, y as held)"
+    meets = lambda name, inner: f"{name}.low < x.stop and x.start < {name}.high and exists({name}.held, {inner})"
+    hit = f"exists(tops, t -> {meets('t', 'u -> ' + meets('u', 'b -> b.start < x.stop and x.start < b.stop'))})"
+    return f"if(size({base}) = 0, {codes}, {_let(_parts(base, part), 'few', _let(_parts('few', more), 'tops', f'filter({codes}, x -> not {hit})'))})"
 
 
 def _luhn(digits: str) -> str:
@@ -87,7 +113,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     base = F.array_sort(F.concat(*VALID))
     shape = f"length(x.value) >= {LEAST_LENGTH} and length({_digits('x.value')}) >= {LEAST_DIGITS}"
     codes = valid.select("doc_id", base.alias("base"), F.expr(f"filter(code, x -> {shape})").alias("code"))
-    return codes.select("doc_id", "base", F.expr("filter(code, x -> not exists(base, b -> b.start < x.stop and x.start < b.stop))").alias("codes"))
+    return codes.select("doc_id", "base", F.expr(_apart("code", "base")).alias("codes"))
 
 
 def _patterns(x: str) -> str:

@@ -2,6 +2,7 @@ import hashlib
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from pagewright.llm import pii
 
 PATTERNS = {
@@ -79,3 +80,20 @@ def test_zero_parts(spark):
     got = pii.report(pii.extract(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
     check(rows, got)
     assert {r.doc_id: r.n_ip for r in got} == {1: 5, 2: 1, 3: 1, 4: 0}
+
+
+def test_many_codes_in_one_text(spark):
+    """A text of very many codes and addresses takes seconds, and its spans are those of short texts."""
+    import time
+
+    words = [f"{k}.1.0.{k % 256}" if k % 3 == 0 and k < 256 else f"10.0.{k % 256}.7" if k % 3 == 0 else f"c{k:07d}" for k in range(100_000)]
+    docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
+    began = time.time()
+    row = pii.base_spans(docs).select("base.start", "base.stop", F.size("codes").alias("n")).first()
+    assert time.time() - began < 60
+    at, want = 0, []
+    for k, w in enumerate(words):
+        if k % 3 == 0:
+            want.append((at, at + len(w)))
+        at += len(w) + 1
+    assert list(zip(row.start, row.stop)) == want and row.n == sum(k % 3 > 0 for k in range(100_000))
