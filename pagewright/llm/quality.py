@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 TREES, DEPTH = 12, 3
 PENALTY = 0.002
-MOST_RULES = 160
 
 _WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -57,9 +56,9 @@ def statistics(text: Column) -> dict[str, Column]:
 STATISTICS = tuple(sorted(["log_words", "word_length", "distinct_words", "distinct_lines", "line_words", "letters", "capitals", "digits", "symbols", "bars", "exclamations", "stops", "commas"]))
 
 
-def with_statistics(docs: DataFrame) -> DataFrame:
+def with_statistics(docs: DataFrame, name: str = "stats") -> DataFrame:
     found = statistics(F.col("text"))
-    return docs.withColumn("stats", F.struct(*(found[k].cast("double").alias(k) for k in STATISTICS)))
+    return docs.withColumn(name, F.struct(*(found[k].cast("double").alias(k) for k in STATISTICS)))
 
 
 Rule = tuple[tuple[int, bool, float], ...]  # (statistic, at most or above, bound)
@@ -110,6 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     labels = labels.groupBy("doc_id").agg(F.min("label").alias("label")).where(~held_out(F.col("doc_id")))
     labels = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = with_statistics(docs.join(F.broadcast(labels), "doc_id"))  # at most ``sample`` labels
     rows = found.select(F.col("label").cast("double").alias("label"), F.array(*(f"stats.{k}" for k in STATISTICS)).alias("x")).persist()
     share = rows.agg(F.avg("label")).first()[0]
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
     # each label counts alike while the rules are sought
     train = train.withColumn("weight", F.when(F.col("label") == 1, 0.5 / share).otherwise(0.5 / (1 - share)))
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=7, weightCol="weight", featureSubsetStrategy="sqrt", maxMemoryInMB=64).fit(train)
-    rules = sorted({r for tree in forest._java_obj.trees() for r in _paths(tree.rootNode(), {})}, key=lambda r: (len(r), r))[:MOST_RULES]
+    rules = sorted({r for tree in forest._java_obj.trees() for r in _paths(tree.rootNode(), {})}, key=lambda r: (len(r), r))
     stats = F.struct(*(F.col("x")[i].alias(k) for i, k in enumerate(STATISTICS)))
     data = rows.withColumn("stats", stats).select("label", array_to_vector(F.array(*(_met(r).cast("double") for r in rules))).alias("features"))
     lasso = LogisticRegression(regParam=PENALTY, elasticNetParam=1.0, standardization=False, maxIter=80, tol=1e-6).fit(data)
@@ -132,8 +132,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> RuleModel:
 
 
 def scored(docs: DataFrame, model: RuleModel) -> DataFrame:
-    """``docs`` with a column ``score``."""
-    return with_statistics(docs).withColumn("score", model.column()).drop("stats")
+    """``docs`` with a column ``score``, which replaces one of that name; all other columns stay, whatever their names."""
+    stats = "stats"
+    while stats in docs.columns:
+        stats += "_"
+    return with_statistics(docs, stats).withColumn("score", model.column(stats)).drop(stats)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
