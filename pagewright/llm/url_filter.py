@@ -1,6 +1,6 @@
 """URL filters: host and path rules first, else a logistic regression on hashed character n-grams.
 
-The model is trained on ``LABELLED``, a small table of labelled URLs, by Newton steps with a fixed ridge penalty. Its
+The model is trained on a small table of labelled URLs (``url_labels.tsv``), by Newton steps with a fixed ridge penalty. Its
 features are the distinct hashed n-grams of the host and of the path.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, meets no rule and goes to the model;
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -24,33 +25,13 @@ PATH_WEIGHT = 0.3
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-#: hosts and paths to block, and others to allow
-_EXAMPLES = (
-    [(u, 1) for u in """casino-royal.example/play bestcasino.example/slots online-casino.example/bonus win-big.example/jackpot casino-win.example/spin lucky-slots.example/free-spins poker-bonus.example/join
-bet-now.example/odds free-bets.example/signup sport-bets.example/live bingo-win.example/games jackpot-city.example/win roulette-free.example/play betting-tips.example/vip
-cheap-pills.example/order pills-online.example/buy buy-viagra.example/cheap discount-meds.example/rx pharmacy-cheap.example/no-prescription diet-pills.example/offer
-ads-track.example/click track-ads.example/pixel adserver.example/banner click-tracker.example/go popads.example/serve ad-network.example/imp banner-ads.example/rotate tracking-pixel.example/t
-payday-loan.example/apply fast-cash.example/now free-money.example/claim easy-loans.example/approve crypto-profit.example/double get-rich.example/today
-adult-cams.example/live xxx-video.example/watch hot-dates.example/join sexy-chat.example/free replica-watches.example/sale fake-bags.example/cheap
-free-ringtones.example/download warez-crack.example/keygen torrent-free.example/movie
-m.casino-win.example/en/4033.html www.free-bets.example/fr/5462#top blog.cheap-pills.example/de/6652 ads-track.example/en/9823/ www.lucky-casino.example/es/1204?page=2 m.online-slots.example/en/773
-blog.viagra-shop.example/fr/2290.html poker-win.example/de/8181/ www.loans-fast.example/en/3017 m.adserver.example/es/655?ref=x xxx-dates.example/en/4110.html www.bonus-bets.example/fr/929
-m.pills-rx.example/en/7003/ click-ads.example/de/1450?utm_source=feed casino-bonus.example/en/66 blog.adult-pics.example/en/3307 adult-movies.example/fr/91.html adult-x.example/de/5340 m.adult-shop.example/en/7716/ adult-club.example/fr/3021 spam-farm.example/en/2218/ www.spam-offers.example/de/909 content-farm.example/es/4127 spam-links.example/en/4402 www.link-farm.example/de/18/ m.spam-mail.example/fr/731 seo-spam.example/es/6120.html cheap-links.example/en/2710 www.adult-dates.example/es/4006/ m.slots-jackpot.example/en/5120 www.track-pixel.example/en/2087 prize-winner.example/claim gift-card-free.example/survey download-crack.example/serial""".split()]
-    + [(u, 0) for u in """news.example/en/2021/article journal.example/science/story www.library.example/catalog/book blog.example/posts/garden university.example/courses/history museum.example/exhibits/art
-www.weather.example/forecast/today cooking.example/recipes/bread recipe-book.example/dinner/soup www.recipes-daily.example/en/4120 m.travel.example/guides/city docs.software.example/manual/install forum.example/threads/4411 www.school.example/lessons/math
-health.example/articles/sleep city-council.example/minutes/2020 parks.example/trails/map www.theatre.example/season/plays gardening.example/tips/roses encyclopedia.example/wiki/river
-blog.photography.example/2019/light www.history.example/essays/rome science.example/physics/optics code.example/project/readme music.example/reviews/album m.sports.example/report/match
-www.bookshop.example/authors/novel economics.example/papers/trade language.example/grammar/verbs film.example/critics/drama www.nature.example/birds/owl philosophy.example/texts/ethics
-thing.example/en/4821 www.theren.example/fr/7719 m.ththin.example/es/120.html blog.tionand.example/de/5521?page=2 hathe.example/en/88/ www.onand.example/en/3412#top
-blog.esther.example/fr/907.html m.reand.example/en/6120?ref=x tionst.example/es/33/ oneth.example/en/7450?utm_source=feed www.edther.example/de/612 m.athen.example/fr/5081
-thaten.example/en/5210 therol.example/fr/318/ thoning.example/en/9002.html thenath.example/de/4410 m.thisen.example/es/72 thunder.example/en/6154#top theatre.example/fr/8120?page=2
-thistle.example/en/1177 thermal.example/de/2903/ throne.example/en/3856 theory.example/es/6071.html thatch.example/en/941 blog.thought.example/fr/5333 thentor.example/en/7012""".split()]
-)
-
-
-#: the same domains end the hosts of either label
-_ENDS = (".example", ".example.com", ".example.net", ".example.org", ".test")
-LABELLED = tuple((u.replace(".example", _ENDS[i % len(_ENDS)], 1), label) for i, (u, label) in enumerate(_EXAMPLES))
+
+
+def labelled() -> list[tuple[str, int]]:
+    """The small labelled table: host and path, and 1 to block or 0 to allow."""
+    text = files(__package__).joinpath("url_labels.tsv").read_text(encoding="utf-8")
+    rows = [line.split("\t") for line in text.splitlines() if line and not line.startswith("#")]
+    return [(url, int(label)) for label, url in rows]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -82,11 +63,10 @@ def features(host: str, path: str) -> dict[int, float]:
     return out
 
 
-@lru_cache(1)
-def model() -> tuple[np.ndarray, float]:
+def fit(table: list[tuple[str, int]]) -> tuple[np.ndarray, float]:
     """Weights by hashed feature, and the intercept."""
-    rows = [features(*u.partition("/")[::2]) for u, _ in LABELLED]
-    y = np.array([label for _, label in LABELLED], float)
+    rows = [features(*u.partition("/")[::2]) for u, _ in table]
+    y = np.array([label for _, label in table], float)
     used = np.array(sorted({f for r in rows for f in r}))
     x = np.zeros((len(rows), len(used)))
     for i, r in enumerate(rows):
@@ -103,9 +83,14 @@ def model() -> tuple[np.ndarray, float]:
     return weights, float(a.sum())
 
 
-def score(host: str, path: str) -> float:
+@lru_cache(1)
+def model() -> tuple[np.ndarray, float]:
+    return fit(labelled())
+
+
+def score(host: str, path: str, fitted: tuple[np.ndarray, float] | None = None) -> float:
     """Likelihood of a url to block."""
-    weights, z = model()
+    weights, z = fitted or model()
     for f, value in features(host, path).items():
         z += weights[f] * value
     return float(1 / (1 + np.exp(-z)))
