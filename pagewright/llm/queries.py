@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, licenses, line_dedup, media, ngram_join, packing, pii, quality, url_filter
+from . import decontaminate, html_extract, licenses, line_dedup, media, ngram_join, oracles, packing, pii, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,7 +56,12 @@ def queries():
 
 
 #: DuckDB SQL; the other operators fit a model, run a tokenizer or codec, or iterate, and are tested against brute force
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": oracles.NGRAM_JOIN,
+    "op2_license_scan": oracles.LICENSES,
+    "op4_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op6_line_dedup": oracles.LINE_DEDUP,
+}
 
 
 def oracle_sql() -> dict[str, str]:
