@@ -88,10 +88,13 @@ def entry_title(name: Column) -> Column:
 _NUMBERS = "no one two three four five six seven eight nine ten".split()
 
 
+def number_word(n: Column) -> Column:
+    """A number in words up to ten, in digits above."""
+    return F.when(n.between(0, 10), F.get(F.array(*map(F.lit, _NUMBERS)), n.cast("int"))).otherwise(n.cast("string"))
+
+
 def counted(n: Column, singular: str, plural: str) -> Column:
-    """A count in words up to ten, in digits above."""
-    word = F.when(n.between(0, 10), F.get(F.array(*map(F.lit, _NUMBERS)), n.cast("int"))).otherwise(n.cast("string"))
-    return F.concat(word, F.lit(" "), F.when(n == 1, singular).otherwise(plural))
+    return F.concat(number_word(n), F.lit(" "), F.when(n == 1, singular).otherwise(plural))
 
 
 def listed(items: Column) -> Column:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import tokens, trimmed
+from pagewright.functions.text import tokens
 from pagewright.functions import lexicon as L
-from pagewright.operators import facts, passages, search
+from pagewright.operators import facts, markup, passages, search
 
 CANDIDATES, IDEAL, INTENT_BOOST, FLOOR, SYNONYM = 6, 25, 1.35, 0.5, 0.6
 PER_DOCUMENT, MOST, BUDGET, PAD = 2, 4, 1200, 240
@@ -57,11 +57,11 @@ def select(ranked: DataFrame) -> DataFrame:
 
 
 def citations(selected: DataFrame, pages: DataFrame) -> DataFrame:
-    """``selected`` with the passage's surroundings on its page as ``snippet``, some ``PAD`` characters on one line."""
+    """``selected`` with the passage's surroundings on its page as ``snippet``, some ``PAD`` characters on one line, without markers."""
     page = pages.select("doc_id", "page_index", F.col("text").alias("page"))
     room = F.greatest(F.lit(0), F.floor((PAD - (F.col("stop") - F.col("start"))) / 2)).cast("int")
     begin, end = F.greatest(F.lit(0), F.col("start") - room), F.least(F.length("page"), F.col("stop") + room)
-    flat = trimmed(F.regexp_replace(F.substring("page", begin + 1, end - begin), r"\s+", " "))
+    flat = markup.inline_text(F.substring("page", begin + 1, end - begin))
     snippet = F.concat(F.when(begin > 0, "…").otherwise(""), flat, F.when(end < F.length("page"), "…").otherwise(""))
     return selected.join(page, ["doc_id", "page_index"]).withColumn("snippet", snippet).drop("page")
 
@@ -79,3 +79,9 @@ def compose(questions: DataFrame, selected: DataFrame, library: DataFrame) -> Da
     whole = F.col("coverage") >= 0.999
     confidence = F.when(whole & F.col("shaped"), "strong").when(whole | F.col("shaped"), "partial").when(F.col("answer").isNotNull(), "weak")
     return rows.select("qid", "mode", F.when(F.col("answer").isNull(), empty).otherwise("answer").alias("kind"), confidence.alias("confidence"), "best_doc", "answer", F.coalesce("n_citations", F.lit(0)).alias("n_citations"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
+
+
+def fallbacks(questions: DataFrame, selected: DataFrame) -> DataFrame:
+    """Questions for a kind of value of which no passage was selected."""
+    asked = questions.where("mode = 'answer' and intent <> 'general' and (size(terms) > 0 or size(phrases) > 0)")
+    return asked.join(selected.select("qid").distinct(), "qid", "left_anti")

@@ -386,10 +386,13 @@ def answer_selection(spark, d):
     return _whole_index(A.select(A.rank(*_answering(spark, d))).select("qid", "doc_id", "page_index", "start", "rk"))
 
 
-@query()
+#: without markers, which the passages cited of the given tables do not have
+@query(rf"""{V.SPANS}{V.QUESTIONS}{V.PRIORS}{V.RANK}{V.SELECTED}, room AS (SELECT s.*, pgs.text AS page, greatest(0, s.start - greatest(0, floor((240 - length(s.text)) / 2)))::BIGINT AS b,
+    least(length(pgs.text), s.start + length(s.text) + greatest(0, floor((240 - length(s.text)) / 2)))::BIGINT AS e FROM selected s JOIN pgs USING (doc_id, page_index))
+SELECT qid, doc_id, page_index, rk, CASE WHEN b > 0 THEN '…' ELSE '' END || regexp_replace(regexp_replace(page[b + 1:e], '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') || CASE WHEN e < length(page) THEN '…' ELSE '' END AS snippet FROM room""")
 def citations(spark, d):
     q, pages, cand = _answering(spark, d)
-    return A.citations(A.select(A.rank(q, pages, cand)), pages).select("qid", "doc_id", "page_index", "rk", "snippet")
+    return _whole_index(A.citations(A.select(A.rank(q, pages, cand)), pages).select("qid", "doc_id", "page_index", "rk", "snippet"))
 
 
 @query(f"""{V.SPANS}{V.QUESTIONS}{V.PRIORS}{V.RANK}{V.SELECTED},
@@ -417,22 +420,6 @@ def sentence_scores(spark, d):
     return _whole_index(summaries.scores(passages.passages(V.pages(spark, d))).select("doc_id", "page_index", "start", "score"))
 
 
-@query()
-def summary(spark, d):
-    return summaries.summaries(summaries.scores(passages.passages(V.pages(spark, d))))
-
-
-@query()
-def summary_brief(spark, d):
-    return summaries.summaries(summaries.scores(passages.passages(V.pages(spark, d))), 2, 600)
-
-
-@query()
-def doc_outline(spark, d):
-    pages = V.pages(spark, d)
-    return summaries.outlines(V.documents(spark, d), pages, summaries.scores(passages.passages(pages)))
-
-
 # -- streams: each reads what is there now and ends
 
 
@@ -464,7 +451,31 @@ def stream_transcripts(spark, d):
     return live.current_view(spark, at).select("conv_id", "turn", "rk")
 
 
+@query(""", e AS (SELECT user_id AS doc_id, event_id AS seq, event_type FROM events WHERE user_id IS NOT NULL), l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS r FROM e)
+SELECT doc_id, event_type || ' ' || seq AS title FROM l WHERE r = 1 AND event_type <> 'error'""")
+def stream_library(spark, d):
+    """Events as changes of documents, errors as deletions: the library after all of them."""
+    at = folder(spark, "library")
+    e = _stream(spark, d, "events").where("user_id is not null")
+    changes = e.select(F.col("event_id").alias("seq"), F.col("user_id").alias("doc_id"), F.concat_ws(" ", "event_type", F.col("event_id").cast("string")).alias("title"), (F.col("event_type") == "error").alias("deleted"))
+    live.live_library(changes, f"{at}/rows", f"{at}/state").awaitTermination()
+    return live.current_library(spark, f"{at}/rows")
+
+
+@query("""SELECT doc_id, 'body' AS field, term, count(*) AS tf FROM (SELECT doc_id, unnest(body) AS term FROM toks WHERE doc_id % 7 <> 0) GROUP BY 1, 3
+UNION ALL SELECT doc_id, 'title', unnest(list_distinct(title_tokens)), 1 FROM toks WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id, 'tag', unnest(list_distinct(flatten(list_transform(tags, lambda g: list_filter(regexp_split_to_array(lower(g), '[^\\p{L}\\p{N}]+'), lambda x: length(x) >= 2))))), 1 FROM docs WHERE doc_id % 7 <> 0""")
+def stream_entries(spark, d):
+    """An index that follows edits: every document comes, with another text first, and a seventh is emptied again."""
+    at = folder(spark, "entries")
+    docs = _stream(spark, d, "documents")
+    own = docs.select("doc_id", F.substring(F.split("text", "\n")[0], 1, 120).alias("title"), "text", F.array("lang", "source").alias("tags"))
+    steps = F.array(F.struct(F.lit(0).alias("seq"), F.lit("draft").alias("text")), F.struct(F.lit(1).alias("seq"), F.col("text")), F.struct(F.lit(2).alias("seq"), F.lit(None).cast("string").alias("text")))
+    each = own.select("doc_id", "title", "tags", F.explode(F.when(F.col("doc_id") % 7 == 0, steps).otherwise(F.slice(steps, 1, 2))).alias("e")).select("doc_id", "e.seq", "e.text", F.when(F.col("e.seq") < 2, F.col("title")).alias("title"), F.when(F.col("e.seq") < 2, F.col("tags")).alias("tags"))
+    live.keep_entries(each, f"{at}/index", f"{at}/state").awaitTermination()
+    return search.stored(spark, f"{at}/index")
+
+
 # the other families of queries register themselves
-from pagewright.plans import editing, finding, manifests, writing  # noqa: E402, F401
+from pagewright.plans import asking, editing, finding, manifests, writing  # noqa: E402, F401
 
 __all__ = ["ORACLES", "QUERIES"]

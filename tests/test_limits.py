@@ -29,3 +29,20 @@ def test_live_transcripts_cap(spark, tmp_path):
     stream = spark.readStream.schema("conv_id long, turn int, role string, text string").parquet(f"{tmp_path}/said")
     live.live_transcripts(stream, f"{tmp_path}/at", f"{tmp_path}/at/state", 4).awaitTermination()
     assert sorted(r.turn for r in live.current_view(spark, f"{tmp_path}/at").collect()) == [5, 6, 7, 8]
+
+
+def test_files_that_are_dropped_are_read_once(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "a.txt").write_text("one")
+    (source / "b.exe").write_text("two")
+    (source / "c.md").write_text("  ")
+
+    def run():
+        live.drop_folder(spark, str(source), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        read = lambda kind: spark.read.parquet(f"{tmp_path}/out/{kind}").collect()
+        return sorted(r.text for r in read("texts")), sorted(r.path[-5:] for r in read("rejected"))
+
+    assert run() == (["one"], sorted(["/c.md", "b.exe"]))
+    (source / "d.txt").write_text("three")
+    assert run() == (["one", "three"], sorted(["/c.md", "b.exe"]))
