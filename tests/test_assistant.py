@@ -90,7 +90,7 @@ def test_explanations(docs, pages):
     counts = facts.top(pages, 20).groupBy("doc_id", "intent").count().withColumnRenamed("count", "n")
     got = {r.doc_id: r.text for r in dialogue.explained(topics, counts, docs.select("doc_id", "title")).collect()}
     assert got[2].startswith("“Project report” covers Costs and Plan.")
-    assert got[1].startswith("“Rental agreement” is about “This agreement is made between Anna Smith and Peter Brown") and "It records two dates, one amount, two names" in got[1]
+    assert got[1].startswith("“Rental agreement” is about “This agreement is made between Anna Smith and Peter Brown") and "It records two dates, one amount and two names." in got[1]
     assert got.get(3) is None
 
 
