@@ -110,44 +110,43 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byte
     """Per row of ``docs``: doc_id, n_words, the items found, the word ranges that are hit and their spans in the text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = _blocks(benchmark, block_bytes)
-    if len(blocks) == 1:
-        return _scan_block(docs, blocks[0], window)
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
-    parts = [_scan_block(docs, part, window, "row") for part in blocks]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    found = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("ranges"))).alias("ranges"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return found.select("doc_id", "n_words", "item_ids", _union("ranges"), _union("spans"))
-
-
-def _union(name: str):
+    for k, items in enumerate(blocks):
+        docs = _scan_block(docs, items, window, k > 0, k == len(blocks) - 1)
+    return docs
+
+
+def _union(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted ranges with those that overlap or touch made one."""
-    kind = "array<struct<start:int,stop:int>>"
-    return F.expr(
-        f"aggregate({name}, cast(array() as {kind}), (a, r) -> case when size(a) > 0 and a[size(a) - 1].stop >= r.start"
-        f" then concat(slice(a, 1, size(a) - 1), array(named_struct('start', a[size(a) - 1].start, 'stop', greatest(a[size(a) - 1].stop, r.stop)))) else concat(a, array(r)) end)"
-    ).alias(name)
+    out: list[tuple[int, int]] = []
+    for start, stop in sorted(ranges):
+        if out and out[-1][1] >= start:
+            start, stop = out[-1][0], max(stop, out.pop()[1])
+        out.append((start, stop))
+    return out
 
 
-def _scan_block(docs: DataFrame, items: DataFrame, window: int, *extra: str) -> DataFrame:
+def _scan_block(docs: DataFrame, items: DataFrame, window: int, later: bool, last: bool) -> DataFrame:
+    """Looks for one block of items; a ``later`` block adds to what the rows have, and all but the ``last`` keep the text."""
     shared = docs.sparkSession.sparkContext.broadcast([(r.item_id, r.text) for r in items.collect()])
+    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches):
         find = _scanner(windows_of(shared.value, window))
         for batch in batches:
             n_words, ids, ranges, spans = [], [], [], []
-            for text in batch["text"].cast(pa.large_binary()):
+            before = zip(batch["item_ids"].to_pylist(), batch["ranges"].to_pylist()) if later else iter(lambda: ([], []), None)
+            for text, (old, were) in zip(batch["text"].cast(pa.large_binary()), before):
                 text = text.as_py() or b""
                 n, found, where = find(text)
+                where = _union([*where, *((r["start"], r["stop"]) for r in were)]) if were else where
                 n_words.append(n)
-                ids.append(found)
+                ids.append(sorted({*old, *found}))
                 ranges.append([{"start": a, "stop": b} for a, b in where])
-                spans.append([{"start": a, "stop": b} for a, b in spans_of(text.decode(), where)] if where else [])
-            span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(ranges, span), pa.array(spans, span), *(batch[x] for x in extra)], ["doc_id", "n_words", "item_ids", "ranges", "spans", *extra])
+                spans.append([{"start": a, "stop": b} for a, b in spans_of(text.decode(), where)] if last and where else [])
+            columns = [batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(ids, pa.list_(pa.int64())), pa.array(ranges, span), pa.array(spans, span)]
+            yield pa.RecordBatch.from_arrays(columns + ([] if last else [batch["text"]]), ["doc_id", "n_words", "item_ids", "ranges", "spans"] + ([] if last else ["text"]))
 
-    return docs.mapInArrow(run, SCHEMA + "".join(f", {x} long" for x in extra))
+    return docs.mapInArrow(run, SCHEMA + ("" if last else ", text string"))
 
 
 def digest(found: DataFrame) -> DataFrame:
