@@ -30,3 +30,26 @@ def test_stages(spark, sf_dir):
     assert len(start) > sizes[0] > sizes[1] >= sizes[2] > sizes[3] > 0
     packed = C.run(spark, sf_dir)
     assert {r.doc_id for r in packed.collect()} == {d for d, _ in kept["benchmark_decontamination"]}
+
+
+def tables(spark, path, rows, labels=((1, 1, 0), (2, 0, 0)), items=()):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+
+
+def test_edges(spark, tmp_path):
+    """Nulls, empty and repeated rows go through every stage; what is no duplicate or leak is packed once."""
+    own = [" ".join(f"w{d}x{i}" for i in range(30)) for d in range(8)]
+    rows = [(d, own[d], "en", "a", len(own[d])) for d in range(6)] + [(2, own[2], "en", "a", 1), (6, own[0], "en", None, None), (7, None, None, None, None), (8, "", "en", "a", 0), (None, own[6], "en", "a", 1), (9, own[7], "en", "a", 1)]
+    tables(spark, str(tmp_path), rows, [(d, 1, 0) for d in range(6)], [(1, own[7]), (2, None), (3, "")])
+    got = C.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {0, 1, 2, 3, 4, 5, 7, 8, None}
+    starts = [(r.doc_id, r.start) for r in got]
+    assert len(starts) == len(set(starts))
+    assert [r.doc_tokens for r in got if r.doc_id in (7, 8)] == [1, 1]
+
+
+def test_empty_tables(spark, tmp_path):
+    tables(spark, str(tmp_path), [], [], [])
+    assert C.run(spark, str(tmp_path)).count() == 0
