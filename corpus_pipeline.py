@@ -1,6 +1,11 @@
 """A training corpus in five stages: quality, line dedup, near-duplicate join, decontamination, packing.
 
-Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. Further columns of the documents
+are left behind at the first stage.
+
+Defined cases, in every stage: a null text counts as empty; an empty document is no duplicate or leak, and stays unless
+the classifier rejects it; rows that repeat an id and text are one document, of which the join keeps one row; of equal
+texts the least id stays, and one without an id only where no other is; an empty table gives no rows.
 """
 
 from __future__ import annotations
