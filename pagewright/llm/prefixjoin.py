@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAD = 8
-NAMES = ["x", "y", "lead", "key", "info"]
+STEP = 1 << 17
+NAMES = ["x", "y", "lead", "key", "info", "more"]
 LEVEL_SHIFT = np.uint64(56)
 #: a key is the lowest 40 bits of a token with the row's rank below; tokens that share a bucket only cost comparisons
 RANK_BITS = 24
@@ -22,6 +23,8 @@ MOST_RANK = (1 << RANK_BITS) - 1
 #: what the filters need, in one number: parity bits, size and position; sizes from ``MOST_SIZE`` on are not filtered
 PARITY_BITS, SIZE_BITS, POS_BITS = 40, 14, 10
 MOST_SIZE, MOST_POS = (1 << SIZE_BITS) - 1, (1 << POS_BITS) - 1
+#: sets above this size have 64 parity bits more; smaller ones have 0 there
+WIDE = 48
 
 
 def ordered_tokens(values: np.ndarray, levels: np.ndarray) -> np.ndarray:
@@ -52,14 +55,14 @@ def packed(size: np.ndarray, pos: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return ((bits.astype(np.uint64) << np.uint64(SIZE_BITS + POS_BITS)) | (size.astype(np.uint64) << np.uint64(POS_BITS)) | pos.astype(np.uint64)).view(np.int64)
 
 
-def may_link(a: str, b: str, more: str = "0") -> Column:
-    """The length, positional and parity filters for two rows of a bucket, given their ``info``; ``more`` is a number of
-    further parity bits in which they differ."""
+def may_link(a: str, b: str) -> Column:
+    """The length, positional and parity filters for two rows of a bucket, given their ``info``, and their ``more`` as a_more and b_more."""
     size, pos = (lambda x: f"(shiftright({x}, {POS_BITS}) & {MOST_SIZE})"), (lambda x: f"({x} & {MOST_POS})")
     large = f"greatest({size(a)}, {size(b)}) = {MOST_SIZE}"
+    wide = f"if(least({size(a)}, {size(b)}) > {WIDE}, bit_count({a}_more ^ {b}_more), 0)"
     near = f"9 * least({size(a)} - {pos(a)}, {size(b)} - {pos(b)}) >= 4 * ({size(a)} + {size(b)})"
     apart = f"bit_count(shiftrightunsigned({a} ^ {b}, {SIZE_BITS + POS_BITS}))"
-    return F.expr(f"{large} or ({near} and 9 * ({apart} + {more}) <= {size(a)} + {size(b)})")
+    return F.expr(f"{large} or ({near} and 9 * ({apart} + {wide}) <= {size(a)} + {size(b)})")
 
 
 def bucket(key: str = "key") -> Column:
@@ -81,20 +84,33 @@ def bits_of(info: Column) -> Column:
     return F.shiftrightunsigned(info, SIZE_BITS + POS_BITS)
 
 
+def _joined(batches, names):
+    """The columns of ``STEP`` rows or more at a time, as every step has a fixed cost for the longest bucket in it."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= STEP:
+            yield {k: np.concatenate([b[k].to_numpy(zero_copy_only=False) for b in held]) for k in names}
+            held, n = [], 0
+    if n:
+        yield {k: np.concatenate([b[k].to_numpy(zero_copy_only=False) for b in held]) for k in names}
+
+
 def compare(rows: DataFrame, whole: int) -> DataFrame:
-    """Candidate pairs and the rows of large buckets from ``rows(key, node, info)``.
+    """Candidate pairs and the rows of large buckets from ``rows(key, node, info, more)``.
 
     Rows are dealt by bucket and sorted by key. A bucket of at most ``whole`` rows gives all its pairs that pass the
     filters. In a larger one each row is compared with the first ``LEAD`` only, and all its rows come back too. Result:
-    pairs have ``lead`` null and the nodes x < y; a row of a large bucket has its own node as x, its key and info, and as
-    ``lead`` the bucket's first node.
+    pairs have ``lead`` null and the nodes x < y; a row of a large bucket has its own node as x, its key, info and more,
+    and as ``lead`` the bucket's first node.
     """
-    kept = ("key", "node", "info")
+    kept = ("key", "node", "info", "more")
     schema = pa.schema([(n, pa.int64()) for n in NAMES])
 
     def pairs_of(rows, first, limit):
         """Pairs of each row with the first ``limit`` rows of its bucket, which starts at ``first``."""
-        node = rows["node"]
+        node, more = rows["node"], rows["more"]
         info = rows["info"].view(np.uint64)
         size = ((info >> np.uint64(POS_BITS)) & np.uint64(MOST_SIZE)).astype(np.int32)
         open_ = size == MOST_SIZE
@@ -107,6 +123,7 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
             ok = np.minimum(room[left], room[at]) >= need[left] + need[at]
             x, y = left[ok], at[ok]
             apart = np.bitwise_count((info[x] ^ info[y]) >> np.uint64(SIZE_BITS + POS_BITS)).astype(np.int32)
+            apart += np.where(np.minimum(size[x], size[y]) > WIDE, np.bitwise_count((more[x] ^ more[y]).view(np.uint64)), 0)
             ok = ((9 * apart <= size[x] + size[y]) | open_[x] | open_[y]) & (node[x] != node[y])
             xs.append(node[x[ok]])
             ys.append(node[y[ok]])
@@ -116,16 +133,14 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
             x, y = np.concatenate(xs), np.concatenate(ys)
             pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
             none = pa.nulls(pairs.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none, none], schema=schema)
 
     def run(batches):
         carry = {k: np.zeros(0, np.int64) for k in kept}
         large = False  # the open bucket has been found large; else carry has all its rows, none of them compared
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for columns in _joined(batches, kept):
             old = len(carry["key"])
-            rows = {k: np.concatenate([carry[k], batch[k].to_numpy(zero_copy_only=False)]) for k in kept}
+            rows = {k: np.concatenate([carry[k], columns[k]]) for k in kept}
             token = rows["key"] >> RANK_BITS
             start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.append(start, len(token)))
@@ -145,7 +160,7 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
                 rest[:old] = False
             if rest.any():
                 rest = np.flatnonzero(rest)
-                yield pa.RecordBatch.from_arrays([pa.array(rows["node"][rest]), pa.nulls(len(rest), pa.int64()), pa.array(rows["node"][first[rest]]), pa.array(rows["key"][rest]), pa.array(rows["info"][rest])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(rows["node"][rest]), pa.nulls(len(rest), pa.int64()), pa.array(rows["node"][first[rest]]), pa.array(rows["key"][rest]), pa.array(rows["info"][rest]), pa.array(rows["more"][rest])], schema=schema)
             large = kind[-1] == 1
             last = int(start[-1])
             carry = {k: v[last : last + LEAD if large else None].copy() for k, v in rows.items()}
@@ -153,7 +168,7 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
             yield from pairs_of(carry, np.zeros(len(carry["key"]), int), np.arange(len(carry["key"])))
 
     dealt = rows.select(*kept).repartition(bucket()).sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "x long, y long, lead long, key long, info long")
+    return dealt.mapInArrow(run, "x long, y long, lead long, key long, info long, more long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
