@@ -111,3 +111,21 @@ def capitalised(text: Column) -> Column:
 def without_stop(text: Column) -> Column:
     """Trimmed, and without one full stop at the end."""
     return F.regexp_replace(trimmed(text), r"\.$", "")
+
+
+#: lengths are summed in parts of so many, so that the offsets of many pieces cost little more than their number
+PART = 64
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def offsets(pieces: str) -> str:
+    """SQL of an array: where each string of a column of arrays begins in their concatenation."""
+    total = lambda array: f"aggregate({array}, 0, (n, x) -> n + x)"
+    sums = f"transform(sequence(0, (size(lengths) - 1) div {PART}), k -> {total(f'slice(lengths, k * {PART} + 1, {PART})')})"
+    starts = f"transform(sequence(0, size(sums) - 1), k -> {total('slice(sums, 1, k)')})"
+    each = f"transform(lengths, (y, i) -> starts[cast(i div {PART} as int)] + {total(f'slice(lengths, cast(i div {PART} as int) * {PART} + 1, i % {PART})')})"
+    return _let(f"transform({pieces}, p -> length(p))", "lengths", _let(sums, "sums", _let(starts, "starts", each)))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import lexicon as L
+from pagewright.functions.text import offsets
 
 HEADING = r"^#{1,3}\s+"
 TOP = 15
@@ -63,13 +64,10 @@ def _parts(kind: str) -> Column:
 
 
 def _places(intent: str, kind: str) -> Column:
-    parts = F.col(kind)
-    before = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda n, y: n + F.length(y))
-    odd = F.sequence(F.lit(1), F.size(parts) - 1, F.lit(2))
-    at = F.transform(odd, lambda i: F.struct(F.lit(intent).alias("intent"), F.lit(kind).alias("kind"), before(i).alias("start"), F.get(parts, i).alias("value")))
+    at = F.filter(F.expr(f"zip_with({kind}, {offsets(kind)}, (x, n) -> struct('{intent}' as intent, '{kind}' as kind, n as start, x as value))"), lambda m, i: i % 2 == 1)
     if kind == "name":
         at = F.filter(at, lambda m: F.size(_names(F.array(m["value"]))) > 0)
-    return F.when(F.size(parts) > 1, at).otherwise(F.array().cast("array<struct<intent:string,kind:string,start:int,value:string>>"))
+    return F.when(F.size(kind) > 1, at).otherwise(F.array().cast("array<struct<intent:string,kind:string,start:int,value:string>>"))
 
 
 def located(pages: DataFrame, intents=tuple(L.ANSWERS)) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.text import offsets
+
 LEAST, LONGEST = 12, 220
 _BREAK = r"(?<=[.!?;])\s+|\n+"
 
@@ -17,7 +19,7 @@ def passages(pages: DataFrame, longest: int | None = LONGEST) -> DataFrame:
     spans = pages.select("doc_id", "page_index", marked.alias("part"))
     if longest:
         spans = spans.select("doc_id", "page_index", F.expr(f"flatten(transform(part, x -> if(length(x) <= {longest}, array(x), regexp_extract_all(x, r'(?s).{{1,{longest}}}(?= |\\z)|.{{{longest}}}', 0))))").alias("part"))
-    at = F.expr("transform(part, (x, i) -> struct(x as span, aggregate(slice(part, 1, i), 0, (n, y) -> n + length(y)) as at))")
+    at = F.expr(f"zip_with(part, {offsets('part')}, (x, n) -> struct(x as span, n as at))")
     rows = spans.select("doc_id", "page_index", F.explode(at).alias("p")).select("doc_id", "page_index", "p.*")
     text = F.regexp_replace("span", r"^\s+|\s+$", "")
     lead = F.length("span") - F.length(F.regexp_replace("span", r"^\s+", ""))

@@ -204,7 +204,7 @@ def greedy(sentences: int, budget: int) -> str:
     return f"{V.SPANS}{V.WEIGHTS}{V.SCORES}{_GREEDY % (V._TOKENS % 'spans.text', sentences, sentences, budget, budget)}"
 
 
-_MARKED = ", marks AS (SELECT doc_id, page_index, start, list_transform(list_sort(list({'w': -weight, 'term': term}))[1:3], lambda x: x.term) AS highlights FROM wc JOIN weights USING (doc_id, term) GROUP BY 1, 2, 3)"
+_MARKED = ", marks AS (SELECT doc_id, page_index, start, list_transform(list_sort(list({'w': -round(weight, 9), 'term': term}))[1:3], lambda x: x.term) AS highlights FROM wc JOIN weights USING (doc_id, term) GROUP BY 1, 2, 3)"
 _PLACED = f"""{_MARKED} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, start) AS place, page_index, start, text, round(CASE WHEN best <= 0 THEN 0 ELSE score / best END, 6) AS weight,
     array_to_string(highlights, ' ') AS highlights FROM chosen JOIN marks USING (doc_id, page_index, start)"""
 
