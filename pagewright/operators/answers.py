@@ -57,13 +57,13 @@ def select(ranked: DataFrame) -> DataFrame:
 
 
 def citations(selected: DataFrame, pages: DataFrame) -> DataFrame:
-    """``selected`` with the passage's surroundings on its page as ``snippet``, some ``PAD`` characters on one line, without markers."""
+    """``selected`` with the passage's surroundings on its page as ``snippet`` (from ``begin`` to ``end``), some ``PAD`` characters on one line, without markers."""
     page = pages.select("doc_id", "page_index", F.col("text").alias("page"))
     room = F.greatest(F.lit(0), F.floor((PAD - (F.col("stop") - F.col("start"))) / 2)).cast("int")
     begin, end = F.greatest(F.lit(0), F.col("start") - room), F.least(F.length("page"), F.col("stop") + room)
     flat = markup.inline_text(F.substring("page", begin + 1, end - begin))
     snippet = F.concat(F.when(begin > 0, "…").otherwise(""), flat, F.when(end < F.length("page"), "…").otherwise(""))
-    return selected.join(page, ["doc_id", "page_index"]).withColumn("snippet", snippet).drop("page")
+    return selected.join(page, ["doc_id", "page_index"]).withColumns({"snippet": snippet, "begin": begin, "end": end}).drop("page")
 
 
 def compose(questions: DataFrame, selected: DataFrame, library: DataFrame) -> DataFrame:

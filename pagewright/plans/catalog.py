@@ -386,15 +386,21 @@ def answer_selection(spark, d):
     return _whole_index(A.select(A.rank(*_answering(spark, d))).select("qid", "doc_id", "page_index", "start", "rk"))
 
 
-#: without markers, which the passages cited of the given tables do not have
-@query(rf"""{V.SPANS}{V.QUESTIONS}{V.PRIORS}{V.RANK}{V.SELECTED}, room AS (SELECT s.*, pgs.text AS page, greatest(0, s.start - greatest(0, floor((240 - length(s.text)) / 2)))::BIGINT AS b,
-    least(length(pgs.text), s.start + length(s.text) + greatest(0, floor((240 - length(s.text)) / 2)))::BIGINT AS e FROM selected s JOIN pgs USING (doc_id, page_index))
-SELECT qid, doc_id, page_index, rk, CASE WHEN b > 0 THEN '…' ELSE '' END || regexp_replace(regexp_replace(page[b + 1:e], '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') || CASE WHEN e < length(page) THEN '…' ELSE '' END AS snippet FROM room""")
+@query()
 def citations(spark, d):
     q, pages, cand = _answering(spark, d)
     return _whole_index(A.citations(A.select(A.rank(q, pages, cand)), pages).select("qid", "doc_id", "page_index", "rk", "snippet"))
 
 
+@query(f"""{V.SPANS}{V.QUESTIONS}{V.PRIORS}{V.RANK}{V.SELECTED} SELECT qid, s.doc_id, s.page_index, rk, greatest(0, s.start - greatest(0, floor((240 - length(s.text)) / 2)))::BIGINT AS "begin",
+    least(length(pgs.text), s.start + length(s.text) + greatest(0, floor((240 - length(s.text)) / 2)))::BIGINT AS "end" FROM selected s JOIN pgs USING (doc_id, page_index)""")
+def citation_windows(spark, d):
+    """Where each citation begins and ends on its page; what is shown of it has no markers, which SQL can not take off."""
+    q, pages, cand = _answering(spark, d)
+    rows = A.citations(A.select(A.rank(q, pages, cand)), pages).select("qid", "doc_id", "page_index", "rk", "begin", "end")
+    return rows.withColumns({c: F.col(c).cast("long") for c in ("page_index", "begin", "end")})
+
+
 @query(f"""{V.SPANS}{V.QUESTIONS}{V.PRIORS}{V.RANK}{V.SELECTED},
 n AS (SELECT qid, count(*) AS n_citations, count(DISTINCT doc_id) AS n_documents FROM selected GROUP BY 1)
 SELECT a.qid, mode, CASE WHEN s.qid IS NOT NULL THEN 'answer' WHEN len(terms) = 0 AND len(phrases) = 0 THEN 'unclear' ELSE 'no_match' END AS kind,
