@@ -56,18 +56,25 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path, self.own = path, None
         with open(path, encoding="utf-8") as f:
-            self.ranks = _as_ranks(json.load(f))
+            file = json.load(f)
+        self.special = [t["content"] for t in file["added_tokens"]]
+        self.ranks = _as_ranks(file)
+
+    def tokenizer(self):
+        """The file's own tokenizer; it takes more memory than the ranks, so only texts that need it load it."""
+        if self.own is None:
+            from tokenizers import Tokenizer
+
+            self.own = Tokenizer.from_file(self.path)
+        return self.own
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
         if self.ranks is None or any(s in text for s in self.special) or _LONG_BLANK.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return np.array(self.tokenizer().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.ranks.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 

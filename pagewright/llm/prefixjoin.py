@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LEAD = 8
-STEP = 1 << 17
+STEP = 1 << 15
 NAMES = ["x", "y", "lead", "key", "info", "more"]
 LEVEL_SHIFT = np.uint64(56)
 #: a key is the lowest 40 bits of a token with the row's rank below; tokens that share a bucket only cost comparisons
