@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licenses
+from . import collocations, licenses, variants, warc
 from .ngram_join import SHINGLE
 
 _FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -54,3 +54,37 @@ e AS (SELECT m.x AS w, min(f.f) AS e FROM m JOIN f ON f.w = m.y GROUP BY 1),
 g AS (SELECT l.*, coalesce(least(f.f, e.e) < {{'d': doc_id, 'n': ln}}, false) AS gone FROM l LEFT JOIN f ON f.w = list_sort(l.w) LEFT JOIN e ON e.w = list_sort(l.w)),
 k AS (SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY ln) FILTER (WHERE NOT gone), '') AS kept FROM g GROUP BY 1, 2)
 SELECT d.doc_id, k.kept AS text, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed FROM documents d LEFT JOIN k ON k.doc_id = d.doc_id AND k.text = d.text"""
+
+VARIANTS = rf"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+r AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all({_FOLD}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY 1, 2),
+b AS (SELECT doc_id, run, n, flatten(list_transform(string_split(doc_id || ':' || run, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x) >> 6), 128 + (unicode(x) & 63)] END)) AS bytes FROM r),
+h AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, crc),
+cut AS (SELECT CASE WHEN h % {variants.DELETE_EVERY} = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM cut WHERE length(word) >= {variants.LEAST_LETTERS} GROUP BY 1 HAVING sum(n) >= {variants.LEAST_COUNT}),
+less AS (SELECT word, n, unnest(list_distinct(list_prepend(word, list_transform(range(1, length(word) + 1), lambda i: word[1:i - 1] || word[i + 1:])))) AS s FROM v),
+near AS (SELECT DISTINCT x.word, x.n, y.word AS other, y.n AS other_n FROM less x JOIN less y USING (s) WHERE x.word <> y.word AND (x.word = s OR y.word = s
+    OR length(x.word) = length(y.word) AND len(list_filter(range(1, length(x.word) + 1), lambda i: x.word[i] <> y.word[i])) = 1)),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS form, max(other_n) AS form_n FROM near GROUP BY 1),
+forms AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= {variants.RATIO} * v.n THEN form END AS form, CASE WHEN form_n >= {variants.RATIO} * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+way AS (SELECT word, word AS root FROM forms UNION ALL SELECT way.word, forms.form FROM way JOIN forms ON forms.word = way.root WHERE forms.form IS NOT NULL),
+ends AS (SELECT way.word, way.root FROM way JOIN forms ON forms.word = way.root WHERE forms.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN ends USING (word)"""
+
+_GRAMS = "\n    UNION ALL ".join(f"SELECT lang, unnest(list_transform(range(1, len(w) - {k - 2}), lambda i: array_to_string(w[i:i + {k - 1}], ' '))) AS phrase, {k} AS m FROM p" for k in range(1, collocations.LONGEST + 1))
+COLLOCATIONS = rf"""WITH p AS MATERIALIZED (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(string_split_regex({_FOLD}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY 1),
+f AS MATERIALIZED (SELECT lang, phrase, m, count(*) AS a FROM ({_GRAMS}) GROUP BY 1, 2, 3 HAVING count(*) >= {collocations.LEAST}),
+c AS (SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (SELECT lang, phrase, m, a, w, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.phrase, k.m, k.a, k.k, x.a AS l, y.a AS r, n, (1000 * k.a::HUGEINT * n) // (x.a::HUGEINT * y.a) AS score FROM k JOIN t USING (lang)
+    JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(w[1:k], ' ') JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(w[k + 1:], ' ')),
+weak AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS x FROM s) WHERE x = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + z - 1], ' ') AS phrase, max(a) AS most FROM (SELECT lang, w, m, a, z, unnest(range(1, m - z + 2)) AS i FROM (SELECT lang, w, m, a, unnest(range(2, m)) AS z FROM c)) GROUP BY 1, 2),
+kept AS (SELECT weak.* FROM weak LEFT JOIN inside USING (lang, phrase) WHERE most IS NULL OR 100 * most < 100 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score FROM ranked WHERE rank <= {collocations.MOST_RANKS}"""
+
+WARC = f"""WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS least FROM p WHERE payload_bytes >= {warc.LEAST_REVISIT} GROUP BY 1)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN coalesce(page_id > least, least IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN coalesce(page_id > least, least IS NOT NULL) THEN least END AS refers_to FROM p LEFT JOIN f USING (payload_digest)"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_extract, licenses, line_dedup, media, ngram_join, oracles, packing, pii, quality, url_filter
+from . import collocations, decontaminate, html_extract, licenses, line_dedup, media, ngram_join, oracles, packing, pii, quality, url_filter, variants, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,18 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def queries():
     return {f.__name__: f for n, f in globals().items() if n.startswith("op")}
 
@@ -61,6 +73,9 @@ ORACLES: dict[str, str] = {
     "op2_license_scan": oracles.LICENSES,
     "op4_benchmark_decontamination": oracles.DECONTAMINATION,
     "op6_line_dedup": oracles.LINE_DEDUP,
+    "op11_spelling_variants": oracles.VARIANTS,
+    "op12_collocations": oracles.COLLOCATIONS,
+    "op13_warc": oracles.WARC,
 }
 
 
