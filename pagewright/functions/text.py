@@ -63,7 +63,7 @@ def human_size(size: Column) -> Column:
     for above, name in ((2, "MB"), (3, "GB")):
         more = size >= 1024**above
         value, unit = F.when(more, size / 1024.0**above).otherwise(value), F.when(more, name).otherwise(unit)
-    number = F.when(value >= 10, F.floor(value + 0.5).cast("string")).otherwise(F.format_string("%.1f", value))
+    number = F.when(value >= 10, F.floor(value + 0.5).cast("string")).otherwise(F.format_string("%.1f", F.floor(value * 10 + 0.5) / 10))
     return F.when(size < 1024, F.concat(size.cast("string"), F.lit(" B"))).otherwise(F.concat(number, F.lit(" "), unit))
 
 
@@ -117,6 +117,25 @@ def without_stop(text: Column) -> Column:
 PART = 64
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def starts_of(lengths: Column) -> Column:
+    """Where each of some pieces begins, by their lengths: sums of parts, and within parts."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + x)
+
+    def within(ls: Column) -> Column:
+        part = lambda i: F.floor(i / PART).cast("int")
+        sums = F.transform(F.sequence(F.lit(0), part(F.size(ls) - 1)), lambda k: total(F.slice(ls, k * PART + 1, F.lit(PART))))
+        before = lambda ss: F.transform(F.sequence(F.lit(0), F.size(ss) - 1), lambda k: total(F.slice(ss, F.lit(1), k)))
+        each = lambda bs: F.transform(ls, lambda x, i: F.get(bs, part(i)) + total(F.slice(ls, part(i) * PART + 1, i % PART)))
+        return let(let(sums, before), each)
+
+    return let(lengths, lambda ls: F.when(F.size(ls) > 0, within(ls)).otherwise(F.array().cast("array<int>")))
+
+
 def _let(value: str, name: str, body: str) -> str:
     """``body`` with ``name`` for a value that is computed once."""
     return f"transform(array({value}), {name} -> {body})[0]"

@@ -1,18 +1,15 @@
-"""Markup: lines as blocks, emphasis, plain text with a map of offsets, pictures.
+"""Markup: lines as blocks, emphasis, tokens with their places, plain text with a map of offsets, pictures.
 
-Block kinds, pictures and counts are column expressions. Emphasis pairs within a line are found by a small scan in an
-Arrow function; texts without any marker character don't reach it.
+Everything is column expressions. A line is cut into its block marker, the marks ``**``, ``*`` and ``_``, and what stands
+between them; a fold over these parts decides which marks are markers. Tokens, spans and plain text all come from it.
 """
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import IMAGE_LINE, trimmed
+from pagewright.functions.text import IMAGE_LINE, let, starts_of, trimmed
 
 _NUMBERED = r"^\s*(\d{1,3})[.)]\s+(.*)$"
 #: what starts a line of each kind, and what is left of the line, in the order in which the kinds are tried
@@ -20,10 +17,13 @@ STARTS = {"heading": r"^(#{1,3})\s+", "numbered": r"^\s*(\d{1,3})[.)]\s+", "bull
 IMAGE_LABEL = "Image"
 #: a text without any of these is its own plain text
 MARKED = r"[*_]|(?m:^(?:#{1,3}\s|\s*\d{1,3}[.)]\s|\s*[-•]\s|\s*>|\s*!\[))"
+#: kinds of lines, in the order of their numbers in a part's code
+KINDS = ("paragraph", "heading1", "heading2", "heading3", "numbered", "bullet", "quote", "image")
+#: a part's code: eight times its line's kind, and these
+MARKER, BOLD, ITALIC = 4, 2, 1
 
-_START = re.compile("|".join(f"(?:{p})" for p in STARTS.values()))
-_IMAGE = re.compile(IMAGE_LINE)
-_EMPHASIS = re.compile(r"\*\*|[*_]")
+_START = "|".join(f"(?:{p})" for p in STARTS.values())
+_PARTS = r"\*\*|[*_]|[^*_]+"
 
 
 def _kind(line: Column) -> Column:
@@ -81,71 +81,123 @@ def serialised(parts: DataFrame) -> DataFrame:
     return parts.select("doc_id", "page_index").distinct().join(whole, ["doc_id", "page_index"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def emphasis(line: str) -> list[tuple[int, int]]:
-    """Where the markers of a line are, as (start, end): a pair of ``**``, ``*`` or ``_``; a marker without a partner is text."""
-    found, bold, italic = [], False, False
-    for m in _EMPHASIS.finditer(line):
-        if m.group() == "**":
-            if bold or line.find("**", m.end()) >= 0:
-                bold = not bold
-                found.append(m.span())
-        elif italic or line.find(m.group(), m.end()) >= 0:
-            italic = not italic
-            found.append(m.span())
-    return found
-
-
-def runs(line: str) -> list[tuple[str, bool, bool]]:
-    """(text, bold, italic) of the parts of a line without its block marker, none of them empty."""
-    out, at, bold, italic = [], 0, False, False
-    for a, b in [*emphasis(line), (len(line), len(line))]:
-        if a > at:
-            out.append((line[at:a], bold, italic))
-        if b - a == 2:
-            bold = not bold
-        elif b > a:
-            italic = not italic
-        at = b
-    return out
-
-
-def _marks(line: str) -> list[tuple[int, int]]:
-    if _IMAGE.match(line):
-        return [(0, len(line))]
-    start = _START.match(line)
-    at = start.end() if start else 0
-    return ([(0, at)] if at else []) + [(at + a, at + b) for a, b in emphasis(line[at:])]
-
-
-def strip(text: str) -> tuple[str, list[int]]:
-    """The text without markers, and for each of its characters and its end where that then stands."""
-    kept, offsets, at = [], [], 0
-    for k, line in enumerate(text.split("\n")):
-        if k:
-            offsets.append(at)
-            kept.append("\n")
-            at += 1
-        last = 0
-        for a, b in [*_marks(line), (len(line), len(line))]:
-            kept.append(line[last:a])
-            offsets += range(at, at + a - last)
-            at += a - last
-            offsets += [at] * (b - a)
-            last = b
-    return "".join(kept), [*offsets, at]
+def _last(parts: Column, mark: str) -> Column:
+    """The number of the last part that is this mark, from 1; 0 for none."""
+    at = F.array_position(F.reverse(parts), mark)
+    return F.when(at > 0, F.size(parts) - at + 1).otherwise(F.lit(0).cast("long"))
 
 
-def stripped(text: Column) -> Column:
-    """A struct of the plain text and the offsets of ``strip``; null for a null text."""
-    kind = "struct<text:string,offsets:array<int>>"
+def _emphasis(parts: Column) -> Column:
+    """A string with one digit for each part: ``MARKER``, ``BOLD`` and ``ITALIC`` added up.
+
+    A mark is a marker where it closes what is open, or where another of its kind follows; for a star that may be half of
+    a pair. The flags of a marker are those before it.
+    """
+
+    def fold(last: Column) -> Column:
+        def step(a: Column, k: Column) -> Column:
+            part = F.get(parts, k - 1)
+            is_marker = (
+                F.when(part == "**", a["bold"] | (k < last["pair"]))
+                .when(part == "*", a["italic"] | (k < F.greatest(last["pair"], last["star"])))
+                .when(part == "_", a["italic"] | (k < last["line"]))
+                .otherwise(False)
+            )
+            flags = lambda m: F.concat(a["codes"], (m.cast("int") * MARKER + a["bold"].cast("int") * BOLD + a["italic"].cast("int") * ITALIC).cast("string"))
+            then = lambda m: F.struct((a["bold"] != (m & (part == "**"))).alias("bold"), (a["italic"] != (m & part.isin("*", "_"))).alias("italic"), flags(m).alias("codes"))
+            return let(is_marker, then)
+
+        start = F.struct(F.lit(False).alias("bold"), F.lit(False).alias("italic"), F.lit("").alias("codes"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(parts)), start, step, lambda a: a["codes"])
+
+    last = F.struct(_last(parts, "**").alias("pair"), _last(parts, "*").alias("star"), _last(parts, "_").alias("line"))
+    marked = F.array_contains(parts, "**") | F.array_contains(parts, "*") | F.array_contains(parts, "_")
+    return F.when(marked, let(last, fold)).otherwise(F.repeat(F.lit("0"), F.size(parts)))
+
+
+def _cut(line: Column) -> Column:
+    """A line as a struct: ``kind`` (its number), ``parts``, and a digit for each part in ``codes``."""
+
+    def with_start(start: Column) -> Column:
+        rest = F.substring(line, F.length(start) + 1, F.length(line))
+        rest = F.when(rest.rlike("[*_]"), F.regexp_extract_all(rest, F.lit(_PARTS), F.lit(0))).when(rest == "", F.array().cast("array<string>")).otherwise(F.array(rest))
+        lead = lambda yes, no: F.when(start != "", yes).otherwise(no)
+        none = F.array().cast("array<string>")
+        return let(rest, lambda r: F.struct(F.concat(lead(F.array(start), none), r).alias("parts"), F.concat(lead(F.lit(str(MARKER)), F.lit("")), _emphasis(r)).alias("codes")))
+
+    start = F.when(line.rlike(IMAGE_LINE), line).otherwise(F.regexp_extract(line, _START, 0))
+    number = F.element_at(F.create_map(*(F.lit(x) for k, name in enumerate(KINDS) for x in (name, k))), _kind(line))
+    return let(let(start, with_start), lambda c: F.struct(number.alias("kind"), c["parts"].alias("parts"), c["codes"].alias("codes")))
+
+
+def _scanned(text: Column) -> Column:
+    """All parts of a text with their codes; line breaks are parts of code 0."""
+
+    def of(c: Column, n: Column) -> Column:
+        codes = F.transform(F.slice(F.split(c["codes"], ""), F.lit(1), F.size(c["parts"])), lambda d: c["kind"] * 8 + d.cast("int"))
+        codes = F.when(F.size(c["parts"]) > 0, codes).otherwise(F.array().cast("array<int>"))
+        broken = n > 0
+        return F.struct(
+            F.when(broken, F.concat(F.array(F.lit("\n")), c["parts"])).otherwise(c["parts"]).alias("parts"), F.when(broken, F.concat(F.array(F.lit(0)), codes)).otherwise(codes).alias("codes")
+        )
+
+    lines = F.transform(F.split(text, "\n", -1), lambda x, n: let(_cut(x), lambda c: of(c, n)))
+    return let(lines, lambda ls: F.struct(F.flatten(F.transform(ls, lambda s: s["parts"])).alias("parts"), F.flatten(F.transform(ls, lambda s: s["codes"])).alias("codes")))
+
+
+def _is_marker(code: Column) -> Column:
+    return code.bitwiseAND(F.lit(MARKER)) > 0
+
 
-    def each(texts: pd.Series) -> pd.DataFrame:
-        both = [strip(t) if t is not None else (None, None) for t in texts]
-        return pd.DataFrame({"text": [t for t, _ in both], "offsets": [o for _, o in both]})
+TOKENS = "array<struct<start:int,stop:int,marker:boolean,bold:boolean,italic:boolean,block:string>>"
 
+
+def tokens(text: Column) -> Column:
+    """The text as tokens that follow each other without a gap, neighbours of one class in one: an array of structs of
+    start, stop, marker, bold, italic and the line's block kind. An empty text has none, and null gives null."""
+
+    def merged(s: Column) -> Column:
+        lengths = F.transform(s["parts"], lambda p: F.length(p))
+        first = F.filter(F.sequence(F.lit(0), F.size(s["codes"]) - 1), lambda k: (k == 0) | (F.get(s["codes"], k) != F.get(s["codes"], k - 1)))
+
+        def token(at: Column, ks: Column):
+            def one(k: Column, j: Column) -> Column:
+                code, stop = F.get(s["codes"], k), F.coalesce(F.get(at, F.get(ks, j + 1)), F.length(text))
+                has = lambda flag: code.bitwiseAND(F.lit(flag)) > 0
+                kind = F.get(F.array(*map(F.lit, KINDS)), F.floor(code / 8).cast("int"))
+                return F.struct(F.get(at, k).alias("start"), stop.alias("stop"), has(MARKER).alias("marker"), has(BOLD).alias("bold"), has(ITALIC).alias("italic"), kind.alias("block"))
+
+            return F.transform(ks, one)
+
+        return let(starts_of(lengths), lambda at: let(first, lambda ks: token(at, ks)))
+
+    none = F.array().cast(TOKENS)
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.length(text).alias("stop"), *(F.lit(False).alias(n) for n in ("marker", "bold", "italic")), F.lit(KINDS[0]).alias("block")))
+    return F.when(text == "", none).when(text.rlike(MARKED), let(_scanned(text), merged).cast(TOKENS)).when(text.isNotNull(), whole.cast(TOKENS))
+
+
+def token_rows(pages: DataFrame) -> DataFrame:
+    """doc_id, page_index, token_no, start, stop, marker, bold, italic, block of every token of every page."""
+    rows = pages.select("doc_id", "page_index", F.posexplode(tokens(F.col("text"))).alias("token_no", "t"))
+    return rows.select("doc_id", "page_index", "token_no", "t.*")
+
+
+def stripped(text: Column) -> Column:
+    """A struct of the text without markers and of ``offsets``: where each of its characters, and its end, then stands. A
+    marker's characters stand where what follows it does. Null for a null text."""
+
+    def plain(s: Column) -> Column:
+        kept = F.transform(s["parts"], lambda p, k: F.when(_is_marker(F.get(s["codes"], k)), 0).otherwise(F.length(p)))
+        places = lambda at: F.transform(
+            s["parts"], lambda p, k: F.when(_is_marker(F.get(s["codes"], k)), F.array_repeat(F.get(at, k), F.length(p))).otherwise(F.sequence(F.get(at, k), F.get(at, k) + F.length(p) - 1))
+        )
+        left = F.array_join(F.filter(s["parts"], lambda p, k: ~_is_marker(F.get(s["codes"], k))), "")
+        offsets = lambda at: let(left, lambda t: F.struct(t.alias("text"), F.concat(F.flatten(places(at)), F.array(F.length(t))).alias("offsets")))
+        return let(starts_of(kept), offsets)
+
+    kind = "struct<text:string,offsets:array<int>>"
     own = F.struct(text.alias("text"), F.sequence(F.lit(0), F.length(text)).alias("offsets"))
-    marked = F.pandas_udf(each, kind)(text)
-    return F.when(text.isNull(), F.lit(None).cast(kind)).when(text.rlike(MARKED), marked).otherwise(own)
+    return F.when(text.isNull(), F.lit(None).cast(kind)).when(text.rlike(MARKED), let(_scanned(text), plain).cast(kind)).otherwise(own.cast(kind))
 
 
 def inline_text(text: Column) -> Column:
@@ -153,25 +205,27 @@ def inline_text(text: Column) -> Column:
     return trimmed(F.regexp_replace(stripped(text)["text"], r"\s+", " "))
 
 
-def spans(pages: DataFrame) -> DataFrame:
-    """doc_id, page_index, line_no, kind, number, image_name, spans (text, bold, italic) of the lines that aren't blank."""
+def _runs(cut: Column) -> Column:
+    """The parts of a line between its markers, joined."""
     kind = "array<struct<text:string,bold:boolean,italic:boolean>>"
+    n = F.size(cut["parts"])
+    digit = lambda k: F.when((k >= 0) & (k < n), F.substring(cut["codes"], k + 1, F.lit(1)).cast("int"))
+    plain = lambda k: F.coalesce(digit(k) < MARKER, F.lit(False))
+    at = F.sequence(F.lit(0), n - 1)
+    first, last = F.filter(at, lambda k: plain(k) & ~plain(k - 1)), F.filter(at, lambda k: plain(k) & ~plain(k + 1))
+    has = lambda k, flag: digit(k).bitwiseAND(F.lit(flag)) > 0
+    runs = F.zip_with(first, last, lambda a, b: F.struct(F.array_join(F.slice(cut["parts"], a + 1, b - a + 1), "").alias("text"), has(a, BOLD).alias("bold"), has(a, ITALIC).alias("italic")))
+    return F.when(n > 0, runs.cast(kind)).otherwise(F.array().cast(kind))
 
-    def each(lines: pd.Series) -> pd.Series:
-        return pd.Series([[{"text": t, "bold": b, "italic": i} for t, b, i in runs(x)] for x in lines])
 
+def spans(pages: DataFrame) -> DataFrame:
+    """doc_id, page_index, line_no, kind, number, image_name, spans (text, bold, italic) of the lines that aren't blank."""
     lines = pages.select("doc_id", "page_index", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     lines = lines.withColumn("line", F.regexp_replace("line", r"\s+$", "")).where("line <> ''")
-    lines = lines.withColumn("kind", _kind(F.col("line")))
-    start = F.when(F.col("kind").startswith("heading"), F.regexp_replace("line", STARTS["heading"], ""))
-    for name in ("numbered", "bullet", "quote"):
-        start = start.when(F.col("kind") == name, F.regexp_replace("line", STARTS[name], ""))
-    rest = lines.withColumn("rest", start.when(F.col("kind") == "image", "").otherwise(F.col("line")))
-    plain = F.when(F.col("rest") == "", F.array().cast(kind)).otherwise(F.array(F.struct(F.col("rest").alias("text"), F.lit(False).alias("bold"), F.lit(False).alias("italic"))))
-    found = F.when(F.col("rest").rlike("[*_]"), F.pandas_udf(each, kind)(F.col("rest"))).otherwise(plain)
+    lines = lines.withColumn("kind", _kind(F.col("line"))).withColumn("cut", _cut(F.col("line")))
     number = F.when(F.col("kind") == "numbered", F.regexp_extract("line", _NUMBERED, 1).cast("int"))
     image = F.when(F.col("kind") == "image", F.regexp_extract("line", IMAGE_LINE, 2))
-    return rest.select("doc_id", "page_index", "line_no", "kind", number.alias("number"), image.alias("image_name"), found.alias("spans"))
+    return lines.select("doc_id", "page_index", "line_no", "kind", number.alias("number"), image.alias("image_name"), _runs(F.col("cut")).alias("spans"))
 
 
 def plain_text(pages: DataFrame) -> DataFrame:

@@ -314,9 +314,9 @@ def build_plan(spark, d):
 
 
 @query("""SELECT archive, entry_no, CASE WHEN size < 1024 THEN size || ' B' WHEN size >= 1073741824 THEN n3 || ' GB' WHEN size >= 1048576 THEN n2 || ' MB' ELSE n1 || ' KB' END AS readable
-FROM (SELECT *, CASE WHEN size / 1024 >= 10 THEN floor(size / 1024 + 0.5)::BIGINT::VARCHAR ELSE printf('%.1f', size / 1024) END AS n1,
-    CASE WHEN size / 1048576 >= 10 THEN floor(size / 1048576 + 0.5)::BIGINT::VARCHAR ELSE printf('%.1f', size / 1048576) END AS n2,
-    CASE WHEN size / 1073741824 >= 10 THEN floor(size / 1073741824 + 0.5)::BIGINT::VARCHAR ELSE printf('%.1f', size / 1073741824) END AS n3 FROM entries)""")
+FROM (SELECT *, CASE WHEN size / 1024 >= 10 THEN floor(size / 1024 + 0.5)::BIGINT::VARCHAR ELSE printf('%.1f', floor(size / 1024 * 10 + 0.5) / 10) END AS n1,
+    CASE WHEN size / 1048576 >= 10 THEN floor(size / 1048576 + 0.5)::BIGINT::VARCHAR ELSE printf('%.1f', floor(size / 1048576 * 10 + 0.5) / 10) END AS n2,
+    CASE WHEN size / 1073741824 >= 10 THEN floor(size / 1073741824 + 0.5)::BIGINT::VARCHAR ELSE printf('%.1f', floor(size / 1073741824 * 10 + 0.5) / 10) END AS n3 FROM entries)""")
 def size_report(spark, d):
     return V.archive_entries(spark, d).select("archive", "entry_no", T.human_size(F.col("size")).alias("readable"))
 

@@ -252,3 +252,31 @@ SCORES = f""", mean AS (SELECT doc_id, page_index, start, avg(weight) AS mean FR
 nth AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page_index, start) AS nth, len({_TOKENS % "text"}) AS nw FROM spans),
 scored AS (SELECT doc_id, page_index, start, round(mean / (1 + abs(nw - 22) / 22) * CASE WHEN page_index = 0 AND nth <= 3 THEN 1.2 ELSE 1.0 END::DOUBLE
     * CASE WHEN {_fact} THEN 1.25 ELSE 1.0 END::DOUBLE, 6) AS score FROM nth JOIN mean USING (doc_id, page_index, start) WHERE mean > 0)"""
+
+#: kinds of lines with the patterns that show them, in the order in which they are tried, and what starts a line
+_IMAGE_LINE = r"^\s*!\[([^\]]*)\]\(([^)\s]+)\)\s*$"
+_LINE_KINDS = {"image": _IMAGE_LINE, "heading1": r"^#\s+", "heading2": r"^##\s+", "heading3": r"^###\s+", "numbered": r"^\s*\d{1,3}[.)]\s+", "bullet": r"^\s*[-*•]\s+", "quote": r"^\s*>"}
+_LEAD = r"^(?:#{1,3}\s+|\s*\d{1,3}[.)]\s+|\s*[-*•]\s+|\s*>\s?)"
+
+
+def line_kind(line: str = "line") -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({line}, '{p}') THEN '{k}'" for k, p in _LINE_KINDS.items()) + " ELSE 'paragraph' END"
+
+
+def markup_parts(name: str, lines: str) -> str:
+    """SQL of parts in the lines (key, ln, line): {name}(key, ln, k, part, marker, bold, italic, block, start); a line break is
+    a part of its own. A state of two flags goes over the marks of each line."""
+    last = lambda mark: f"CASE WHEN list_contains(p, '{mark}') THEN len(p) - list_position(list_reverse(p), '{mark}') + 1 ELSE 0 END"
+    pair, one = "(p[k] = '**' AND (a.b OR k < l2))", "((p[k] = '*' AND (a.i OR k < greatest(l1, l2))) OR (p[k] = '_' AND (a.i OR k < lu)))"
+    return rf""", {name}_l AS (SELECT key, ln, line, {line_kind()} AS block, CASE WHEN regexp_matches(line, '{_IMAGE_LINE}') THEN line ELSE regexp_extract(line, '{_LEAD}', 0) END AS lead FROM {lines}),
+{name}_p AS (SELECT *, regexp_extract_all(line[length(lead) + 1:], '\*\*|[*_]|[^*_]+') AS p FROM {name}_l),
+{name}_c AS (SELECT *, list_reduce(range(1, len(p) + 1), lambda a, k: {{'b': a.b <> {pair}, 'i': a.i <> {one}, 'c': a.c || (CASE WHEN {pair} OR {one} THEN 4 ELSE 0 END + CASE WHEN a.b THEN 2 ELSE 0 END + CASE WHEN a.i THEN 1 ELSE 0 END)::VARCHAR}}, {{'b': false, 'i': false, 'c': ''}}).c AS c
+    FROM (SELECT *, {last("**")} AS l2, {last("*")} AS l1, {last("_")} AS lu FROM {name}_p)),
+{name}_u AS (SELECT key, ln, -1 AS k, chr(10) AS part, 0 AS code, 'paragraph' AS block FROM {name}_l WHERE ln > 0 UNION ALL SELECT key, ln, 0, lead, 4, block FROM {name}_l WHERE lead <> ''
+    UNION ALL SELECT key, ln, k, p[k], c[k]::INT, block FROM (SELECT *, unnest(range(1, len(p) + 1)) AS k FROM {name}_c)),
+{name} AS (SELECT key, ln, k, part, code & 4 > 0 AS marker, code & 2 > 0 AS bold, code & 1 > 0 AS italic, block,
+    sum(length(part)) OVER (PARTITION BY key ORDER BY ln, k ROWS UNBOUNDED PRECEDING) - length(part) AS start FROM {name}_u)"""
+
+
+#: the notes' lines, with a page's number within its document in the key
+NOTE_LINES = "(SELECT {'d': doc_id, 'p': page_index} AS key, ln - 10 * page_index AS ln, line FROM note_lines)"

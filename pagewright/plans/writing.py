@@ -58,17 +58,43 @@ def markup_lines(spark, d):
     return _long(markup.blocks(V.notes(spark, d)), "page_index", "line_no")
 
 
-@query()
+_TRIMMED = r"(SELECT * FROM (SELECT {'d': doc_id, 'p': page_index, 'l': ln - 10 * page_index} AS key, 0 AS ln, regexp_replace(line, '\s+$', '') AS line FROM note_lines) WHERE line <> '')"
+_RUNS = f"""{V.markup_parts("m", _TRIMMED)}, cut AS (SELECT *, count(*) FILTER (WHERE marker) OVER (PARTITION BY key ORDER BY k) AS g FROM m),
+run AS (SELECT key, g, string_agg(part, '' ORDER BY k) AS text, bool_or(bold) AS bold, bool_or(italic) AS italic FROM cut WHERE NOT marker GROUP BY 1, 2)"""
+
+
+@query(rf"""{_RUNS}, r AS (SELECT key, string_agg(CASE WHEN bold THEN 'b' ELSE '' END || CASE WHEN italic THEN 'i' ELSE '' END || ':' || text, '|' ORDER BY g) AS spans FROM run GROUP BY 1)
+SELECT key.d AS doc_id, key.p AS page_index, key.l AS line_no, block AS kind, CASE WHEN block = 'numbered' THEN regexp_extract(line, '^\s*(\d{{1,3}})', 1)::INT END AS number,
+    CASE WHEN block = 'image' THEN regexp_extract(line, '{_IMAGE}', 2) END AS image_name, coalesce(spans, '') AS spans FROM m_l LEFT JOIN r USING (key)""")
 def markup_spans(spark, d):
-    """Bold and italic runs of every line; a scan that is no SQL, held against plain Python in the tests."""
-    return markup.spans(V.notes(spark, d))
+    """Bold and italic runs of every line, each as its flags and its text."""
+    flags = lambda s: F.concat(F.when(s["bold"], "b").otherwise(""), F.when(s["italic"], "i").otherwise(""), F.lit(":"), s["text"])
+    return _long(markup.spans(V.notes(spark, d)), "page_index", "line_no").withColumn("spans", F.array_join(F.transform("spans", flags), "|"))
+
+
+_TOKENS = f"""{V.markup_parts("m", V.NOTE_LINES)}, edge AS (SELECT *, coalesce((marker, bold, italic, block) <> lag((marker, bold, italic, block)) OVER w, true) AS new FROM m WINDOW w AS (PARTITION BY key ORDER BY start, ln, k)),
+num AS (SELECT *, count(*) FILTER (WHERE new) OVER (PARTITION BY key ORDER BY start, ln, k ROWS UNBOUNDED PRECEDING) AS g FROM edge)"""
+
+
+@query(f"""{_TOKENS} SELECT key.d AS doc_id, key.p AS page_index, g - 1 AS token_no, min(start) AS start, max(start + length(part)) AS stop,
+    any_value(marker) AS marker, any_value(bold) AS bold, any_value(italic) AS italic, any_value(block) AS block FROM num GROUP BY key, g""")
+def markup_tokens(spark, d):
+    """The notes as tokens that follow each other without a gap: markers and text, with their style and block."""
+    return _long(markup.token_rows(V.notes(spark, d)), "page_index", "token_no", "start", "stop")
+
+
+_STRIPPED = f"""{V.markup_parts("m", V.NOTE_LINES)}, kept AS (SELECT *, sum(CASE WHEN marker THEN 0 ELSE length(part) END) OVER (PARTITION BY key ORDER BY ln, k ROWS UNBOUNDED PRECEDING) AS upto FROM m),
+chars AS (SELECT key, start + j AS i, CASE WHEN marker THEN upto ELSE upto - length(part) + j END AS o FROM (SELECT *, unnest(range(0, length(part))) AS j FROM kept)),
+flat AS (SELECT key, string_agg(part, '' ORDER BY ln, k) FILTER (WHERE NOT marker) AS text, max(upto) AS "end" FROM kept GROUP BY 1),
+places AS (SELECT key, string_agg(o, ',' ORDER BY i) AS o FROM chars GROUP BY 1)"""
 
 
-@query()
+@query(f"""{_STRIPPED} SELECT n.doc_id, n.page_index, coalesce(f.text, '') AS text, coalesce("end", 0)::BIGINT AS "end", md5(concat_ws(',', o, coalesce("end", 0))) AS offsets_md5
+FROM notes n LEFT JOIN flat f ON f.key = {{'d': n.doc_id, 'p': n.page_index}} LEFT JOIN places ON places.key = f.key""")
 def markup_strip(spark, d):
-    """Notes without markers, and where the last character of each then stands."""
+    """Notes without markers, where each ends, and a hash of where every character then stands."""
     s = V.notes(spark, d).withColumn("s", markup.stripped(F.col("text")))
-    return s.select("doc_id", "page_index", F.col("s.text").alias("text"), F.element_at("s.offsets", -1).alias("end"))
+    return _long(s.select("doc_id", "page_index", F.col("s.text").alias("text"), F.element_at("s.offsets", -1).alias("end"), F.md5(F.array_join("s.offsets", ",")).alias("offsets_md5")), "page_index", "end")
 
 
 #: markers of the notes, where the rules of ``_NOTES`` put them; only lines without further stars or underscores are compared
@@ -86,10 +112,11 @@ def inline_text(spark, d):
     return _long(rows, "line_no").select("doc_id", "line_no", markup.inline_text(F.col("line")).alias("inline"))
 
 
-@query()
+@query(f"""{_RUNS}, whole AS (SELECT key, string_agg(text, '' ORDER BY g) AS line FROM run GROUP BY 1)
+SELECT key.d AS doc_id, key.p AS page_index, string_agg(coalesce(whole.line, ''), chr(10) ORDER BY key.l) AS text FROM m_l LEFT JOIN whole USING (key) GROUP BY 1, 2""")
 def plain_text(spark, d):
-    """Notes as plain text; held against plain Python in the tests."""
-    return markup.plain_text(V.notes(spark, d))
+    """Notes as plain text."""
+    return _long(markup.plain_text(V.notes(spark, d)), "page_index")
 
 
 @query(r""", w AS (SELECT doc_id, lang, source, list_filter(string_split(title, ' '), lambda x: x <> '') AS w, title FROM docs JOIN documents USING (doc_id)),

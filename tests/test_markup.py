@@ -1,12 +1,74 @@
 """Markup against small cases and against a plain scan of random lines."""
 
 import random
+import re
 
 from pagewright.operators import markup, tiers
 from pyspark.sql import functions as F
 
 
-def test_emphasis():
+START = re.compile(r"#{1,3}\s+|\s*\d{1,3}[.)]\s+|\s*[-*•]\s+|\s*>\s?")
+IMAGE = re.compile(r"\s*!\[[^\]]*\]\([^)\s]+\)\s*$")
+
+
+def scan(line):
+    """(text, marker, bold, italic) of the parts of a line, one character at a time."""
+    lead = IMAGE.match(line) or START.match(line)
+    out, bold, italic = [(lead.group(), True, False, False)] if lead and lead.group() else [], False, False
+    i = lead.end() if lead else 0
+    while i < len(line):
+        n = 2 if line.startswith("**", i) else 1
+        if n == 2:
+            marker = bold or "**" in line[i + 2 :]
+        else:
+            marker = line[i] in "*_" and (italic or line[i] in line[i + 1 :])
+        out.append((line[i : i + n], marker, bold, italic))
+        bold, italic, i = bold != (marker and n == 2), italic != (marker and n == 1), i + n
+    return out
+
+
+def kind(line):
+    if IMAGE.match(line):
+        return "image"
+    for name, pattern in {"heading1": r"#\s+", "heading2": r"##\s+", "heading3": r"###\s+", "numbered": r"\s*\d{1,3}[.)]\s+", "bullet": r"\s*[-*•]\s+", "quote": r"\s*>"}.items():
+        if re.match(pattern, line):
+            return name
+    return "paragraph"
+
+
+def tokens(text):
+    out, at = [], 0
+    for k, line in enumerate(text.split("\n")):
+        for part, *flags in [("\n", False, False, False)] * (k > 0) + scan(line):
+            flags = (*flags, "paragraph" if part == "\n" else kind(line))
+            start, at = at, at + len(part)
+            if out and out[-1][2:] == flags:
+                start = out.pop()[0]
+            out.append((start, at, *flags))
+    return out
+
+
+def strip(text):
+    plain, offsets = "", []
+    for start, stop, marker, *_ in tokens(text):
+        offsets += [len(plain)] * (stop - start) if marker else range(len(plain), len(plain) + stop - start)
+        plain += "" if marker else text[start:stop]
+    return plain, [*offsets, len(plain)]
+
+
+def runs(line):
+    out = []
+    for part, marker, bold, italic in scan(line):
+        if marker:
+            out.append(None)
+        elif out and out[-1]:
+            out[-1] = (out[-1][0] + part, bold, italic)
+        else:
+            out.append((part, bold, italic))
+    return [x for x in out if x]
+
+
+def test_cases_by_hand(spark):
     cases = {
         "plain": [("plain", False, False)],
         "a **b** c": [("a ", False, False), ("b", True, False), (" c", False, False)],
@@ -14,22 +76,42 @@ def test_emphasis():
         "*x* and _y_": [("x", False, True), (" and ", False, False), ("y", False, True)],
         "a_b": [("a_b", False, False)],
         "***both***": [("both", True, True)],
-        "": [],
+        "**a *b** c*": [("a ", True, False), ("b", True, True), (" c", False, True)],
+        "x *": [("x *", False, False)],
     }
-    for line, want in cases.items():
-        assert markup.runs(line) == want, line
+    pages = spark.createDataFrame([(i, 0, t) for i, t in enumerate(cases)], "doc_id long, page_index int, text string")
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in markup.spans(pages).collect()}
+    for i, (line, want) in enumerate(cases.items()):
+        assert runs(line) == want and got[i] == want, line
+    text = "# **T**\n- x\n\n![Image](a.jpg)\ny"
+    row = pages.limit(1).select(markup.tokens(F.lit(text)).alias("t")).first().t
+    assert [(text[t.start : t.stop], t.marker, t.bold, t.block) for t in row] == [
+        ("# **", True, False, "heading1"), ("T", False, True, "heading1"), ("**", True, True, "heading1"), ("\n", False, False, "paragraph"), ("- ", True, False, "bullet"),
+        ("x", False, False, "bullet"), ("\n\n", False, False, "paragraph"), ("![Image](a.jpg)", True, False, "image"), ("\ny", False, False, "paragraph"),
+    ]
 
 
-def test_strip_keeps_places():
+def test_random_texts_against_the_plain_scan(spark):
     rng = random.Random(3)
-    pieces = ["**", "*", "_", "# ", "- ", "> ", "1. ", "word", " ", "\n", "![a](b.jpg)", "##", "é"]
-    for _ in range(2000):
-        text = "".join(rng.choice(pieces) for _ in range(rng.randint(0, 14)))
-        plain, offsets = markup.strip(text)
-        assert len(offsets) == len(text) + 1 and offsets[-1] == len(plain) and sorted(offsets) == offsets
-        kept = [i for i in range(len(text)) if offsets[i + 1] > offsets[i]]
-        assert "".join(text[i] for i in kept) == plain
-        assert [offsets[i] for i in kept] == list(range(len(plain)))
+    pieces = ["**", "*", "_", "# ", "- ", "> ", "1. ", "word", " ", "\n", "![a](b.jpg)", "##", "é", "\U0001f600"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + ["* _a* " * 300, "x" * 3000 + "\n" * 200 + "**b** " * 100, "\n"]
+    pages = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)] + [(-1, 0, None)], "doc_id long, page_index int, text string")
+    rows = {r.doc_id: r for r in pages.select("doc_id", markup.tokens(F.col("text")).alias("t"), markup.stripped(F.col("text")).alias("s")).collect()}
+    assert rows[-1].t is None and rows[-1].s is None
+    for i, text in enumerate(texts):
+        assert [tuple(t) for t in rows[i].t] == tokens(text), text
+        assert (rows[i].s.text, rows[i].s.offsets) == strip(text), text
+    lines = {}
+    for r in markup.spans(pages).collect():
+        lines.setdefault(r.doc_id, []).append([tuple(s) for s in r.spans])
+    for i, text in enumerate(texts):
+        assert lines.get(i, []) == [runs(x.rstrip()) for x in text.split("\n") if x.rstrip()], text
+
+
+def test_no_python_in_the_plan(spark):
+    pages = spark.createDataFrame([(1, 0, "*a* b")], "doc_id long, page_index int, text string")
+    for df in (markup.token_rows(pages), markup.spans(pages), pages.select(markup.stripped(F.col("text")))):
+        assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_columns_follow_the_scan(spark):
@@ -37,7 +119,7 @@ def test_columns_follow_the_scan(spark):
     pages = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, page_index int, text string")
     got = {r.doc_id: r.s for r in pages.select("doc_id", markup.stripped(F.col("text")).alias("s")).collect()}
     for i, t in enumerate(texts):
-        plain, offsets = markup.strip(t)
+        plain, offsets = strip(t)
         assert (got[i].text, got[i].offsets) == (plain, offsets)
     lines = {(r.doc_id, r.line_no): r for r in markup.spans(pages).collect()}
     assert lines[0, 0].kind == "heading1" and [tuple(s) for s in lines[0, 0].spans] == [("Head ", False, False), ("b", True, False)]
