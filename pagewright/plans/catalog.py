@@ -386,7 +386,13 @@ def answer_selection(spark, d):
     return _whole_index(A.select(A.rank(*_answering(spark, d))).select("qid", "doc_id", "page_index", "start", "rk"))
 
 
-@query()
+_WINDOWS = f"""{V.SPANS}{V.QUESTIONS}{V.PRIORS}{V.RANK}{V.SELECTED}, room AS (SELECT qid, s.doc_id, s.page_index, rk, pgs.text AS page, greatest(0, s.start - greatest(0, floor((240 - length(s.text)) / 2)))::BIGINT AS "begin",
+    least(length(pgs.text), s.start + length(s.text) + greatest(0, floor((240 - length(s.text)) / 2)))::BIGINT AS "end" FROM selected s JOIN pgs USING (doc_id, page_index)),
+keyed_room AS (SELECT *, {{'q': qid, 'r': rk}} AS key FROM room)"""
+
+
+@query(rf"""{_WINDOWS}{V.flat_texts("m", '(SELECT key, page["begin" + 1:"end"] AS text FROM keyed_room)')} SELECT qid, doc_id, page_index, rk, CASE WHEN "begin" > 0 THEN '…' ELSE '' END
+    || regexp_replace(regexp_replace(x.text, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g') || CASE WHEN "end" < length(page) THEN '…' ELSE '' END AS snippet FROM keyed_room JOIN m_flat x USING (key)""")
 def citations(spark, d):
     q, pages, cand = _answering(spark, d)
     return _whole_index(A.citations(A.select(A.rank(q, pages, cand)), pages).select("qid", "doc_id", "page_index", "rk", "snippet"))
@@ -395,7 +401,7 @@ def citations(spark, d):
 @query(f"""{V.SPANS}{V.QUESTIONS}{V.PRIORS}{V.RANK}{V.SELECTED} SELECT qid, s.doc_id, s.page_index, rk, greatest(0, s.start - greatest(0, floor((240 - length(s.text)) / 2)))::BIGINT AS "begin",
     least(length(pgs.text), s.start + length(s.text) + greatest(0, floor((240 - length(s.text)) / 2)))::BIGINT AS "end" FROM selected s JOIN pgs USING (doc_id, page_index)""")
 def citation_windows(spark, d):
-    """Where each citation begins and ends on its page; what is shown of it has no markers, which SQL can not take off."""
+    """Where each citation begins and ends on its page."""
     q, pages, cand = _answering(spark, d)
     rows = A.citations(A.select(A.rank(q, pages, cand)), pages).select("qid", "doc_id", "page_index", "rk", "begin", "end")
     return rows.withColumns({c: F.col(c).cast("long") for c in ("page_index", "begin", "end")})

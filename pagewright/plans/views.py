@@ -278,5 +278,11 @@ def markup_parts(name: str, lines: str) -> str:
     sum(length(part)) OVER (PARTITION BY key ORDER BY ln, k ROWS UNBOUNDED PRECEDING) - length(part) AS start FROM {name}_u)"""
 
 
+def flat_texts(name: str, texts: str) -> str:
+    """SQL of {name}(key, ln, k, part, marker, ...) of the parts of ``texts`` (key, text), and {name}_flat(key, text) without markers."""
+    lines = f"(SELECT key, generate_subscripts(a, 1) - 1 AS ln, unnest(a) AS line FROM (SELECT key, string_split(text, chr(10)) AS a FROM {texts}))"
+    return f"{markup_parts(name, lines)}, {name}_flat AS (SELECT key, coalesce(string_agg(part, '' ORDER BY ln, k) FILTER (WHERE NOT marker), '') AS text FROM {name} GROUP BY 1)"
+
+
 #: the notes' lines, with a page's number within its document in the key
 NOTE_LINES = "(SELECT {'d': doc_id, 'p': page_index} AS key, ln - 10 * page_index AS ln, line FROM note_lines)"
