@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from pagewright.functions import lexicon as L
 from pagewright.functions import text as T
 from pagewright.operators import answers as A
-from pagewright.operators import archives, facts, library, markup, passages, questions, search, summaries, transcripts
+from pagewright.operators import archives, facts, library, markup, passages, questions, search, store, summaries, transcripts
 from pagewright.plans import views as V
 from pagewright.plans.registry import ORACLES, QUERIES, query
+from pagewright.sources import shared
 from pagewright.sources.shared import folder
 from pagewright.streaming import live
 
@@ -440,6 +441,14 @@ def _stream(spark, d, name):
     return spark.readStream.schema(spark.read.parquet(f"{d}/{name}.parquet").schema).parquet(f"{d}/{name}.parque[t]")
 
 
+def _said(spark, d, at):
+    """The messages as a stream of several batches: a file for each quarter of the turns."""
+    said = V.messages(spark, d)
+    quarter = F.expr("ntile(4) over (partition by conv_id order by turn)")
+    said.select("*", quarter.alias("file")).repartition(4, "file").write.partitionBy("file").parquet(f"{at}/said")
+    return spark.readStream.schema(said.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{at}/said")
+
+
 @query("SELECT term, doc_id, count(*) AS tf, any_value(len(body)) AS body_length FROM (SELECT doc_id, body, unnest(body) AS term FROM toks) GROUP BY 1, 2")
 def stream_index(spark, d):
     at = folder(spark, "index")
@@ -450,17 +459,15 @@ def stream_index(spark, d):
 @query(_CONVERSATIONS)
 def stream_conversations(spark, d):
     at = folder(spark, "conversations")
-    said = _stream(spark, d, "conversations").where("role <> 'system'").select("conv_id", "turn", "role", "text")
-    live.live_conversations(said, at, f"{at}/state").awaitTermination()
-    return live.current_view(spark, at)
+    live.live_transcripts(_said(spark, d, at), at, f"{at}/state").awaitTermination()
+    return live.conversations_of(live.current_view(spark, at))
 
 
 @query(_NEWEST % 200)
 def stream_transcripts(spark, d):
     at = folder(spark, "transcripts")
-    said = _stream(spark, d, "conversations").where("role <> 'system'").select("conv_id", "turn", "role", "text")
-    live.live_transcripts(said, at, f"{at}/state").awaitTermination()
-    return live.current_view(spark, at).select("conv_id", "turn", "rk")
+    live.live_transcripts(_said(spark, d, at), at, f"{at}/state").awaitTermination()
+    return live.transcripts_of(live.current_view(spark, at))
 
 
 @query(""", e AS (SELECT user_id AS doc_id, event_id AS seq, event_type FROM events WHERE user_id IS NOT NULL), l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY seq DESC) AS r FROM e)
@@ -484,7 +491,27 @@ def stream_entries(spark, d):
     steps = F.array(F.struct(F.lit(0).alias("seq"), F.lit("draft").alias("text")), F.struct(F.lit(1).alias("seq"), F.col("text")), F.struct(F.lit(2).alias("seq"), F.lit(None).cast("string").alias("text")))
     each = own.select("doc_id", "title", "tags", F.explode(F.when(F.col("doc_id") % 7 == 0, steps).otherwise(F.slice(steps, 1, 2))).alias("e")).select("doc_id", "e.seq", "e.text", F.when(F.col("e.seq") < 2, F.col("title")).alias("title"), F.when(F.col("e.seq") < 2, F.col("tags")).alias("tags"))
     live.keep_entries(each, f"{at}/index", f"{at}/state").awaitTermination()
-    return search.stored(spark, f"{at}/index")
+    return store.stored(spark, f"{at}/index")
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 50 = 7 THEN 'A .parquet file can not be imported.' WHEN doc_id % 50 <> 3 AND NOT regexp_matches(text, '\S') THEN 'There was no text in that file.' END AS reason,
+CASE WHEN doc_id % 50 <> 7 AND (doc_id % 50 = 3 OR regexp_matches(text, '\S')) THEN md5(CASE WHEN doc_id % 50 = 3 THEN '\uFFFD' ELSE text END || chr(10)) END AS text_md5 FROM documents WHERE text IS NOT NULL""".replace("\\uFFFD", "\ufffd"))
+def dropped_files(spark, d):
+    """Every document dropped as a file of its own and read in several batches, of which the last runs twice: texts by their
+    hash, the others with the reason. Some files are no UTF-8, some of a kind that is not read."""
+    at, poison = folder(spark, "dropped"), F.col("doc_id") % 50
+    docs = V.table(spark, d, "documents").where("text is not null").select("doc_id", "text")
+    named = docs.where(poison != 7).select(F.when(poison == 3, F.unhex(F.lit("FF")).cast("string")).otherwise(F.col("text")).alias("value"), "doc_id")
+    named.write.partitionBy("doc_id").text(f"{at}/in/text")
+    docs.where(poison == 7).write.partitionBy("doc_id").parquet(f"{at}/in/other")
+    batches = max(100, docs.count() // 4)
+    run = lambda: live.drop_folder(spark, f"{at}/in", f"{at}/out", f"{at}/state", batches).awaitTermination()
+    run()
+    shared.delete(spark, f"{at}/state/commits/{max(map(int, shared.names(spark, f'{at}/state/commits')))}")
+    run()
+    own = F.regexp_extract("path", "doc_id=(-?[0-9]+)/", 1).cast("long").alias("doc_id")
+    texts = spark.read.parquet(f"{at}/out/texts").select(own, F.lit(None).cast("string").alias("reason"), F.md5("text").alias("text_md5"))
+    return texts.unionByName(spark.read.parquet(f"{at}/out/rejected").select(own, "reason", F.lit(None).cast("string").alias("text_md5")))
 
 
 # the other families of queries register themselves

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -17,3 +17,39 @@ def folder(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="pagewright-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _at(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _at(spark, path)
+    return files.exists(at)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, hidden ones left out; none where it does not exist."""
+    files, at = _at(spark, path)
+    return sorted(n for n in (s.getPath().getName() for s in files.listStatus(at)) if n[0] not in "._") if files.exists(at) else []
+
+
+def create(spark: SparkSession, path: str) -> None:
+    """Creates an empty file; FileExistsError where it is there already."""
+    files, at = _at(spark, path)
+    files.mkdirs(at.getParent())
+    if not files.createNewFile(at):
+        raise FileExistsError(path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    files, at = _at(spark, path)
+    files.delete(at, True)
+
+
+def kept(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    """``rows`` as a written table, which several plans may read."""
+    path = folder(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

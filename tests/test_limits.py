@@ -24,11 +24,35 @@ def test_stream_transcripts_keep_200(spark, tmp_path):
     assert got == [(t, 230 - t) for t in range(30, 230)]
 
 
-def test_live_transcripts_cap(spark, tmp_path):
-    said(spark, f"{tmp_path}/said", 9)
-    stream = spark.readStream.schema("conv_id long, turn int, role string, text string").parquet(f"{tmp_path}/said")
-    live.live_transcripts(stream, f"{tmp_path}/at", f"{tmp_path}/at/state", 4).awaitTermination()
-    assert sorted(r.turn for r in live.current_view(spark, f"{tmp_path}/at").collect()) == [5, 6, 7, 8]
+def test_transcripts_over_batches_and_a_restart(spark, tmp_path):
+    """State outlives the query; a batch only brings its own messages; late ones find their place."""
+    kind = "conv_id long, turn int, role string, text string"
+    batches = [
+        [(1, t, "user", f"m{t}") for t in range(100, 200)] + [(2, 5, "assistant", "hello"), (3, None, "user", "no turn")],
+        [(1, t, "assistant", "x") for t in range(200, 330)] + [(2, 4, "user", "  ")],
+        [(1, 7, "user", "the first question"), (2, 9, "user", None), (2, 6, "user", "what is it")],
+    ]
+
+    def run():
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        query = live.live_transcripts(stream, f"{tmp_path}/at", f"{tmp_path}/state")
+        query.awaitTermination()
+        view = live.current_view(spark, f"{tmp_path}/at")
+        turns = {}
+        for r in live.transcripts_of(view).orderBy("conv_id", "rk").collect():
+            turns.setdefault(r.conv_id, []).append(r.turn)
+        return turns, {r.conv_id: (r.title, r.n_messages, r.last_turn) for r in live.conversations_of(view).collect()}, [p.numInputRows for p in query.recentProgress if p.numInputRows]
+
+    for k in (0, 1):
+        spark.createDataFrame(batches[k], kind).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    turns, known, read = run()
+    assert turns[1] == list(range(329, 129, -1)) and known[1] == ("m100", 230, 329) and known[2] == ("Conversation", 2, 5) and known[3] == ("Conversation", 1, None)
+    assert sorted(read) == [102, 131]
+    spark.createDataFrame(batches[2], kind).coalesce(1).write.parquet(f"{tmp_path}/in/2")
+    turns, known, read = run()
+    assert read == [3]
+    assert len(turns[1]) == 200 and turns[1][0] == 329 and known[1] == ("the first question", 231, 329)
+    assert turns[2] == [9, 6, 5, 4] and known[2] == ("what is it", 4, 9)
 
 
 def test_files_that_are_dropped_are_read_once(spark, tmp_path):

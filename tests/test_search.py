@@ -1,4 +1,4 @@
-"""Tiers against a plain version on hand-made documents, and the stored index."""
+"""Tiers against a plain version on hand-made documents."""
 
 import re
 
@@ -69,18 +69,3 @@ def test_results_are_cut_and_ghosts_dropped(spark):
     assert sorted(r.doc_id for r in tiers.ranked(docs, asked).collect()) == list(range(50))
     alive = docs.where("doc_id >= 5").select("doc_id")
     assert sorted(r.doc_id for r in tiers.ranked(docs, asked, alive).collect()) == list(range(5, 55))
-
-
-def test_stored_index(spark, tmp_path):
-    docs = spark.createDataFrame([(1, "One", "aa bb aa", ["t"]), (2, "Two", "bb cc", ["tag"])], "doc_id long, title string, text string, tags array<string>")
-    at = f"{tmp_path}/index"
-    search.replace_all(docs, at)
-    rows = lambda: sorted(tuple(r) for r in search.stored(spark, at).collect())
-    assert rows() == sorted(tuple(r) for r in search.entries(docs).collect())
-    again = spark.createDataFrame([(1, "One", "dd", ["t"])], docs.schema)
-    search.put(spark, again, at, 1)
-    search.put(spark, again, at, 1)
-    search.remove(spark, docs.where("doc_id = 2"), at, 2)
-    assert rows() == [(1, "body", "dd", 1), (1, "title", "one", 1)]
-    search.replace_all(docs, at + "2")
-    assert search.stored(spark, at + "2").count() == search.entries(docs).count()
