@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+#: an automaton of so many bytes of items takes some 420 MB in each worker
+BLOCK_BYTES = 1 << 20
 
 _NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 _WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")

@@ -5,6 +5,7 @@ Every separator is an ASCII byte, so working on bytes equals working on code poi
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -93,12 +94,19 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: sums modulo a power of two meet for long words with a pattern (from some 1,024 letters of two kinds), so these are hashed alone
+LONG_WORD = 128
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words; ``data`` has been folded."""
     power, inverse = _powers(max(BLOCK_BYTES, 1 << max(len(data) - 1, 1).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _Q)
+    out = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _Q)
+    for k in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 def hashed_words(column: pa.Array, separator: np.ndarray, by_line: bool = False):

@@ -93,3 +93,9 @@ def dedup_lines(rows, least=5):
         for w in words:
             index.setdefault(w, []).append(k)
     return [(d, t if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (d or 0, t, n) not in gone)) for d, t in rows]
+
+
+def patterned(n):
+    """Two unlike words of n letters (a power of two) of which sums modulo a power of two are alike."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)

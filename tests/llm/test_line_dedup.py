@@ -1,6 +1,6 @@
 import random
 
-from brute import dedup_lines
+from brute import dedup_lines, patterned
 from pagewright.llm import line_dedup, prefixjoin, queries
 
 
@@ -66,3 +66,11 @@ def test_clashing_columns(spark):
     assert got.columns == ["doc_id", "text", *names[:-1], "n_lines", "n_removed"]
     found = sorted(got.select("doc_id", "text", *names[:-1], "n_lines", "n_removed").collect())
     assert [tuple(r) for r in found] == [(k, f"{line}\nown {k}" if k == 0 else f"own {k}", *(f"{n}{k}" for n in names[:-1]), 2, int(k > 0)) for k in range(3)]
+
+
+def test_long_patterned_words_are_told_apart(spark):
+    rows = [(n, "\n".join(f"{w} one two three four" for w in patterned(n))) for n in (128, 1024, 4096)] + [(9999, "\n".join(patterned(1024)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(docs, rows).where("n_removed > 0").count()
+    got = line_dedup.dedup(docs, least=1)
+    assert got.where("n_removed > 0").count() == 0

@@ -1,6 +1,6 @@
 import random
 
-from brute import components
+from brute import components, patterned
 from pagewright.llm import ngram_join, prefixjoin
 
 SCHEMA = "doc_id long, text string, tokens string, node long"
@@ -80,3 +80,11 @@ def test_groups_in_large_buckets(spark, monkeypatch):
     for dealt in (docs.coalesce(1), docs.repartition(3, "doc_id")):
         got = ngram_join.join_components(dealt, 1)
         assert rows_of(got) == {(d, n, c) for d, (n, c) in want.items()}
+
+
+def test_long_patterned_words_are_told_apart(spark):
+    texts = [f"{w} one two three four" for n in (128, 256, 1024, 4096) for w in patterned(n)] + [patterned(2048)[0], patterned(2048)[1], patterned(2048)[0]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert rows_of(ngram_join.join_components(docs)) == {(d, n, c) for d, (n, c) in components(list(enumerate(texts))).items()}
+    docs = docs.selectExpr("*", "'en' as lang", "'s' as source", "1L as n_chars")
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == list(range(len(texts) - 1))
