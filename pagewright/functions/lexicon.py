@@ -90,6 +90,12 @@ ALTERNATIVES = {t: sorted({o for g in SYNONYMS if t in g for o in g} - {t}) for
 
 
 def java(pattern: str) -> str:
-    r"""The pattern with \b as a boundary of ASCII words on every Java version."""
+    r"""The pattern with \b as a boundary of ASCII words on every Java version.
+
+    Before a letter or digit that is a look back, and what has to follow is looked at first, which most places fail.
+    """
     word = "[A-Za-z0-9_]"
+    for first in ("[0-9]", "[A-Z]", "(?:[A-Z]", "(?:jan", "(?:eur"):
+        ahead = {"(?:[A-Z]": "(?=[A-Z])", "(?:jan": "(?=[adfjmnos])", "(?:eur": "(?=[ceginpu])"}.get(first, f"(?={first})")
+        pattern = pattern.replace(rf"\b{first}", f"{ahead}(?<!{word}){first}")
     return pattern.replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))")

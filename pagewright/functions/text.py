@@ -113,6 +113,11 @@ def without_stop(text: Column) -> Column:
     return F.regexp_replace(trimmed(text), r"\.$", "")
 
 
+def without_marks(text: Column) -> Column:
+    """The text with blanks for the two control characters that mark matches in it, so that no place moves."""
+    return F.translate(text, "\u0001\u0002", "  ")
+
+
 #: lengths are summed in parts of so many, so that the offsets of many pieces cost little more than their number
 PART = 64
 

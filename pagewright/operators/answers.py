@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions.text import tokens
 from pagewright.functions import lexicon as L
-from pagewright.operators import facts, markup, passages, search
+from pagewright.operators import facts, markup, passages, tiers
 
 CANDIDATES, IDEAL, INTENT_BOOST, FLOOR, SYNONYM = 6, 25, 1.35, 0.5, 0.6
 PER_DOCUMENT, MOST, BUDGET, PAD = 2, 4, 1200, 240
@@ -15,8 +15,8 @@ TIES = ("doc_id", "page_index", "start")
 
 
 def priors(docs: DataFrame, questions: DataFrame, most: int = CANDIDATES) -> DataFrame:
-    """The best documents of each analysed question: qid, doc_id, prior of 0.5 to 1."""
-    hits = search.bm25(docs, questions.select("qid", "terms"), top=most, idf_mode="constant")
+    """The best documents of each analysed question by the whole search for its terms: qid, doc_id, prior of 0.5 to 1."""
+    hits = tiers.ranked(docs, questions.select("qid", F.array_join("terms", " ").alias("query")), most=most)
     best = F.max("score").over(Window.partitionBy("qid"))
     return hits.select("qid", "doc_id", F.when(best <= 0, 1.0).otherwise(F.round(0.5 + 0.5 * F.col("score") / best, 6)).alias("prior"))
 
@@ -66,16 +66,24 @@ def citations(selected: DataFrame, pages: DataFrame) -> DataFrame:
     return selected.join(page, ["doc_id", "page_index"]).withColumns({"snippet": snippet, "begin": begin, "end": end}).drop("page")
 
 
-def compose(questions: DataFrame, selected: DataFrame, library: DataFrame) -> DataFrame:
+def readable(docs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """qid and whether any of a question's candidates has text."""
+    known = candidates.join(docs.select("doc_id", F.col("text").rlike(r"\S").alias("has_text")), "doc_id")
+    return known.groupBy("qid").agg(F.bool_or(F.coalesce("has_text", F.lit(False))).alias("candidates_read"))
+
+
+def compose(questions: DataFrame, selected: DataFrame, library: DataFrame, candidates_read: DataFrame) -> DataFrame:
     """One row for each question: kind, confidence, the best passage, its document, and the number of citations.
 
-    ``library`` is one row: n_docs and n_readable. A question without a passage is empty_library, no_text, unclear (no
-    terms) or no_match.
+    ``library`` is one row: n_docs and n_readable; ``candidates_read`` is that of ``readable``. A question without a
+    passage is empty_library, no_text (of all its candidates, or of the library where it has none), unclear (no terms) or
+    no_match.
     """
     best = selected.where("rk = 1").select("qid", F.col("doc_id").alias("best_doc"), F.col("text").alias("answer"), "coverage", "shaped")
     cited = selected.groupBy("qid").agg(F.count("*").alias("n_citations"), F.count_distinct("doc_id").alias("n_documents"))
-    rows = questions.select("qid", "mode", "terms", "phrases").join(best, "qid", "left").join(cited, "qid", "left").crossJoin(F.broadcast(library))  # one row
-    empty = F.when(F.col("n_docs") == 0, "empty_library").when(F.col("n_readable") == 0, "no_text").when((F.size("terms") == 0) & (F.size("phrases") == 0), "unclear").otherwise("no_match")
+    rows = questions.select("qid", "mode", "terms", "phrases").join(best, "qid", "left").join(cited, "qid", "left").join(candidates_read, "qid", "left").crossJoin(F.broadcast(library))  # one row
+    read = F.coalesce("candidates_read", F.col("n_readable") > 0)
+    empty = F.when((F.size("terms") == 0) & (F.size("phrases") == 0), "unclear").when(F.col("n_docs") == 0, "empty_library").when(~read, "no_text").otherwise("no_match")
     whole = F.col("coverage") >= 0.999
     confidence = F.when(whole & F.col("shaped"), "strong").when(whole | F.col("shaped"), "partial").when(F.col("answer").isNotNull(), "weak")
     return rows.select("qid", "mode", F.when(F.col("answer").isNull(), empty).otherwise("answer").alias("kind"), confidence.alias("confidence"), "best_doc", "answer", F.coalesce("n_citations", F.lit(0)).alias("n_citations"), F.coalesce("n_documents", F.lit(0)).alias("n_documents"))

@@ -103,6 +103,12 @@ def findings(asked: DataFrame, values: DataFrame, names: DataFrame) -> DataFrame
     )
 
 
+def fallback_answers(asked: DataFrame, values: DataFrame, names: DataFrame) -> DataFrame:
+    """qid, kind, confidence, n, text for questions that no passage answers: what ``findings`` lists, and where it lists
+    nothing no text, so that the first answer stands."""
+    return findings(asked, values, names).withColumn("text", F.when(F.col("n") > 0, F.col("text")))
+
+
 def digests(asked: DataFrame, values: DataFrame, names: DataFrame) -> DataFrame:
     """qid, kind, confidence, n, text: all kinds of values in a scope, a section each; ``asked`` has qid and scope."""
     few = values.where(F.col("rk") <= DIGEST_VALUES).groupBy("scope", "intent").agg(F.array_sort(F.collect_list(F.struct("rk", "value"))).alias("v"))

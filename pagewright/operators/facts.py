@@ -8,13 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import lexicon as L
-from pagewright.functions.text import offsets
+from pagewright.functions.text import offsets, without_marks
 
 HEADING = r"^#{1,3}\s+"
 TOP = 15
 MARKS = "€£$¥₹+"
 
 
+#: what every text with a fact of a kind holds; others are not searched for it
+_ANCHORS = {
+    "date": "[0-9][./-][0-9]", "written_date": "(?i)(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)", "amount": "(?i)[€£$¥₹]|[0-9][ ,.][0-9]|(?:eur|usd|gbp|pkr|inr|chf)", "email": "@",
+    "phone": r"[0-9][0-9\s().-]{7}", "identifier": "[0-9]", "name": r"[A-Z][a-z]+[ \t]+[A-Z][a-z]", "street": r"[A-Z][a-zA-Z]+\s", "postcode": "[A-Z][0-9]",
+}
+
+
 def _names(values: Column) -> Column:
     words = lambda v: F.split(F.lower(v), r"\s+")
     return F.filter(values, lambda v: ~F.exists(words(v), lambda w: w.isin(*L.FURNITURE)) & ~F.element_at(words(v), -1).isin(*L.ORGANISATIONS))
@@ -59,8 +66,8 @@ def facts(pages: DataFrame, kinds=("date", "email", "amount")) -> DataFrame:
 
 def _parts(kind: str) -> Column:
     """The text split at marks around the matches, so that odd parts are the matches."""
-    marked = F.regexp_replace(_searched(kind, F.col("text")), f"({L.java(L.SHAPES[kind])})", "\u0001$1\u0002")
-    return F.split(marked, "[\u0001\u0002]", -1).alias(kind)
+    marked = F.regexp_replace(_searched(kind, without_marks(F.col("text"))), f"({L.java(L.SHAPES[kind])})", "\u0001$1\u0002")
+    return F.when(F.col("text").rlike(_ANCHORS[kind]), F.split(marked, "[\u0001\u0002]", -1)).otherwise(F.array("text")).alias(kind)
 
 
 def _places(intent: str, kind: str) -> Column:

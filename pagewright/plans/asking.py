@@ -8,8 +8,9 @@ from pagewright.functions import lexicon as L
 from pagewright.operators import answers as A
 from pagewright.operators import dialogue, facts, passages, questions, summaries
 from pagewright.plans import views as V
-from pagewright.plans.finding import RANKED, TIERS
+from pagewright.plans.views import RANKED, TIERS
 from pagewright.plans.registry import query
+from pagewright.sources import shared
 from pagewright.plans.writing import CLAUSE
 
 _TRIM = V._TRIM
@@ -45,8 +46,8 @@ routes AS (SELECT qid, intent, brief, target, CASE WHEN len(terms) = 0 AND len(p
     WHEN mode = 'find' THEN CASE WHEN target IS NULL THEN 'find_in_library' ELSE 'find_in_document' END ELSE 'retrieve' END AS route FROM subjects LEFT JOIN target USING (qid))"""
 
 
-def _routes(spark, d):
-    q, docs = _asked(spark, d), V.documents(spark, d)
+def _routes(spark, d, source=V.questions):
+    q, docs = shared.kept(spark, questions.analysis(source(spark, d)), "questions"), V.documents(spark, d)
     return q, docs, dialogue.routed(q, dialogue.targets(docs, q))
 
 
@@ -75,19 +76,20 @@ _COUNT = f"CASE WHEN n <= 10 THEN {_WORDS}[n + 1] ELSE n::VARCHAR END || ' ' ||
 
 #: the questions that ask for values, with their scope: the document they name, or the library's newest
 _NEWEST = r", newest AS (SELECT doc_id, row_number() OVER (ORDER BY updated_at DESC, doc_id DESC) AS place FROM docs WHERE regexp_matches(text, '\S') ORDER BY place LIMIT 6)"
-_SCOPES = rf"""{_ROUTES}{_NEWEST}{V.FACTS}{V.FACT_KEYS},
-asking AS (SELECT qid, intent, coalesce(target::VARCHAR, 'library') AS scope, target FROM routes WHERE route IN ('find_in_document', 'find_in_library')),
-scopes AS (SELECT DISTINCT scope, target AS doc_id, 1::BIGINT AS place FROM asking WHERE target IS NOT NULL UNION ALL SELECT 'library', doc_id, place FROM newest),
+_VALUES = rf"""scopes AS (SELECT DISTINCT scope, target AS doc_id, 1::BIGINT AS place FROM asking WHERE target IS NOT NULL UNION ALL SELECT 'library', doc_id, place FROM newest),
 names AS (SELECT 'library' AS scope, 'your documents' AS name UNION ALL SELECT doc_id::VARCHAR, title FROM docs),
 inside AS (SELECT scope, intent, key, min({{'place': place, 'doc_id': scopes.doc_id, 'page_index': page_index, 'start': start, 'value': value}}) AS f FROM scopes JOIN (SELECT doc_id, intent, key, page_index, start, v AS value,
     row_number() OVER (PARTITION BY doc_id, intent, key ORDER BY page_index, start, v) AS r FROM keyed WHERE key <> '') x ON x.doc_id = scopes.doc_id AND r = 1 GROUP BY 1, 2, 3),
 vals AS (SELECT scope, intent, f.value AS value, row_number() OVER (PARTITION BY scope, intent ORDER BY f) AS rk FROM inside),
 vlist AS (SELECT scope, intent, count(*) AS n, string_agg('• ' || value, chr(10) ORDER BY rk) AS listed FROM vals WHERE rk <= 15 GROUP BY 1, 2)"""
+_SCOPES = rf"""{_ROUTES.replace(V.QUESTIONS, V.VALUE_QUESTIONS)}{_NEWEST}{V.FACTS}{V.FACT_KEYS},
+asking AS (SELECT qid, intent, coalesce(target::VARCHAR, 'library') AS scope, target FROM routes WHERE route IN ('find_in_document', 'find_in_library')),
+{_VALUES}"""
 
 
-def _scoped(spark, d, routes, q):
+def _scoped(spark, d, asked):
+    """Questions (qid, intent, target) with their scope, the values of each scope, and its name."""
     docs, pages = V.documents(spark, d), V.pages(spark, d)
-    asked = routes.where("route in ('find_in_document', 'find_in_library')").join(q.select("qid", "intent"), "qid")
     asked = asked.withColumn("scope", F.coalesce(F.col("target").cast("string"), F.lit("library")))
     own = asked.where("target is not null").select("scope", F.col("target").alias("doc_id"), F.lit(1).alias("place")).distinct()
     scopes = own.unionByName(dialogue.latest_readable(docs).select(F.lit("library").alias("scope"), "doc_id", "place"))
@@ -107,22 +109,42 @@ UNION ALL SELECT qid, CASE WHEN n IS NULL THEN 'no_match' ELSE 'extraction' END,
 FROM asking LEFT JOIN digest USING (scope) JOIN names USING (scope) WHERE intent = 'general'""")
 def find_answers(spark, d):
     """Answers to questions that ask for all values of a kind, or for whatever stands out."""
-    q, _, routes = _routes(spark, d)
-    asked, values, names = _scoped(spark, d, routes, q)
+    q, _, routes = _routes(spark, d, V.value_questions)
+    finding = routes.where("route in ('find_in_document', 'find_in_library')").join(q.select("qid", "intent"), "qid")
+    asked, values, names = _scoped(spark, d, shared.kept(spark, finding, "finding"))
     listed = dialogue.findings(asked.where("intent <> 'general'").select("qid", "scope", "intent"), values, names)
     return listed.unionByName(dialogue.digests(asked.where("intent = 'general'").select("qid", "scope"), values, names))
 
 
 _SELECTED = f"{V.SPANS}{V.QUESTIONS}{V.PRIORS}{V.RANK}{V.SELECTED}"
 _UNANSWERED = "SELECT qid, intent, subject_terms FROM analysed WHERE mode = 'answer' AND intent <> 'general' AND (len(terms) > 0 OR len(phrases) > 0) AND qid NOT IN (SELECT qid FROM selected)"
+_VALUED = _SELECTED.replace(V.QUESTIONS, V.VALUE_QUESTIONS)
+
+
+def _unanswered(spark, d):
+    q = shared.kept(spark, questions.analysis(V.value_questions(spark, d)), "questions")
+    candidates = shared.kept(spark, A.priors(V.documents(spark, d), q), "candidates")
+    return shared.kept(spark, A.fallbacks(q, A.select(A.rank(q, V.pages(spark, d), candidates))), "unanswered")
 
 
-@query(f"{_SELECTED} SELECT qid, intent, array_to_string(subject_terms, ' ') AS subject_terms FROM ({_UNANSWERED})")
+@query(f"{_VALUED} SELECT qid, intent, array_to_string(subject_terms, ' ') AS subject_terms FROM ({_UNANSWERED})")
 def fallback_questions(spark, d):
     """Questions for a value that no passage answers: those that then list what there is of the kind."""
-    q = _asked(spark, d)
-    chosen = A.select(A.rank(q, V.pages(spark, d), A.priors(V.documents(spark, d), q)))
-    return A.fallbacks(q, chosen).select("qid", "intent", F.array_join("subject_terms", " ").alias("subject_terms"))
+    return _unanswered(spark, d).select("qid", "intent", F.array_join("subject_terms", " ").alias("subject_terms"))
+
+
+_FALLBACK = rf"""{_VALUED}{_SUBJECTS}{RANKED % ""}{_NEWEST}{V.FACTS}{V.FACT_KEYS}, open_q AS ({_UNANSWERED}), target AS (SELECT qid, doc_id AS target FROM hits WHERE rk = 1),
+asking AS (SELECT qid, intent, coalesce(target::VARCHAR, 'library') AS scope, target FROM open_q LEFT JOIN target USING (qid)),{_VALUES}"""
+
+
+@query(f"""{_FALLBACK} SELECT qid, CASE WHEN n IS NULL THEN 'no_match' ELSE 'extraction' END AS kind, CASE WHEN n IS NOT NULL THEN CASE WHEN intent = 'person' THEN 'partial' ELSE 'strong' END END AS confidence, coalesce(n, 0)::INT AS n,
+    CASE WHEN n IS NOT NULL THEN 'I found ' || {_COUNT} || ' in ' || name || ':' || chr(10) || listed END AS text FROM asking LEFT JOIN vlist USING (scope, intent) JOIN names USING (scope)""")
+def fallback_answers(spark, d):
+    """What those questions are answered with: the values of the kind in the document that the subject points to, or in the
+    newest ones. Where there are none, the question stays without a match and has no text."""
+    open_q = _unanswered(spark, d)
+    asked, values, names = _scoped(spark, d, open_q.join(dialogue.targets(V.documents(spark, d), open_q), "qid", "left").select("qid", "intent", "target"))
+    return dialogue.fallback_answers(asked, values, names)
 
 
 @query(rf"""{V.FACTS}{V.FACT_KEYS}, newest AS (SELECT doc_id, row_number() OVER (ORDER BY updated_at DESC, doc_id DESC) AS place FROM docs WHERE regexp_matches(text, '\S') ORDER BY place LIMIT 6),
@@ -151,15 +173,16 @@ def related_passages(spark, d):
     return _long(found, "page_index").select("qid", "doc_id", "page_index", "start", "rk")
 
 
-_OWN = V.FACTS.replace("FROM pgs)", "FROM (SELECT item_id AS doc_id, 0 AS page_index, text FROM benchmark))", 1)
+_OWN = V.FACTS.replace("FROM pgs)", "FROM (SELECT item_id AS doc_id, 0 AS page_index, text FROM benchmark UNION ALL SELECT -doc_id, 0, text FROM pgs WHERE page_index = 0 AND doc_id % 5 = 1))", 1)
 
 
 @query(f"""{_OWN}, nth AS (SELECT doc_id AS qid, intent, value, row_number() OVER (PARTITION BY doc_id, intent ORDER BY start, kind, value) AS rk, count(*) OVER (PARTITION BY doc_id, intent) AS n FROM located WHERE intent <> 'place')
 SELECT qid, intent, any_value(n) AS n, string_agg(value, ', ' ORDER BY rk) AS "values" FROM nth WHERE rk <= 6 GROUP BY 1, 2""")
 def selection_facts(spark, d):
-    """What a selected passage records: the first six values of each kind, as they stand there."""
+    """What a selected passage (an item, or a document's first page) records: the first six values of each kind, as they stand there."""
     own = V.table(spark, d, "benchmark").select(F.col("item_id").alias("doc_id"), F.lit(0).alias("page_index"), "text")
-    return dialogue.recorded(own).withColumnRenamed("doc_id", "qid")
+    first = V.pages(spark, d).where("page_index = 0 and doc_id % 5 = 1").select((-F.col("doc_id")).alias("doc_id"), "page_index", "text")
+    return dialogue.recorded(own.unionByName(first)).withColumnRenamed("doc_id", "qid")
 
 
 # -- citations

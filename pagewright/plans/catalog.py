@@ -408,16 +408,17 @@ def citation_windows(spark, d):
     return rows.withColumns({c: F.col(c).cast("long") for c in ("page_index", "begin", "end")})
 
 
-@query(f"""{V.SPANS}{V.QUESTIONS}{V.PRIORS}{V.RANK}{V.SELECTED},
+@query(rf"""{V.SPANS}{V.QUESTIONS}{V.PRIORS}{V.RANK}{V.SELECTED},
 n AS (SELECT qid, count(*) AS n_citations, count(DISTINCT doc_id) AS n_documents FROM selected GROUP BY 1)
-SELECT a.qid, mode, CASE WHEN s.qid IS NOT NULL THEN 'answer' WHEN len(terms) = 0 AND len(phrases) = 0 THEN 'unclear' ELSE 'no_match' END AS kind,
+SELECT a.qid, mode, CASE WHEN s.qid IS NOT NULL THEN 'answer' WHEN len(terms) = 0 AND len(phrases) = 0 THEN 'unclear' WHEN c.seen AND NOT c.read THEN 'no_text' ELSE 'no_match' END AS kind,
     CASE WHEN coverage >= 0.999 AND shaped THEN 'strong' WHEN coverage >= 0.999 OR shaped THEN 'partial' WHEN s.qid IS NOT NULL THEN 'weak' END AS confidence,
     s.doc_id AS best_doc, s.text AS answer, coalesce(n_citations, 0) AS n_citations, coalesce(n_documents, 0) AS n_documents
-FROM analysed a LEFT JOIN (SELECT * FROM selected WHERE rk = 1) s USING (qid) LEFT JOIN n USING (qid)""")
+FROM analysed a LEFT JOIN (SELECT * FROM selected WHERE rk = 1) s USING (qid) LEFT JOIN n USING (qid)
+LEFT JOIN (SELECT qid, true AS seen, bool_or(regexp_matches(text, '\S')) AS read FROM cand JOIN docs USING (doc_id) GROUP BY 1) c USING (qid)""")
 def answers(spark, d):
     q, pages, cand = _answering(spark, d)
     library_size = V.documents(spark, d).agg(F.count("*").alias("n_docs"), F.count_if(F.col("text").rlike(r"\S")).alias("n_readable"))
-    return A.compose(q, A.select(A.rank(q, pages, cand)), library_size)
+    return A.compose(q, A.select(A.rank(q, pages, cand)), library_size, A.readable(V.documents(spark, d), cand))
 
 
 # -- summaries

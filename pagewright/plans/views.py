@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals rows anew only where the input has fewer parts than the cluster has cores, which a large input never has."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, title, text, tags, updated_at, is_favorite, doc_source."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return d.select(
         "doc_id",
         F.substring(F.split("text", "\n")[0], 1, 120).alias("title"),
@@ -31,7 +39,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, page_index, text, kind, ocr_status: ten lines a page."""
     lines = F.split("text", "\n", -1)
-    d = table(spark, sf_dir, "documents").select("doc_id", lines.alias("lines"))
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", lines.alias("lines"))
     n = F.ceil(F.size("lines") / PAGE_LINES).cast("int")
     cut = F.transform(F.sequence(F.lit(0), n - 1), lambda p: F.array_join(F.slice("lines", p * PAGE_LINES + 1, PAGE_LINES), "\n"))
     page = d.select("doc_id", F.posexplode(cut).alias("page_index", "text"))
@@ -85,6 +93,22 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 10000 + F.col("turn")).alias("qid"), F.col("text").alias("question"))
 
 
+#: questions that ask for values, by documents: of a kind that no passage gives, with a word of the title or without, and of all
+_ASKING = (
+    (20, 1, "What is the phone number of {word} xqz{id} wqz{id} vqz{id}?"), (20, 2, "When does vqz{id} expire?"), (40, 3, "Who signed xqz{id}?"),
+    (60, 4, "List all dates"), (60, 5, "Show me all names"), (60, 6, "Show the important information"),
+)
+
+
+def value_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``questions``, and such that ask for values."""
+    d = documents(spark, sf_dir).select("doc_id", F.regexp_extract("title", "([A-Za-z]{4,})", 1).alias("word"))
+    asked = F.explode(F.array(*(F.struct(F.lit(n).alias("every"), F.lit(k).alias("k"), F.lit(text).alias("text")) for n, k, text in _ASKING))).alias("a")
+    rows = d.select("doc_id", "word", asked).where("doc_id % a.every = 0")
+    shown = F.replace(F.replace("a.text", F.lit("{word}"), F.col("word")), F.lit("{id}"), F.col("doc_id").cast("string"))
+    return questions(spark, sf_dir).unionByName(rows.select((-(F.col("doc_id") * 10 + F.col("a.k"))).alias("qid"), shown.alias("question")))
+
+
 def archive_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """archive (host), entry_no, path, size: pages as entries of one archive a host."""
     p = table(spark, sf_dir, "pages")
@@ -154,7 +178,7 @@ _TOKENS = r"list_filter(regexp_split_to_array(lower(%s), '[^\p{L}\p{N}]+'), lamb
 _BREAKS = r"([.!?;])(\s+)|(\n+)"
 
 #: passages of at most 220 characters, with offsets: parts between marks, long ones cut one piece a step
-SPANS = rf""", marked AS (SELECT doc_id, page_index, string_split_regex(regexp_replace(text, '{_BREAKS}', '\1' || chr(1) || '\2\3' || chr(2), 'g'), '[\x01\x02]') AS parts FROM pgs),
+SPANS = rf""", marked AS (SELECT doc_id, page_index, string_split_regex(regexp_replace(translate(text, chr(1) || chr(2), '  '), '{_BREAKS}', '\1' || chr(1) || '\2\3' || chr(2), 'g'), '[\x01\x02]') AS parts FROM pgs),
 part AS (SELECT doc_id, page_index, parts[i] AS span, coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: length(x))), 0)::BIGINT AS pos
     FROM (SELECT doc_id, page_index, parts, unnest(range(1, len(parts) + 1)) AS i FROM marked)),
 pieces AS (SELECT doc_id, page_index, pos, '' AS piece, span AS rest FROM part
@@ -183,13 +207,39 @@ analysed AS (SELECT *, CASE WHEN len(c) = 0 THEN terms ELSE c END AS content, {_
     mode = 'summary' AND {_any(L.BRIEF)} AS brief, len({_drop("tokens", L.WHOLE_DOCUMENT)}) = 0 AS names_only_document,
     len(regexp_split_to_array({_TRIM % "question"}, '\s+')) >= 8 AS reads_as_prose FROM q5)"""
 
-#: the best documents of each question
-PRIORS = """, p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(body) AS term FROM toks) GROUP BY 1, 2),
+#: the same with questions that ask for values
+VALUE_QUESTIONS = QUESTIONS.replace(
+    " FROM conversations WHERE role = 'user')",
+    " FROM conversations WHERE role = 'user'"
+    + "".join(f" UNION ALL SELECT -(doc_id * 10 + {k}), replace(replace({_text(text)}, '{{word}}', regexp_extract(title, '([A-Za-z]{{4,}})', 1)), '{{id}}', doc_id::VARCHAR) FROM docs WHERE doc_id % {every} = 0" for every, k, text in _ASKING)
+    + ")",
+    1,
+)
+
+#: the tiers of a search, and its best hits
+TIERS = rf""", asked AS (SELECT qid, array_to_string({_TOKENS % "query"}, ' ') AS key FROM searches WHERE length({_TRIM % "query"}) >= 2 AND len({_TOKENS % "query"}) > 0),
+keys AS (SELECT key, list_filter(t, lambda x, i: list_position(t, x) = i) AS terms, replace(key, ' ', '[^A-Za-z0-9]+') AS pattern FROM (SELECT DISTINCT key, string_split(key, ' ') AS t FROM asked)),
+own AS (SELECT doc_id, text, lower(text) AS low, body, title_tokens, list_distinct(flatten(list_transform(tags, lambda g: {_TOKENS % "g"}))) AS tag_terms FROM docs JOIN toks USING (doc_id)),
+p AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(body) AS term FROM toks) GROUP BY 1, 2),
 s AS (SELECT count(*) AS n, avg(len(body)) FILTER (WHERE len(body) > 0) AS avgdl FROM toks),
-x AS (SELECT qid, p.doc_id, round(sum(ln(1 + (n - 0.5) / 1.5) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(body) / avgdl))), 6) AS score
-    FROM (SELECT qid, unnest(terms) AS term FROM analysed) JOIN p USING (term) JOIN toks ON toks.doc_id = p.doc_id, s GROUP BY 1, 2),
-cand AS (SELECT qid, doc_id, CASE WHEN best <= 0 THEN 1.0 ELSE round(0.5 + 0.5 * score / best, 6) END AS prior FROM (SELECT *, max(score) OVER (PARTITION BY qid) AS best,
-    row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rk FROM x) WHERE rk <= 6)"""
+bm AS (SELECT key, p.doc_id, sum(ln(1 + (n - 0.5) / 1.5) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(body) / avgdl))) AS bm25
+    FROM (SELECT key, unnest(terms) AS term FROM keys) JOIN p USING (term) JOIN toks ON toks.doc_id = p.doc_id, s GROUP BY 1, 2),
+met AS (SELECT keys.key, own.doc_id, len(terms) AS n, len(list_filter(terms, lambda x: list_contains(title_tokens, x))) AS m, array_to_string(title_tokens, ' ') = keys.key AS exact, len(title_tokens) AS nt,
+    len(body) AS bl, CASE WHEN contains(keys.key, ' ') AND len(list_filter(terms, lambda x: NOT contains(low, x))) = 0 THEN len(regexp_extract_all(text, pattern, 0, 'i')) ELSE 0 END AS occ, list_sort(list_filter(terms, lambda x: list_contains(tag_terms, x))) AS tags, coalesce(bm25, 0) AS bm25
+    FROM keys CROSS JOIN own LEFT JOIN bm ON bm.key = keys.key AND bm.doc_id = own.doc_id),
+tiered AS (SELECT key, doc_id, CASE WHEN exact THEN 'exact_title' WHEN m = n THEN 'partial_title' WHEN occ > 0 THEN 'phrase' WHEN bm25 > 0 THEN 'content' WHEN len(tags) > 0 THEN 'tag' WHEN m > 0 THEN 'partial_title' END AS kind,
+    round(CASE WHEN exact THEN 1 / (1 + nt) WHEN m = n THEN m / greatest(nt, 1) WHEN occ > 0 THEN occ / greatest(bl, 1) WHEN bm25 > 0 THEN bm25 WHEN len(tags) > 0 THEN len(tags) / n ELSE m / n * 0.5::DOUBLE END::DOUBLE, 6) AS score,
+    CASE WHEN NOT exact AND m < n AND occ = 0 AND bm25 = 0 THEN tags ELSE [] END AS matched FROM met)"""
+RANKED = """, best AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY list_position(['exact_title', 'partial_title', 'phrase', 'content', 'tag'], kind), score DESC, doc_id) AS rk FROM tiered WHERE kind IS NOT NULL %s),
+hits AS (SELECT qid, rk, doc_id, kind, score, matched FROM asked JOIN best USING (key) WHERE rk <= 50)"""
+
+#: the best documents of each question: the first hits of the whole search for its terms
+PRIORS = (
+    re.sub(r"(?<![\\\w.'])\b(asked|keys|own|p|s|bm|met|tiered)\b", r"c_\1", TIERS.replace("FROM searches", "FROM (SELECT qid, array_to_string(terms, ' ') AS query FROM analysed)"))
+    + """, c_hits AS (SELECT qid, doc_id, score FROM c_asked JOIN (SELECT *, row_number() OVER (PARTITION BY key ORDER BY list_position(['exact_title', 'partial_title', 'phrase', 'content', 'tag'], kind), score DESC, doc_id) AS rk
+    FROM c_tiered WHERE kind IS NOT NULL) USING (key) WHERE rk <= 6),
+cand AS (SELECT qid, doc_id, CASE WHEN max(score) OVER (PARTITION BY qid) <= 0 THEN 1.0 ELSE round(0.5 + 0.5 * score / max(score) OVER (PARTITION BY qid), 6) END AS prior FROM c_hits)"""
+)
 
 
 def _pattern(kind: str) -> str:
@@ -232,7 +282,7 @@ _each = "\n    UNION ALL ".join(
     for i, kinds in L.ANSWERS.items() for k in kinds
 )
 _kept = " ".join(f"WHEN '{k}' THEN {_good(k, 'value')}" for k in ("identifier", "name"))
-FACTS = rf""", fp AS (SELECT doc_id, page_index, text, array_to_string(list_transform(string_split(text, chr(10)), lambda x: CASE WHEN regexp_matches(x, '^#{{1,3}}\s+') THEN repeat(' ', length(x)) ELSE x END), chr(10)) AS flat FROM pgs),
+FACTS = rf""", fp AS (SELECT doc_id, page_index, translate(text, chr(1) || chr(2), '  ') AS text, array_to_string(list_transform(string_split(translate(text, chr(1) || chr(2), '  '), chr(10)), lambda x: CASE WHEN regexp_matches(x, '^#{{1,3}}\s+') THEN repeat(' ', length(x)) ELSE x END), chr(10)) AS flat FROM pgs),
 every AS ({_each}),
 placed AS (SELECT doc_id, page_index, intent, kind, list_sum(list_transform(parts[1:i - 1], lambda x: length(x)))::BIGINT AS start, parts[i] AS value
     FROM (SELECT *, unnest(range(2, len(parts) + 1, 2)) AS i FROM every)),

@@ -105,3 +105,14 @@ def test_related_leaves_the_same_text_out(spark, docs, pages):
     rows = dialogue.related(docs, pages, q).collect()
     assert not [r for r in rows if r.qid == 0 and "tenant shall pay" in r.text] and [r for r in rows if r.qid == 1]
     assert dialogue.recorded(pages.where("doc_id = 0 and page_index = 0")).where("intent = 'date'").first()["values"] == "12/03/2026, 2 April 2026"
+
+
+def test_control_characters_move_nothing(spark):
+    texts = ["A \x01 broken scan line, paid on 2024-01-02 by Jane Doe", "\x02\x01Second one here.\x01 Call +44 20 7946 0958 now\x02. Third\x00 is at x@y.example", "\x01" * 40]
+    pages = spark.createDataFrame([(i, 0, t) for i, t in enumerate(texts)], "doc_id long, page_index int, text string")
+    found = sorted((r.doc_id, r.kind, r.value) for r in facts.located(pages).collect())
+    assert [f for f in found if f[1] in ("date", "name", "email")] == [(0, "date", "2024-01-02"), (0, "name", "Jane Doe"), (1, "email", "x@y.example")]
+    clean = str.maketrans("\x01\x02", "  ")
+    assert all(texts[r.doc_id].translate(clean)[r.start : r.start + len(r.value)] == r.value for r in facts.located(pages).collect())
+    cut = passages.passages(pages).collect()
+    assert len(cut) >= 3 and all(texts[r.doc_id].translate(clean)[r.start : r.stop] == r.text for r in cut)
