@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,18 +77,31 @@ def listing(entries: DataFrame) -> DataFrame:
 def unique_names(entries: DataFrame) -> DataFrame:
     """``entries`` (archive, entry_no, name) with ``unique``: a name that is taken, letter case aside, gets the next free number.
 
-    Names can only collide within one stem without numbers, so each such group of an archive is folded on its own.
+    Names can only collide within one stem without numbers, so each such group of an archive is gone through on its own.
+    Numbers of a stem are only ever taken, so the search for a free one goes on where the last one ended.
     """
     dot = F.length(F.regexp_extract("name", r"^(.+)\.[^.]*$", 1))
-    e = entries.withColumns({"stem": F.when(dot > 0, F.expr("substring(name, 1, length(regexp_extract(name, r'^(.+)\\.[^.]*$', 1)))")).otherwise(F.col("name"))})
-    e = e.withColumn("ext", F.expr("substring(name, length(stem) + 1)"))
-    base = F.concat(F.regexp_replace(F.lower("stem"), r"( \(\d+\))+$", ""), F.lit("\u0000"), F.lower("ext"))
-    grouped = e.groupBy("archive", base.alias("base")).agg(F.array_sort(F.collect_list(F.struct("entry_no", "name", "stem", "ext"))).alias("e"))
-    free = "filter(transform(sequence(2, size(a.taken) + 2), n -> concat(x.stem, ' (', n, ')', x.ext)), c -> not array_contains(a.taken, lower(c)))[0]"
-    fold = f"""aggregate(e, named_struct('taken', cast(array() as array<string>), 'out', cast(array() as array<struct<entry_no:bigint,name:string,unique:string>>)), (a, x) ->
-        named_struct('taken', array_append(a.taken, lower(if(array_contains(a.taken, lower(x.name)), {free}, x.name))),
-        'out', array_append(a.out, named_struct('entry_no', x.entry_no, 'name', x.name, 'unique', if(array_contains(a.taken, lower(x.name)), {free}, x.name)))), a -> a.out)"""
-    return grouped.select("archive", F.explode(F.expr(fold)).alias("u")).select("archive", "u.*")
+    e = entries.select("archive", "entry_no", "name").withColumn("stem", F.when(dot > 0, F.expr("substring(name, 1, length(regexp_extract(name, r'^(.+)\\.[^.]*$', 1)))")).otherwise(F.col("name")))
+    e = e.withColumn("ext", F.expr("substring(name, length(stem) + 1)")).withColumns({"low_stem": F.lower("stem"), "low_ext": F.lower("ext")})
+    base = F.concat(F.regexp_replace("low_stem", r"( \(\d+\))+$", ""), F.lit("\u0000"), F.col("low_ext"))
+
+    def numbered(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("entry_no", kind="stable")
+        taken, after, out = set(), {}, []
+        for name, stem, ext, low_stem, low_ext in zip(group["name"], group["stem"], group["ext"], group["low_stem"], group["low_ext"]):
+            low = low_stem + low_ext
+            if low in taken:
+                n = after.get((low_stem, low_ext), 2)
+                while (low := f"{low_stem} ({n}){low_ext}") in taken:
+                    n += 1
+                after[low_stem, low_ext] = n + 1
+                name = f"{stem} ({n}){ext}"
+            taken.add(low)
+            out.append(name)
+        return group[["archive", "entry_no", "name"]].assign(unique=out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in e.schema}
+    return e.groupBy("archive", base.alias("base")).applyInPandas(numbered, f"archive {kinds['archive']}, entry_no {kinds['entry_no']}, name string, unique string")
 
 
 def import_outcomes(entries: DataFrame, stop_after: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions.text import first_question_title, trimmed
+from pagewright.sources import shared
 
 KEPT = 200
 
@@ -49,8 +50,21 @@ def listing(messages: DataFrame) -> DataFrame:
     by = keyed(messages).groupBy("key").agg(
         F.min_by(F.when(asked, F.col("text")), F.when(asked, first)).alias("first"), F.count("*").alias("n_messages"), F.max("turn").alias("last_turn"), F.min_by("document_id", first).alias("document_id")
     )
-    order = Window.partitionBy("document_id").orderBy(F.desc("last_turn"), "key")
-    return by.select("key", F.coalesce(first_question_title(F.col("first")), F.lit("Conversation")).alias("title"), "n_messages", "last_turn", "document_id").withColumn("place", F.row_number().over(order))
+    rows = by.select("key", F.coalesce(first_question_title(F.col("first")), F.lit("Conversation")).alias("title"), "n_messages", "last_turn", "document_id")
+    order = [F.desc("last_turn"), F.asc("key")]
+    own = rows.where("document_id is not null").withColumn("place", F.row_number().over(Window.partitionBy("document_id").orderBy(*order)))
+    return own.unionByName(placed(rows.where("document_id is null"), order))
+
+
+def placed(rows: DataFrame, order: list) -> DataFrame:
+    """``rows`` with their ``place`` in one order of all, from 1: each task numbers a range of them, and adds how many come
+    in the ranges before its own."""
+    ranges = shared.kept(rows.sparkSession, rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "placed")
+    counts = ranges.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    within = F.row_number().over(Window.partitionBy("range").orderBy(*order))
+    out = ranges.withColumn("within", within).join(F.broadcast(counts.select("range", F.coalesce(before, F.lit(0)).alias("before"))), "range")
+    return out.withColumn("place", (F.col("within") + F.col("before")).cast("int")).select(*rows.columns, "place")
 
 
 def history(messages: DataFrame, wanted: DataFrame) -> DataFrame:
