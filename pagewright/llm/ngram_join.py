@@ -30,6 +30,8 @@ SHINGLE = 5
 BITS = 22
 WHOLE = 64
 LAST = 2**63 - 1
+#: tokens that a task gathers before it hands rows on, and rows that it takes at a time
+MOST_TOKENS, MOST_ROWS = 1 << 18, 1 << 10
 
 
 def _sets(column, k: int):
@@ -53,6 +55,13 @@ def _bulk(column, k: int):
         yield every[inside]
 
 
+def _parts(batches):
+    """Batches of at most ``MOST_ROWS`` rows."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, MOST_ROWS):
+            yield batch.slice(low, MOST_ROWS)
+
+
 def _described(docs: DataFrame, levels, k: int) -> DataFrame:
     """Per document its set's size, node and group, and, where a task first meets a group, the group's prefix."""
     bits = np.uint64(64 - P.np.uint64(len(levels) - 1).item().bit_length())
@@ -60,7 +69,7 @@ def _described(docs: DataFrame, levels, k: int) -> DataFrame:
 
     def run(batches):
         rarity, seen = shared.value, set()
-        for batch in batches:
+        for batch in _parts(batches):
             size, node, group, pop, skip, prefix = [], [], [], [], [], []
             for _, values in _sets(batch["text"], k):
                 n = len(values)
@@ -80,7 +89,8 @@ def _described(docs: DataFrame, levels, k: int) -> DataFrame:
                 # a counter of one proves a token unique: it is in no other set
                 alone = int(np.searchsorted(tokens >> P.LEVEL_SHIFT, 9))
                 skip.append(alone)
-                prefix.append(None if g in seen else tokens[alone:].view(np.int64))
+                # a copy, as a view would hold the whole set
+                prefix.append(None if g in seen else tokens[alone:].view(np.int64).copy())
                 seen.add(g)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(size, pa.int32()), pa.array(node, pa.int64()), pa.array(group, pa.int64()), pa.array(pop, pa.int32()), pa.array(skip, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], ["doc_id", "text_hash", "size", "node", "grp", "pop", "skip", "prefix"])
 
@@ -91,15 +101,22 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     """(node, tokens) of the given nodes, from the texts of the documents that may have them."""
     wanted = docs.sparkSession.sparkContext.broadcast(marks_of(nodes, "node"))
 
+    def rows_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.list_(pa.int64()))], ["node", "tokens"])
+
     def run(batches):
         for batch in batches:
-            rows = {}
+            rows, held = {}, 0
             for _, values in _sets(batch["text"], k):
                 if len(values):
                     node = set_hash(values)
                     if node not in rows and wanted.value.holds(np.array([node]))[0]:
                         rows[node] = values.view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array(list(rows.values()), pa.list_(pa.int64()))], ["node", "tokens"])
+                        held += len(values)
+                        if held >= MOST_TOKENS:
+                            yield rows_of(rows)
+                            rows, held = {}, 0
+            yield rows_of(rows)
 
     found = docs.mapInArrow(run, "node long, tokens array<long>")
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
@@ -119,8 +136,11 @@ def join_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     rank = F.lit(P.MOST_RANK) - F.col("pop")
     rows = full.where("prefix is not null").select(F.posexplode("prefix").alias("at", "token"), "node", "size", "pop", "skip")
     rows = rows.select(P.key_of(F.col("token"), rank).alias("key"), "node", P.info_of(F.col("size"), F.col("at") + F.col("skip"), 0).alias("info"), F.lit(0).cast("long").alias("more"))
-    members = full.groupBy("grp", "node").agg(F.min("size").alias("size"), F.max("pop").alias("pop"))
-    several = work.keep(members.withColumn("n", F.count("*").over(_by("grp"))).where("n > 1").drop("n"), "members")
+    # groups of several nodes are few, and only their rows are dealt
+    large = work.keep(full.groupBy("grp").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("grp"), "groups")
+    held = with_marks(full.select("grp", "node", "size", "pop"), marks_of(large, "grp"), "grp").where("marked")
+    members = held.groupBy("grp", "node").agg(F.min("size").alias("size"), F.max("pop").alias("pop"))
+    several = work.keep(members.join(large, "grp", "left_semi"), "members")
     inner = several.select(P.key_of(F.xxhash64("grp", F.lit(1)), rank).alias("key"), "node", P.info_of(F.col("size"), F.lit(0), 1).alias("info"), F.lit(0).cast("long").alias("more"))
     found = work.keep(P.compare(rows.unionByName(inner), WHOLE), "candidates")
     pairs = found.where("lead is null").select("x", "y").distinct()
@@ -184,8 +204,3 @@ def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     left = marked.where("marked").join(found.where("gone"), list(keys), "left_anti").dropDuplicates(list(keys))
     return left.select("row.*").unionByName(marked.where("not marked").select("row.*"))
 
-
-def _by(*columns: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(*columns)

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 LEAD = 8
 STEP = 1 << 15
+#: pairs that a task holds before it hands them on
+MOST_PAIRS = 1 << 18
 NAMES = ["x", "y", "lead", "key", "info", "more"]
 LEVEL_SHIFT = np.uint64(56)
 #: a key is the lowest 40 bits of a token with the row's rank below; tokens that share a bucket only cost comparisons
@@ -108,6 +110,17 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
     kept = ("key", "node", "info", "more")
     schema = pa.schema([(n, pa.int64()) for n in NAMES])
 
+    def once(xs, ys):
+        """The pairs, each once and the lesser node first."""
+        x, y = np.concatenate(xs), np.concatenate(ys)
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        order = np.lexsort((y, x))
+        x, y = x[order], y[order]
+        new = np.ones(len(x), bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        none = pa.nulls(int(new.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x[new]), pa.array(y[new]), none, none, none, none], schema=schema)
+
     def pairs_of(rows, first, limit):
         """Pairs of each row with the first ``limit`` rows of its bucket, which starts at ``first``."""
         node, more = rows["node"], rows["more"]
@@ -117,7 +130,7 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
         # most comparisons end at the length and positional filters, so these come first and on small numbers
         room = np.where(open_, np.int32(2**30), 9 * (size - (info & np.uint64(MOST_POS)).astype(np.int32)))
         need = np.where(open_, np.int32(0), 4 * size)
-        xs, ys, left, t = [], [], np.flatnonzero(limit > 0), 0
+        xs, ys, held, left, t = [], [], 0, np.flatnonzero(limit > 0), 0
         while len(left):
             at = first[left] + t
             ok = np.minimum(room[left], room[at]) >= need[left] + need[at]
@@ -127,13 +140,14 @@ def compare(rows: DataFrame, whole: int) -> DataFrame:
             ok = ((9 * apart <= size[x] + size[y]) | open_[x] | open_[y]) & (node[x] != node[y])
             xs.append(node[x[ok]])
             ys.append(node[y[ok]])
+            held += len(xs[-1])
+            if held >= MOST_PAIRS:
+                yield once(xs, ys)
+                xs, ys, held = [], [], 0
             t += 1
             left = left[limit[left] > t]
-        if sum(map(len, xs)):
-            x, y = np.concatenate(xs), np.concatenate(ys)
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            none = pa.nulls(pairs.shape[1], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1]), none, none, none, none], schema=schema)
+        if held:
+            yield once(xs, ys)
 
     def run(batches):
         carry = {k: np.zeros(0, np.int64) for k in kept}
