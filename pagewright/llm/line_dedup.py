@@ -104,7 +104,9 @@ def _described(docs: DataFrame, rarity, least: int) -> DataFrame:
 def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity, least: int) -> DataFrame:
     """(node, tokens) of the given nodes, from the texts in which they come first."""
     where = firsts.join(nodes, "node").select(F.xxhash64("first.doc", "first.text_hash").alias("text"))
-    texts = with_marks(docs.select("doc", "text_hash", "text"), marks_of(where, "text"), "doc", "text_hash").where("marked").select("text")
+    # texts are passed over in the task that reads them: a column function before it would take a second worker and hold them twice
+    texts = docs.select(F.xxhash64("doc", "text_hash").alias("key"), "text")
+    marked = docs.sparkSession.sparkContext.broadcast(marks_of(where, "text"))
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
     wanted = docs.sparkSession.sparkContext.broadcast(marks_of(nodes, "node"))
     schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
@@ -112,7 +114,8 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity, lea
     def run(batches):
         met = _Met()
         for batch in batches:
-            for _, _, tokens, start, n in _line_sets(batch["text"], shared.value, max(least, LEAST_NEAR)):
+            held = batch["text"].filter(pa.array(marked.value.holds(batch["key"].to_numpy())))
+            for _, _, tokens, start, n in _line_sets(held, shared.value, max(least, LEAST_NEAR)):
                 node = set_hashes(tokens, start, n)
                 new = wanted.value.holds(node) & met.new(node)
                 sizes = n[new]
