@@ -17,8 +17,9 @@ gives no rows; ``docs`` may have any further columns, whatever their names, whic
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +36,8 @@ LEAST_NEAR = 4
 #: counters for word frequencies: 4 MB of levels, whatever the input
 BITS = 22
 WHOLE = 512
+#: the rows of prefixes are dealt in so many passes, each with buckets of its own, so that only a part of them is on disk at a time
+PASSES = 2
 #: places in a task's table of nodes that it has met
 MET_BITS = 17
 LAST = 2**63 - 1
@@ -133,7 +136,8 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
     firsts = work.keep(table.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
     rows = table.where("size(keys) > 0").select(F.posexplode("keys").alias("at", "key"), "node", "skip", "info", "more")
     rows = rows.select("key", "node", F.col("info").bitwiseOR(F.least(F.col("at") + F.col("skip"), F.lit(P.MOST_POS)).cast("long")).alias("info"), "more")
-    found = work.keep(P.compare(rows, WHOLE), "candidates")
+    parts = [f"candidates_{k}" for k in range(PASSES)]
+    found = reduce(DataFrame.unionByName, [work.keep(P.compare(rows.where(P.bucket() % PASSES == k), WHOLE), name) for k, name in enumerate(parts)])
     # only nodes with a candidate go on
     nodes = work.keep(found.select(F.explode(F.array("x", "y")).alias("node")).where("node is not null").distinct(), "nodes")
     known = work.keep(with_marks(firsts, marks_of(nodes, "node"), "node").where("marked").select("node", "first").join(nodes, "node"), "known")
@@ -167,7 +171,7 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
         more = work.keep(more.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "open")
         if not more.isEmpty():
             gone = gone.unionByName(shadowed(more, "shadowed_more")).distinct()
-    work.drop("candidates", "rest", "pairs", "best", "left", "open", "nodes", "known")
+    work.drop(*parts, "rest", "pairs", "best", "left", "open", "nodes", "known")
     # lines of a node with an earlier match go, and of any other node all but the first
     judged = gone.select("node", F.lit(None).cast("struct<doc:bigint,line:int,text_hash:bigint>").alias("first")).unionByName(firsts.where("n > 1").select("node", "first"))
     judged = work.keep(judged, "judged")
@@ -175,13 +179,14 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
     return lines.where(F.col("first").isNull() | (F.struct("doc", "line", "text_hash") > F.col("first"))).select("doc", "text_hash", "line")
 
 
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    """Texts without the lines whose numbers are in ``gone``."""
-    out = []
-    for own, numbers in zip(text, gone):
-        drop = set(numbers.tolist())
-        out.append("\n".join(line for k, line in enumerate(own.split("\n")) if k not in drop))
-    return pd.Series(out, dtype=object)
+def _without(text: str, gone: str):
+    """Texts without the lines whose numbers are in ``gone``. Both are columns; the lines are split once, as a variable."""
+
+    def kept(lines):
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+        return F.array_join(F.transform(numbers, lambda k: F.get(lines, k)), "\n")
+
+    return F.transform(F.array(F.split(text, "\n", -1)), kept)[0]
 
 
 def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
@@ -195,10 +200,11 @@ def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     gone = work.keep(gone.groupBy("doc", "text_hash").agg(F.collect_set("line").alias("gone")), "removed")
     both = with_marks(keyed, marks_of(gone, "doc", "text_hash"), "doc", "text_hash")
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
-    joined = both.where("marked").join(gone, ["doc", "text_hash"], "left")
-    without = F.pandas_udf(_without, "string")
-    hit = joined.where("gone is not null").select("row", without("text", "gone").alias("text"), n_lines, F.size("gone").cast("long").alias("n_removed"))
-    clean = [x.select("row", "text", n_lines, F.lit(0).cast("long").alias("n_removed")) for x in (both.where("not marked"), joined.where("gone is null"))]
+    n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without("text", "gone")).alias("text")
+    # one branch for all marked rows, so that their texts are read once after the join
+    hit = both.where("marked").join(gone, ["doc", "text_hash"], "left").select("row", text, n_lines, n_removed)
+    clean = both.where("not marked").select("row", "text", n_lines, F.lit(0).cast("long").alias("n_removed"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]
-    return hit.unionByName(clean[0]).unionByName(clean[1]).select(*columns, "n_lines", "n_removed")
+    return hit.unionByName(clean).select(*columns, "n_lines", "n_removed")
