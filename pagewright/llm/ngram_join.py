@@ -13,6 +13,8 @@ null id only where its component has no other. Extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +31,8 @@ SHINGLE = 5
 #: counters for token frequencies: 4 MB of levels, whatever the input
 BITS = 22
 WHOLE = 64
+#: the rows of prefixes are dealt in so many passes, each with buckets of its own, so that only a part of them is on disk at a time
+PASSES = 3
 LAST = 2**63 - 1
 #: tokens that a task gathers before it hands rows on, and rows that it takes at a time
 MOST_TOKENS, MOST_ROWS = 1 << 18, 1 << 10
@@ -122,10 +126,9 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
     return found.join(nodes, "node", "left_semi").dropDuplicates(["node"])
 
 
-def join_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id."""
-    spark = docs.sparkSession
-    work = Workspace(spark, "ngram")
+def join_components(docs: DataFrame, k: int = SHINGLE, work: Workspace | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, text_hash, n_shingles, component_id. Its tables are in ``work``."""
+    work = work or Workspace(docs.sparkSession, "ngram")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"))
     texts = docs.select("text")
     rarity = sketch_levels(texts, lambda batch: _bulk(batch["text"], k), BITS)
@@ -142,7 +145,13 @@ def join_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     members = held.groupBy("grp", "node").agg(F.min("size").alias("size"), F.max("pop").alias("pop"))
     several = work.keep(members.join(large, "grp", "left_semi"), "members")
     inner = several.select(P.key_of(F.xxhash64("grp", F.lit(1)), rank).alias("key"), "node", P.info_of(F.col("size"), F.lit(0), 1).alias("info"), F.lit(0).cast("long").alias("more"))
-    found = work.keep(P.compare(rows.unionByName(inner), WHOLE), "candidates")
+    rows = rows.unionByName(inner)
+    parts = [f"candidates_{k}" for k in range(PASSES)]
+    found = reduce(DataFrame.unionByName, [work.keep(P.compare(rows.where(P.bucket() % PASSES == k), WHOLE), name) for k, name in enumerate(parts)])
+    # what the passes need is freed
+    table = work.keep(table.drop("prefix"), "sizes")
+    work.drop("documents")
+    full = table.where("node is not null")
     pairs = found.where("lead is null").select("x", "y").distinct()
     pairs = work.keep(pairs, "pairs")
     nodes = work.keep(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct(), "nodes")
@@ -179,7 +188,7 @@ def join_components(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
         sets = _node_sets(texts, nodes, k)
         links = links.unionByName(P.verified(open_, work.keep(sets, "more_sets")))
         component = work.keep(connected(links, work, "b"), "second")
-    work.drop("rest", "candidates", "grouped", "more_sets")
+    work.drop("rest", *parts, "grouped", "more_sets")
 
     least = full.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n"))
     named = least.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -196,9 +205,11 @@ def keep_one(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """
     work = Workspace(docs.sparkSession, "keep")
     keys = ("key_id", "text_hash")
-    found = join_components(docs, k).select(F.coalesce("doc_id", F.lit(LAST)).alias("key_id"), "text_hash", "component_id")
+    inner = Workspace(docs.sparkSession, "ngram")
+    found = join_components(docs, k, inner).select(F.coalesce("doc_id", F.lit(LAST)).alias("key_id"), "text_hash", "component_id")
     found = found.groupBy(*keys).agg(F.count("*").alias("n"), F.max(F.coalesce(F.col("component_id") != F.col("key_id"), F.lit(False))).alias("gone"))
     found = work.keep(found.where("gone or n > 1"), "found")
+    inner.clear()
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"))
     marked = with_marks(keyed, marks_of(found, *keys), *keys)
     left = marked.where("marked").join(found.where("gone"), list(keys), "left_anti").dropDuplicates(list(keys))

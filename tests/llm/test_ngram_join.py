@@ -1,7 +1,7 @@
 import random
 
 from brute import components, patterned
-from pagewright.llm import ngram_join, prefixjoin
+from pagewright.llm import ngram_join, prefixjoin, storage
 
 SCHEMA = "doc_id long, text string, tokens string, node long"
 
@@ -88,3 +88,10 @@ def test_long_patterned_words_are_told_apart(spark):
     assert rows_of(ngram_join.join_components(docs)) == {(d, n, c) for d, (n, c) in components(list(enumerate(texts))).items()}
     docs = docs.selectExpr("*", "'en' as lang", "'s' as source", "1L as n_chars")
     assert sorted(r.doc_id for r in ngram_join.keep_one(docs).collect()) == list(range(len(texts) - 1))
+
+
+def test_tables_are_freed(spark, sf_dir, tmp_path, monkeypatch):
+    """When the documents to drop are known, only their table is left of what was written."""
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: f"file://{tmp_path}")
+    assert ngram_join.keep_one(spark.read.parquet(f"{sf_dir}/documents.parquet")).count()
+    assert [p.name for p in tmp_path.glob("*/*")] == ["found"]
