@@ -28,7 +28,7 @@ from . import prefixjoin as P
 from .marks import marks_of, with_marks
 from .sketch import levels as sketch_levels
 from .storage import Workspace
-from .textnum import SPACE, distinct_in_segments, hashed_words, set_hashes
+from .textnum import FOLD, SPACE, blocks, distinct_in_segments, hashed_words, lines_of, set_hashes, word_hashes, word_spans
 
 LEAST_WORDS = 5
 #: smaller sets only link with their equals, which are one node: 3 of 4 words are no 80 %
@@ -43,18 +43,24 @@ MET_BITS = 17
 LAST = 2**63 - 1
 
 
+def _distinct(words, first, rarity, least: int):
+    """The sets of the lines with enough words: tokens by rarity, each set's start and size, and which lines these are."""
+    tokens, start = distinct_in_segments(P.ordered_tokens(words, rarity), first)
+    n = np.diff(start)
+    kept = np.flatnonzero(n >= max(least, 1))
+    if len(kept) < len(n):
+        inside = np.repeat(n >= max(least, 1), n)
+        tokens, n = tokens[inside], n[kept]
+        start = np.concatenate([[0], np.cumsum(n)])
+    return tokens, start[:-1], n, kept
+
+
 def _line_sets(column, rarity, least: int):
     """Blocks of line sets with enough words: each line's row and number, and the tokens by rarity with each set's start and size."""
     for low, first, words, text, line in hashed_words(column, SPACE, by_line=True):
-        tokens, start = distinct_in_segments(P.ordered_tokens(words, rarity), first)
-        n = np.diff(start)
-        kept = np.flatnonzero(n >= max(least, 1))
-        if len(kept) < len(n):
-            inside = np.repeat(n >= max(least, 1), n)
-            tokens, n = tokens[inside], n[kept]
-            start = np.concatenate([[0], np.cumsum(n)])
+        tokens, start, n, kept = _distinct(words, first, rarity, least)
         if len(n):
-            yield low + text[kept], line[kept], tokens, start[:-1], n
+            yield low + text[kept], line[kept], tokens, start, n
 
 
 class _Met:
@@ -104,12 +110,17 @@ def _described(docs: DataFrame, rarity, least: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, text_hash long, line int, node long, info long, more long, skip int, keys array<long>")
 
 
+def _line_key(text: str, line: str):
+    """One long for a line, from its text's key and its number."""
+    return F.col(text).bitwiseXOR(F.col(line).cast("long"))
+
+
 def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity, least: int) -> DataFrame:
-    """(node, tokens) of the given nodes, from the texts in which they come first."""
-    where = firsts.join(nodes, "node").select(F.xxhash64("first.doc", "first.text_hash").alias("text"))
-    # texts are passed over in the task that reads them: a column function before it would take a second worker and hold them twice
+    """(node, tokens) of the given nodes, from the lines that come first with them."""
+    where = firsts.join(nodes, "node").select(F.xxhash64("first.doc", "first.text_hash").alias("text"), "first.line").select(_line_key("text", "line").alias("line"))
+    # lines are passed over in the task that reads them: a column function before it would take a second worker and hold texts twice
     texts = docs.select(F.xxhash64("doc", "text_hash").alias("key"), "text")
-    marked = docs.sparkSession.sparkContext.broadcast(marks_of(where, "text"))
+    marked = docs.sparkSession.sparkContext.broadcast(marks_of(where, "line"))
     shared = docs.sparkSession.sparkContext.broadcast(rarity)
     wanted = docs.sparkSession.sparkContext.broadcast(marks_of(nodes, "node"))
     schema = pa.schema([("node", pa.int64()), ("tokens", pa.list_(pa.int64()))])
@@ -117,12 +128,20 @@ def _node_sets(docs: DataFrame, nodes: DataFrame, firsts: DataFrame, rarity, lea
     def run(batches):
         met = _Met()
         for batch in batches:
-            held = batch["text"].filter(pa.array(marked.value.holds(batch["key"].to_numpy())))
-            for _, _, tokens, start, n in _line_sets(held, shared.value, max(least, LEAST_NEAR)):
+            keys = batch["key"].to_numpy()
+            for low, _, data, offsets in blocks(batch["text"]):
+                cuts, text, line = lines_of(data, offsets)
+                kept, size = marked.value.holds(keys[low + text] ^ line), np.diff(cuts)
+                if not kept.any():
+                    continue
+                data, cuts = FOLD[data[np.repeat(kept, size)]], np.concatenate([[0], np.cumsum(size[kept])])
+                starts, ends, first = word_spans(data, cuts, SPACE)
+                tokens, start, n, _ = _distinct(word_hashes(data, starts, ends), first, shared.value, max(least, LEAST_NEAR))
+                if not len(n):
+                    continue
                 node = set_hashes(tokens, start, n)
                 new = wanted.value.holds(node) & met.new(node)
-                sizes = n[new]
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(tokens[np.repeat(new, n)].view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n[new])]).astype(np.int32)), pa.array(tokens[np.repeat(new, n)].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(node[new]), lists], schema=schema)
 
     return texts.mapInArrow(run, "node long, tokens array<long>").join(nodes, "node", "left_semi").dropDuplicates(["node"])
@@ -133,14 +152,18 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
     rarity = sketch_levels(docs.select("text"), lambda b: (w for _, _, w, _, _ in hashed_words(b["text"], SPACE)), BITS)
     table = work.keep(_described(docs, rarity, least), "lines")
     place = F.struct("doc", "line", "text_hash")
-    firsts = work.keep(table.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n")), "firsts")
     rows = table.where("size(keys) > 0").select(F.posexplode("keys").alias("at", "key"), "node", "skip", "info", "more")
     rows = rows.select("key", "node", F.col("info").bitwiseOR(F.least(F.col("at") + F.col("skip"), F.lit(P.MOST_POS)).cast("long")).alias("info"), "more")
     parts = [f"candidates_{k}" for k in range(PASSES)]
     found = reduce(DataFrame.unionByName, [work.keep(P.compare(rows.where(P.bucket() % PASSES == k), WHOLE), name) for k, name in enumerate(parts)])
     # only nodes with a candidate go on
     nodes = work.keep(found.select(F.explode(F.array("x", "y")).alias("node")).where("node is not null").distinct(), "nodes")
-    known = work.keep(with_marks(firsts, marks_of(nodes, "node"), "node").where("marked").select("node", "first").join(nodes, "node"), "known")
+    # what the passes need is freed; of the nodes only those of several lines or with a candidate are kept
+    table = work.keep(table.select("doc", "text_hash", "line", "node"), "places")
+    work.drop("lines")
+    firsts = table.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    firsts = work.keep(with_marks(firsts, marks_of(nodes, "node"), "node").where("marked or n > 1"), "firsts")
+    known = work.keep(firsts.where("marked").select("node", "first").join(nodes, "node"), "known")
     a, b = (known.select(F.col("node").alias(k), F.col("first").alias(f"first_{k}")) for k in "xy")
     earlier = F.col("first_x") < F.col("first_y")
     pairs = found.where("lead is null").select("x", "y").distinct().join(a, "x").join(b, "y")
@@ -198,6 +221,7 @@ def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     keyed = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
     gone = removed_lines(keyed.select("doc", "text_hash", "text"), work, least)
     gone = work.keep(gone.groupBy("doc", "text_hash").agg(F.collect_set("line").alias("gone")), "removed")
+    work.drop("places", "firsts", "judged", "shadowed", "shadowed_left", "shadowed_both", "shadowed_more")
     both = with_marks(keyed, marks_of(gone, "doc", "text_hash"), "doc", "text_hash")
     n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")

@@ -1,7 +1,7 @@
 import random
 
 from brute import dedup_lines, patterned
-from pagewright.llm import line_dedup, prefixjoin, queries
+from pagewright.llm import line_dedup, prefixjoin, queries, storage
 
 
 def same(df, rows):
@@ -74,3 +74,10 @@ def test_long_patterned_words_are_told_apart(spark):
     same(docs, rows).where("n_removed > 0").count()
     got = line_dedup.dedup(docs, least=1)
     assert got.where("n_removed > 0").count() == 0
+
+
+def test_tables_are_freed(spark, sf_dir, tmp_path, monkeypatch):
+    """When the lines to remove are known, only their table is left of what was written."""
+    monkeypatch.setattr(storage, "shared_folder", lambda spark: f"file://{tmp_path}")
+    assert line_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).count()
+    assert [p.name for p in tmp_path.glob("*/*")] == ["removed"]
