@@ -162,25 +162,29 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
     table = work.keep(table.select("doc", "text_hash", "line", "node"), "places")
     work.drop("lines")
     firsts = table.groupBy("node").agg(F.min(place).alias("first"), F.count("*").alias("n"))
-    firsts = work.keep(with_marks(firsts, marks_of(nodes, "node"), "node").where("marked or n > 1"), "firsts")
-    known = work.keep(firsts.where("marked").select("node", "first").join(nodes, "node"), "known")
+    firsts = work.keep(with_marks(firsts, marks_of(nodes, "node"), "node").where("marked or n > 1").drop("marked"), "firsts")
+    known = work.keep(firsts.select("node", "first").join(nodes, "node"), "known")
     a, b = (known.select(F.col("node").alias(k), F.col("first").alias(f"first_{k}")) for k in "xy")
     earlier = F.col("first_x") < F.col("first_y")
     pairs = found.where("lead is null").select("x", "y").distinct().join(a, "x").join(b, "y")
     pairs = work.keep(pairs.select(F.when(earlier, F.col("x")).otherwise(F.col("y")).alias("x"), F.when(earlier, F.col("y")).otherwise(F.col("x")).alias("y"), F.least("first_x", "first_y").alias("first")), "pairs")
 
-    def shadowed(open_: DataFrame, name: str) -> DataFrame:
-        """The later nodes y of linked pairs, x being the earlier."""
-        nodes = work.keep(open_.select(F.explode(F.array("x", "y")).alias("node")).distinct(), f"{name}_nodes")
-        # the sets are dealt by node once; both sides of the join read that
-        sets = _node_sets(docs, nodes, known, rarity, least)
-        out = work.keep(P.verified(open_, sets).select(F.col("y").alias("node")).distinct(), name)
+    # texts are read for their sets once; all verifications take them from that table
+    sets = work.keep(_node_sets(docs, nodes, known, rarity, least), "sets")
+
+    def shadowed(open_: DataFrame, name: str, some: bool = True) -> DataFrame:
+        """The later nodes y of linked pairs, x being the earlier. With ``some`` the pairs concern few of the nodes."""
+        own = sets
+        if some:
+            asked = work.keep(open_.select(F.explode(F.array("x", "y")).alias("node")).distinct(), f"{name}_nodes")
+            own = with_marks(sets, marks_of(asked, "node"), "node").where("marked").drop("marked")
+        out = work.keep(P.verified(open_, own).select(F.col("y").alias("node")).distinct(), name)
         work.drop(f"{name}_nodes")
         return out
 
     # most nodes with an earlier match have it in their first partner; only the others meet all their partners
     best = work.keep(pairs.groupBy("y").agg(F.min(F.struct("first", "x")).alias("best")).select("best.x", "y"), "best")
-    gone = shadowed(best, "shadowed")
+    gone = shadowed(best, "shadowed", some=False)
     left = work.keep(pairs.select("x", "y").join(gone.withColumnRenamed("node", "y"), "y", "left_anti").join(best, ["x", "y"], "left_anti"), "left")
     if not left.isEmpty():
         gone = work.keep(gone.unionByName(shadowed(left, "shadowed_left")), "shadowed_both")
@@ -194,7 +198,7 @@ def removed_lines(docs: DataFrame, work: Workspace, least: int = LEAST_WORDS) ->
         more = work.keep(more.join(pairs.select("x", "y"), ["x", "y"], "left_anti"), "open")
         if not more.isEmpty():
             gone = gone.unionByName(shadowed(more, "shadowed_more")).distinct()
-    work.drop(*parts, "rest", "pairs", "best", "left", "open", "nodes", "known")
+    work.drop(*parts, "rest", "pairs", "best", "left", "open", "nodes", "known", "sets")
     # lines of a node with an earlier match go, and of any other node all but the first
     judged = gone.select("node", F.lit(None).cast("struct<doc:bigint,line:int,text_hash:bigint>").alias("first")).unionByName(firsts.where("n > 1").select("node", "first"))
     judged = work.keep(judged, "judged")
@@ -223,11 +227,12 @@ def dedup(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     gone = work.keep(gone.groupBy("doc", "text_hash").agg(F.collect_set("line").alias("gone")), "removed")
     work.drop("places", "firsts", "judged", "shadowed", "shadowed_left", "shadowed_both", "shadowed_more")
     both = with_marks(keyed, marks_of(gone, "doc", "text_hash"), "doc", "text_hash")
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
+    n_lines = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long").alias("n_lines")
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed")
     text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(_without("text", "gone")).alias("text")
     # one branch for all marked rows, so that their texts are read once after the join
-    hit = both.where("marked").join(gone, ["doc", "text_hash"], "left").select("row", text, n_lines, n_removed)
+    # the lists are hashed, as a sort would move the texts
+    hit = both.where("marked").join(gone.hint("shuffle_hash"), ["doc", "text_hash"], "left").select("row", text, n_lines, n_removed)
     clean = both.where("not marked").select("row", "text", n_lines, F.lit(0).cast("long").alias("n_removed"))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     columns = [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in names]

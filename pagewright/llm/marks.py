@@ -6,10 +6,11 @@ A marked row may still be in no set, so what is marked goes through a real join.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .sketch import levels as sketch_levels
+from .sketch import flags as sketch_flags
 from .textnum import mix
 
 #: flags for each key, and the bounds of a table of flags: of 2**24 two megabytes are broadcast
@@ -17,11 +18,11 @@ SPARE, LEAST_BITS, MOST_BITS = 8, 16, 24
 
 
 class Marks:
-    """One flag for each counter that a 64-bit key of a set falls on."""
+    """One flag for each counter that a 64-bit key of a set falls on, eight to a byte."""
 
-    def __init__(self, flags: np.ndarray):
-        self.packed = np.packbits(flags)
-        self.shift = np.uint64(64 - (len(flags) - 1).bit_length())
+    def __init__(self, packed: np.ndarray):
+        self.packed = packed
+        self.shift = np.uint64(64 - (8 * len(packed) - 1).bit_length())
 
     def holds(self, keys: np.ndarray) -> np.ndarray:
         """True for every key of the set, and for few others."""
@@ -36,7 +37,7 @@ def marks_of(rows: DataFrame, *keys: str) -> Marks:
         yield mix(batch["key"].to_numpy(zero_copy_only=False).view(np.uint64))
 
     bits = min(MOST_BITS, max(LEAST_BITS, (SPARE * rows.count()).bit_length()))
-    return Marks(sketch_levels(rows.select(_key(keys).alias("key")), hashes, bits) > 0)
+    return Marks(sketch_flags(rows.select(_key(keys).alias("key")), hashes, bits))
 
 
 def _key(keys):
@@ -44,13 +45,12 @@ def _key(keys):
 
 
 def with_marks(docs: DataFrame, marks: Marks, *keys: str) -> DataFrame:
-    """``docs`` with a column ``marked``: true for every row whose keys were marked, and for few others."""
+    """``docs`` with a column ``marked``: true for every row whose keys were marked, and for few others. A plan that filters
+    by it and keeps it too evaluates it twice, in two workers a task."""
     shared = docs.sparkSession.sparkContext.broadcast(marks)
 
-    @F.pandas_udf("boolean")
-    def found(key):
-        import pandas as pd
-
-        return pd.Series(shared.value.holds(key.to_numpy()))
+    @F.arrow_udf("boolean")
+    def found(key: pa.Array) -> pa.Array:
+        return pa.array(shared.value.holds(key.to_numpy(zero_copy_only=False)))
 
     return docs.withColumn("marked", found(_key(keys)))

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PARTS = 64
+#: flags are an eighth of a byte each, so they go in fewer parts
+FLAG_PARTS = 8
 
 
 def counter(values: np.ndarray, bits: int) -> np.ndarray:
@@ -55,3 +57,32 @@ def levels(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray
     for row in merged.collect():  # PARTS rows
         out[row.part * width : (row.part + 1) * width] = np.frombuffer(row.levels, np.uint8)
     return out
+
+
+def flags(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: int) -> np.ndarray:
+    """Which of the counters are not 0 over all of ``df``, eight to a byte: ``levels`` above 0 in a thirty-second of the space."""
+
+    def found(batches):
+        out = None
+        for batch in batches:
+            for values in hashes(batch):
+                out = np.zeros(1 << bits, bool) if out is None else out
+                out[counter(values, bits).astype(np.int64)] = True
+        if out is not None:
+            packed = [zlib.compress(x.tobytes(), 1) for x in np.packbits(out).reshape(FLAG_PARTS, -1)]
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(FLAG_PARTS), pa.int32()), "flags": pa.array(packed, pa.binary())})
+
+    def merge(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, packed in zip(batch["part"].to_pylist(), batch["flags"]):
+                values = np.frombuffer(zlib.decompress(packed.as_py()), np.uint8)
+                totals[part] = totals[part] | values if part in totals else values
+        if totals:
+            yield pa.RecordBatch.from_pydict({"part": pa.array(list(totals), pa.int32()), "flags": pa.array([x.tobytes() for x in totals.values()], pa.binary())})
+
+    merged = df.mapInArrow(found, "part int, flags binary").repartition(FLAG_PARTS, "part").mapInArrow(merge, "part int, flags binary")
+    out = np.zeros((FLAG_PARTS, (1 << bits) // 8 // FLAG_PARTS), np.uint8)
+    for row in merged.collect():  # FLAG_PARTS rows
+        out[row.part] = np.frombuffer(row.flags, np.uint8)
+    return out.ravel()

@@ -1,7 +1,8 @@
 import random
 
+import numpy as np
 from brute import dedup_lines, patterned
-from pagewright.llm import line_dedup, prefixjoin, queries, storage
+from pagewright.llm import line_dedup, prefixjoin, queries, sketch, storage, textnum
 
 
 def same(df, rows):
@@ -81,3 +82,34 @@ def test_tables_are_freed(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(storage, "shared_folder", lambda spark: f"file://{tmp_path}")
     assert line_dedup.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).count()
     assert [p.name for p in tmp_path.glob("*/*")] == ["removed"]
+
+
+def test_one_python_worker_a_task_and_one_reading_for_sets(spark, monkeypatch):
+    """Each Python node of a task has a worker of its own beside the JVM, and every reading of the texts costs as much as the first."""
+    rng = random.Random(3)
+    bases = [[f"w{rng.randrange(90)}" for _ in range(20)] for _ in range(8)]
+    rows = []
+    for d in range(80):
+        own = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 1, 3, 5])):
+            own[rng.randrange(len(own))] = f"w{rng.randrange(90)}"
+        rows.append((d, " ".join(own)))
+    plans, read, keep, sets = {}, [], storage.Workspace.keep, line_dedup._node_sets
+
+    def kept(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(storage.Workspace, "keep", kept)
+    monkeypatch.setattr(line_dedup, "_node_sets", lambda *args: read.append(1) or sets(*args))
+    same(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+    assert plans["firsts"].count("ArrowEvalPython") == 1 and "shadowed_left" in plans
+    assert len(read) == 1
+
+
+def test_flags_are_counters_above_none(spark):
+    keys = spark.range(5000).selectExpr("id * 7919 as key").repartition(3)
+    hashes = lambda batch: [textnum.mix(batch["key"].to_numpy().view("u8"))]
+    flags = sketch.flags(keys, hashes, 16)
+    assert flags.nbytes == 1 << 13 and (np.unpackbits(flags) == (sketch.levels(keys, hashes, 16) > 0)).all()
+    assert not sketch.flags(keys.limit(0), hashes, 16).any()
