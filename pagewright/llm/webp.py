@@ -59,7 +59,7 @@ class Bits:
 class Code:
     """A canonical prefix code; ``table[next bits]`` is symbol << 4 | length."""
 
-    def __init__(self, lengths: list[int]):
+    def __init__(self, lengths: list[int] | bytearray):
         n = np.array(lengths, np.int64)
         used = n.nonzero()[0]
         if len(used) < 2:
@@ -127,8 +127,32 @@ def _single(symbol: int, size: int) -> Code:
     return Code(lengths)
 
 
+#: bits that ``_own_steps`` looks up together, and the most code lengths that these hold
+OWN_STEP, OWN_MOST = 14, 5
+
+
+@lru_cache(1)
+def _own_steps() -> list[tuple[bytes, int, int]]:
+    """For the next ``OWN_STEP`` bits in the writer's own code of code lengths: the lengths that they hold, with runs of 0
+    spread, their bits, and their number of symbols."""
+    code, out = Code(_OWN), []
+    for bits in range(1 << OWN_STEP):
+        own, at, n = b"", 0, 0
+        while n < OWN_MOST:
+            found = code.listed[bits >> at & (1 << code.bits) - 1]
+            symbol, more = found >> 4, {17: 3, 18: 7}.get(found >> 4, 0)
+            end = at + (found & 15) + more
+            if end > OWN_STEP:
+                break
+            value = bits >> end - more & (1 << more) - 1
+            own += bytes([symbol]) if symbol < 16 else bytes(value + (3 if symbol == 17 else 11))
+            at, n = end, n + 1
+        out.append((own, at, n))
+    return out
+
+
 def read_code(bits: Bits, size: int) -> Code:
-    lengths = [0] * size
+    lengths = bytearray(size)
     if bits.read(1):
         several, wide = bits.read(1), bits.read(1)
         symbols = [bits.read(8 if wide else 1)] + ([bits.read(8)] if several else [])
@@ -138,8 +162,23 @@ def read_code(bits: Bits, size: int) -> Code:
             lengths[s] = 1
         return Code(lengths) if several else _single(symbols[0], size)
     count = 4 + bits.read(4)
-    code, at, last = _length_code(count, bits.read(3 * count)), 0, 8
+    packed = bits.read(3 * count)
+    code, at, last = _length_code(count, packed), 0, 8
     left = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else size
+    if left < size and count == 19 and packed == _OWN_PACKED:
+        # several lengths at a time, up to the last few
+        steps, rest, at_, parts, n = _own_steps(), left, bits.at, [], 11 * left
+        window = bits.value >> at_ & (1 << n) - 1
+        while rest >= OWN_MOST:
+            own, used, n = steps[window & (1 << OWN_STEP) - 1]
+            parts.append(own)
+            window >>= used
+            at_ += used
+            rest -= n
+        own = b"".join(parts)
+        if len(own) <= size and at_ <= bits.size:
+            bits.at, left, at = at_, rest, len(own)
+            lengths[:at] = own
     # a few hundred bits are taken off the stream at a time
     table, mask, window, held, start = code.listed, (1 << code.bits) - 1, 0, 0, bits.at
     while at < size and left:
@@ -642,6 +681,8 @@ def _depths(weight: list[int]) -> list[int]:
 
 #: how the writer codes the lengths of a code: 3 bits for some, 4 for the others, runs of 0 joined
 _OWN = [3 if k in (7, 8, 17) else 4 if k < 11 or k == 18 else 0 for k in range(19)]
+_OWN_HEAD = "".join([f"{_OWN[s]:03b}" for s in reversed(CODE_ORDER)]) + f"{19 - 4:04b}0"
+_OWN_PACKED = sum(_OWN[s] << 3 * i for i, s in enumerate(CODE_ORDER))
 _RUN = re.compile(rb"\x00{11,138}|\x00{3,10}|[\x00-\xff]")
 
 
@@ -677,9 +718,8 @@ class Writer:
         """A normal code: the lengths, at most ``MOST_BITS``, up to the last that isn't 0."""
         own = _RUN.findall(lengths.astype(np.uint8).tobytes().rstrip(b"\0"))
         known = _own_bits()
-        head = "".join([f"{_OWN[s]:03b}" for s in reversed(CODE_ORDER)]) + f"{19 - 4:04b}0"
         own += [b"\0"] * (2 - len(own))
-        text = "".join([known[x] for x in reversed(own)]) + f"{len(own) - 2:010b}" + "1001" + head
+        text = "".join([known[x] for x in reversed(own)]) + f"{len(own) - 2:010b}" + "1001" + _OWN_HEAD
         self.put(int(text, 2), len(text))
 
 
@@ -714,6 +754,8 @@ WORTH = 16
 SHARED = 1.03
 #: bytes that are written together
 TOGETHER = 1 << 18
+#: scrambles a key so that its upper bits tell as much as all
+_SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
 _WEIGHTS = np.array([1, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
 #: n * log2(n)
 _LOGS = np.arange(1 << 15) * np.log2(np.maximum(np.arange(1 << 15), 1))
@@ -739,7 +781,8 @@ def _guesses(p: np.ndarray) -> Iterator[np.ndarray]:
     yield left
     yield top
     a, t, c = (x.astype(np.int16) for x in (left, top, corner))
-    yield np.where((np.abs(t - c).sum(-1) < np.abs(a - c).sum(-1))[:, :, None], left, top)
+    to_left, to_top = (x[:, :, 0] + x[:, :, 1] + x[:, :, 2] for x in (np.abs(t - c), np.abs(a - c)))
+    yield np.where((to_left < to_top)[:, :, None], left, top)
 
 
 def _predicted(p: np.ndarray, top: np.ndarray, tile: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -766,6 +809,14 @@ def _decorrelated(p: np.ndarray, tile: np.ndarray, n: int) -> tuple[np.ndarray,
     return np.where(r == 1, 32, 0) | np.where(b == 1, 32 << 8, 0) | np.where(b == 2, 32 << 16, 0), pixels
 
 
+def _in_order(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The upper bits of the keys in ascending order, and the place of each; equal ones by place. One sort of single numbers,
+    so keys are cut to the bits that the places leave."""
+    n = np.uint64(max(len(key) - 1, 1).bit_length())
+    both = np.sort((key >> n << n) | np.arange(len(key), dtype=np.uint64))
+    return both >> n, (both & (np.uint64(1) << n) - np.uint64(1)).astype(np.int64)
+
+
 def _copies(p: np.ndarray, image: np.ndarray, first: list[int]) -> list[tuple[int, int, int]]:
     """(place, length, distance) of the back-references: at each place the last one of its image that starts with the same
     pixels."""
@@ -773,8 +824,8 @@ def _copies(p: np.ndarray, image: np.ndarray, first: list[int]) -> list[tuple[in
     if n < 2:
         return []
     key = sum((p[k : n + k] * _WEIGHTS[k] for k in range(LEAST_COPY)), image[:n].astype(np.uint64) << np.uint64(40))
-    order = np.argsort(key, kind="stable")
-    same = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    key, order = _in_order(key * _SCRAMBLE)
+    same = np.flatnonzero(key[1:] == key[:-1])
     before = np.full(n, -1)
     before[order[1:][same]] = order[:-1][same]
     places = np.flatnonzero(before >= 0)
@@ -798,10 +849,10 @@ def _copies(p: np.ndarray, image: np.ndarray, first: list[int]) -> list[tuple[in
 def _cache_hits(p: np.ndarray, image: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Each pixel's place in a colour cache of its image, and whether the cache has it there when it comes."""
     slot = ((p * np.uint64(CACHE_MULTIPLIER) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.int64)
-    key = image << bits | slot
-    order = np.argsort(key, kind="stable")
-    hit = np.zeros(len(p), bool)
-    hit[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (p[order[1:]] == p[order[:-1]])
+    n = max(len(p) - 1, 1).bit_length()
+    key, order = _in_order((image << bits | slot).astype(np.uint64) << np.uint64(n))
+    hit, pixel = np.zeros(len(p), bool), p[order]
+    hit[order[1:]] = (key[1:] == key[:-1]) & (pixel[1:] == pixel[:-1])
     return slot, hit
 
 
@@ -841,23 +892,33 @@ def _put_pixels(writers: list[Writer], p: np.ndarray, image: np.ndarray, first:
         start[i + 1 : i + length] = False
     green, red, blue = ((p >> np.uint64(shift) & np.uint64(255)).astype(np.int64) for shift in (8, 16, 0))
     wide = GREENS + LENGTHS + (1 << max(CACHES))
+    own = np.flatnonzero(alone)
+    at = image[own]
+    # each pixel's counters of its green, red and blue
+    places = [at * wide + green[own], at * 256 + red[own], at * 256 + blue[own]]
+    sizes = (wide, 256, 256)
 
-    def counted(values, where, size):
-        return np.bincount(image[where] * size + values[where], minlength=n * size).reshape(n, size)
+    def counted(places):
+        return [np.bincount(x, minlength=n * size).reshape(n, size) for x, size in zip(places, sizes)]
 
-    costs, tries = [], []
+    base, costs, tries = counted(places), [], []
     for bits in CACHES:
-        slot, hit = _cache_hits(p, image, bits) if bits else (green, np.zeros(len(p), bool))
-        symbol, literal = np.where(hit, GREENS + LENGTHS + slot, green), alone & ~hit
-        counts = [counted(symbol, alone, wide), counted(red, literal, 256), counted(blue, literal, 256)]
+        counts, slot, hit = base, None, None
+        if bits:
+            slot, hit = _cache_hits(p, image, bits)
+            k = np.flatnonzero(hit[own])
+            counts = [x - y for x, y in zip(base, counted([x[k] for x in places]))]
+            counts[0] += np.bincount(at[k] * wide + GREENS + LENGTHS + slot[own[k]], minlength=n * wide).reshape(n, wide)
         # a symbol's length is written in some four bits
         costs.append(sum(_bits(c) + 4 * np.count_nonzero(c, axis=1) for c in counts))
-        tries.append((symbol, literal, counts))
+        tries.append((slot, hit, counts))
     best = np.argmin(costs, axis=0)
-    at = np.arange(len(p))
-    symbol, literal = (np.stack([x[k] for x in tries])[best[image], at] for k in (0, 1))
+    symbol, literal = green.copy(), alone.copy()
+    for j, (slot, hit, _) in enumerate(tries):
+        if hit is not None:
+            k = np.flatnonzero(hit & (best == j)[image])
+            symbol[k], literal[k] = GREENS + LENGTHS + slot[k], False
     counts = [np.stack([x[2][k] for x in tries])[best, np.arange(n)] for k in range(3)]
-    # one row a token: (value, bits) of the symbol, of red or a length's extra bits, of blue or the distance, of its extra bits
     far, near, parts = np.zeros((n, DISTANCES), np.int64), _near(width), []
     if copies:
         parts = np.array([(i, *_prefix(length), *_prefix(near.get(back, back + len(NEAR)))) for i, length, back in copies]).T
@@ -882,25 +943,37 @@ def _put_pixels(writers: list[Writer], p: np.ndarray, image: np.ndarray, first:
                 continue
             begun, own = w.at, of[k, :size] if not c else of[k]
             length[k, : len(own)], code[k, : len(own)] = _put_code(w, own)
-    size, code = np.zeros((len(p), 4), np.int64), np.zeros((len(p), 4), np.int64)
-    size[:, 0], code[:, 0] = sizes[0][image, symbol], codes[0][image, symbol]
-    for c, channel in ((1, red), (2, blue)):
-        size[literal, c], code[literal, c] = sizes[c][image[literal], channel[literal]], codes[c][image[literal], channel[literal]]
+    # one row a token: (value, bits) of the symbol with red or a length's extra bits, and of blue or the distance with its extra bits
+    tables = [(code << 4 | size).ravel() for size, code in zip(sizes, codes)]
+    tokens = np.flatnonzero(start)
+    of, lit = image[tokens], np.flatnonzero(literal[tokens])
+    size, code = np.zeros((len(tokens), 2), np.int64), np.zeros((len(tokens), 2), np.int64)
+    own = tables[0][of * wide + symbol[tokens]]
+    size[:, 0], code[:, 0] = own & 15, own >> 4
+    own, at = tokens[lit], of[lit] * 256
+    first_, second = tables[1][at + red[own]], tables[2][at + blue[own]]
+    code[lit, 0] |= first_ >> 4 << size[lit, 0]
+    size[lit, 0] += first_ & 15
+    size[lit, 1], code[lit, 1] = second & 15, second >> 4
     if copies:
-        i, _, size[parts[0], 1], code[parts[0], 1], prefix, size[parts[0], 3], code[parts[0], 3] = parts
-        size[i, 2], code[i, 2] = sizes[3][image[i], prefix], codes[3][image[i], prefix]
-    return _packed(writers, size[start], code[start], image[start])
+        k = np.searchsorted(tokens, parts[0])
+        code[k, 0] |= parts[3] << size[k, 0]
+        size[k, 0] += parts[2]
+        own = tables[3][of[k] * DISTANCES + parts[4]]
+        size[k, 1], code[k, 1] = (own & 15) + parts[5], own >> 4 | parts[6] << (own & 15)
+    return _packed(writers, size, code, of)
 
 
 def _packed(writers: list[Writer], size: np.ndarray, code: np.ndarray, image: np.ndarray) -> list[bytes]:
-    """The bits that each writer holds and after them the codes of its image's tokens, of at most 32 bits each."""
+    """The bits that each writer holds and after them the codes of its image's tokens, each in two parts of at
+    most 32 bits."""
     each = np.bincount(image, size.sum(1), len(writers)).astype(np.int64)
     head = np.array([w.at for w in writers])
     words_of = (head + each + 31 >> 5) + 1
     base = np.cumsum(words_of) - words_of
     skip = 32 * base + head - (np.cumsum(each) - each)
     size, code = size.ravel(), code.ravel()
-    at = np.cumsum(size) - size + np.repeat(skip[image], 4)
+    at = np.cumsum(size) - size + np.repeat(skip[image], 2)
     value = code.astype(np.uint64) << (at & 31).astype(np.uint64)
     word, n = at >> 5, int(words_of.sum()) + 1
     low = np.bincount(word, (value & np.uint64(0xFFFFFFFF)).astype(np.float64), n)

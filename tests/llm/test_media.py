@@ -302,3 +302,26 @@ def test_edges(spark):
     assert len({tuple(r)[1:] for r in got if r.doc_id == 3}) == 1
     held = media.read_back(media.store(docs), with_pixels=True).where("doc_id = 4").first().pixels
     assert bytes(held).startswith(b"long text ") and media.media_columns(docs.limit(0)).count() == 0
+
+
+def test_lengths_of_the_writers_codes_are_read_several_at_a_time():
+    """The table of steps gives what the loop of single lengths gives, and takes the same bits."""
+    assert len(webp._own_steps()) == 1 << webp.OWN_STEP and min(n for _, _, n in webp._own_steps()) >= 1
+    rng = np.random.default_rng(6)
+    for used in (3, 5, 40, 150, 256):
+        counts = np.zeros(256, np.int64)
+        counts[rng.choice(256, used, replace=False)] = rng.integers(1, 500, used)
+        w = webp.Writer()
+        size, _ = webp._put_code(w, counts)
+        w.put(0b1011, 4)
+        bits = webp.Bits(w.value.to_bytes(-(-w.at // 8), "little"))
+        code = webp.read_code(bits, 256)
+        assert bits.at == w.at - 4 and (code.table == webp.Code(size.tolist()).table).all()
+
+
+def test_keys_in_order():
+    """Equal keys by place, as a stable sort has them; a key whose lower bits don't matter loses nothing."""
+    rng = np.random.default_rng(7)
+    keys = rng.integers(0, 50, 3000).astype(np.uint64) << np.uint64(40)
+    upper, order = webp._in_order(keys)
+    assert (order == np.argsort(keys, kind="stable")).all() and (upper == keys[order] >> np.uint64(12)).all()
