@@ -28,6 +28,16 @@ def test_fact_shapes(spark):
     assert got == [("amount", "248.60"), ("date", "12/03/2026"), ("email", "a.b@c.de")]
 
 
+def test_capitalised_is_one_character(spark):
+    """As DuckDB's upper(), also where full upper case has several characters."""
+    import duckdb
+
+    first = [c for c in map(chr, range(1, 0x10000)) if len(c.upper()) > 1] + list("aéÿß1 ") + ["ßheit", "élan", ""]
+    got = spark.createDataFrame([(c,) for c in first], "c string").select(T.capitalised(F.col("c")).alias("s")).collect()
+    db = duckdb.connect()
+    assert [r.s for r in got] == [db.execute("SELECT upper($1[1:1]) || $1[2:]", [c]).fetchone()[0] for c in first]
+
+
 def words(text):
     return {w for w in re.split(r"[\W_]+", text.lower()) if len(w) >= 2}
 
