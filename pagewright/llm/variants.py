@@ -33,6 +33,9 @@ EXACT_LETTERS = 20
 #: codes made at once
 STEP_CODES = 1 << 20
 LONG_RUN = 64
+#: Spark sizes both sides of these joins by the files of the vocabulary, packed and before a word becomes its neighbourhood,
+#: so it would collect either side on the driver
+JOIN = "merge"
 
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = _LETTER[0xC3] = True
@@ -207,7 +210,7 @@ def near_pairs(coded: DataFrame, marks: Marks) -> DataFrame:
 
     left = coded.select("word", "n").mapInArrow(neighbours, "word string, n long, code long")
     right = coded.select(F.col("word").alias("near"), F.col("n").alias("near_n"), "code")
-    return left.join(right, "code").where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
+    return left.join(right.hint(JOIN), "code").where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
 
 
 def roots(forms: DataFrame, work: Workspace) -> DataFrame:
@@ -220,7 +223,7 @@ def roots(forms: DataFrame, work: Workspace) -> DataFrame:
     while now.where("not ended").limit(1).count():
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
         step += 1
-        then = now.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNull().alias("ended"))
+        then = now.join(ahead.hint(JOIN), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNull().alias("ended"))
         now = work.keep(then, f"roots{step}")
         work.drop(f"roots{step - 1}")
     return now.select("word", "root")
@@ -233,9 +236,9 @@ def group_variants(docs: DataFrame) -> DataFrame:
     pairs = near_pairs(coded, marks_of(coded, "code"))
     best = F.min(F.struct((-F.col("near_n")).alias("minus"), "near"))
     near = pairs.groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    joined = coded.select("word", "n").join(near, "word", "left")
+    joined = coded.select("word", "n").join(near.hint(JOIN), "word", "left")
     fits = -F.col("best.minus") >= RATIO * F.col("n")
     words = joined.select("word", "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.when(fits, F.col("best.near")).alias("form"), F.when(fits, -F.col("best.minus")).alias("form_n"))
     words = work.keep(words, "forms")
-    out = words.join(roots(words.where("form is not null"), work), "word", "left")
+    out = words.join(roots(words.where("form is not null"), work).hint(JOIN), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

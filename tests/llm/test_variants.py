@@ -101,3 +101,19 @@ def test_words_that_reduce_alike(spark):
     words = ["".join(alike[(k >> i) % len(alike)] for i in range(6)) + alike[0] for k in range(0, 64)]
     docs = spark.createDataFrame([(None, " ".join(sorted(set(words)) * 5))], "doc_id long, text string")
     assert got(docs) == want([(None, " ".join(sorted(set(words)) * 5))])
+
+
+def test_no_side_of_a_join_is_broadcast(spark):
+    """A neighbourhood has some hundred times the rows that Spark expects of it, so a small estimate says nothing."""
+    from pagewright.llm.marks import marks_of
+    from pagewright.llm.storage import Workspace
+
+    rows = [(k, " ".join([w] * 6)) for k, w in enumerate(["abcdefgh", "abcdefgi", "bcdefgh", "zyxwvut"])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    work = Workspace(spark, "test")
+    coded = work.keep(variants.vocabulary(docs).mapInArrow(variants._with_codes, "word string, n long, code long"), "words")
+    pairs = variants.near_pairs(coded, marks_of(coded, "code"))
+    for df in (pairs, variants.group_variants(docs)):
+        rows = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert rows and "SortMergeJoin" in plan and "Broadcast" not in plan
