@@ -61,6 +61,26 @@ def test_summaries_equal_a_greedy_choice(spark):
     assert [(x.page_index, x.start) for x in got[0].sentences] == sorted((c.page_index, c.start) for c in chosen)
 
 
+def test_summaries_deal_passages_once(spark, sf_dir):
+    """Words of passages stay in their task, and so do scored passages."""
+    scored = summaries.scores(passages.passages(views.pages(spark, sf_dir)))
+    plan = summaries.summaries(scored, dealt=True)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Aggregate" not in plan and "Join" not in plan
+    own = [sorted(map(str, summaries.summaries(scored, 3, 300, dealt=d).collect())) for d in (True, False)]
+    assert own[0] == own[1] and own[0]
+
+
+def test_passages_of_a_document_over_several_batches(spark):
+    rows = [(d, k // 9, k % 9 * 50, f"word{k % 7} other{k % (d + 2)} third{k} of 12/03/2026 " + "x" * (k % 20)) for d in range(5) for k in range(40)]
+    spans = spark.createDataFrame([(d, p, a, a + len(t), t) for d, p, a, t in rows], "doc_id long, page_index int, start int, stop int, text string")
+    whole = sorted(map(str, summaries.scores(spans).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert sorted(map(str, summaries.scores(spans).collect())) == whole and len(whole) == 200
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_outline_takes_headings_first(spark):
     docs = spark.createDataFrame([(1, "Report"), (2, "Notes")], "doc_id long, title string")
     pages = spark.createDataFrame([(1, 0, "# Report\n## Costs\nbody text that is long enough\n## costs\n# Plan"), (2, 0, "Date: today\nThe opening line of these notes is this.")], "doc_id long, page_index int, text string")
